@@ -900,7 +900,7 @@ def level_progress(spark, folder):
 
 @query
 def active_nodes(spark, folder):
-    return J.active_nodes(_progress(spark, folder), F.to_timestamp(F.lit("2024-02-01 00:00:00")))
+    return J.active_nodes(_progress(spark, folder), F.to_timestamp_ntz(F.lit("2024-02-01 00:00:00")))
 
 
 @query
