@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from .hierarchy import directories_of
 
 _KEY = ["repo", "path"]
 _PRINT = ["size", "mtime", "content_hash"]
@@ -38,11 +37,13 @@ def detect_changes(new: DataFrame, old: DataFrame) -> DataFrame:
 
 def affected_nodes(changes: DataFrame) -> DataFrame:
     """Changed files that still exist, and every directory above any change."""
-    files = changes.where(F.col("change_type") != "deleted").select(
-        "repo", F.lit("file").alias("node_type"), F.col("path").alias("relative_path")
-    )
-    dirs = directories_of(changes.select("repo", F.col("path").alias("relative_path")))
-    return files.unionByName(dirs.select("repo", F.lit("directory").alias("node_type"), "relative_path"))
+    def node(kind: str, path: Column) -> Column:
+        return F.struct(F.lit(kind).alias("node_type"), path.alias("relative_path"))
+
+    dirs = F.transform(P.prefixes_of("path"), lambda d: node("directory", d))
+    own = F.when(F.col("change_type") != "deleted", F.array(node("file", F.col("path"))))
+    found = F.concat(dirs, F.coalesce(own, F.slice(dirs, 1, 0)))
+    return changes.select("repo", F.inline(found)).distinct()
 
 
 def affected_summary(changes: DataFrame) -> DataFrame:

@@ -115,35 +115,51 @@ def overview_endpoints(docs: DataFrame) -> DataFrame:
     Input ``(repo, doc, content)``.
     """
     c = F.col("content")
-    form = F.when(S.matches(c, V.OVERVIEW_ROW, "m"), 1)
-    numbered = docs.select(
-        "repo", "doc", F.posexplode(_grouped(c, V.OVERVIEW_ROW, {"num": 1, "method": 3, "path": 4}, "m")).alias("pos", "r")
-    ).select("repo", "doc", "pos", F.col("r.num").alias("num"), S.strip("r.method").alias("method"), S.strip("r.path").alias("path"))
-    numbered = (
-        numbered.where("method <> '' and path <> ''")
-        .groupBy("repo", "doc", "num")
-        .agg(F.min("pos").alias("pos"), F.min_by(endpoint_key(), "pos").alias("api"))
-        .select("repo", "doc", "pos", "api")
-    )
-    rest = docs.where(form.isNull())
-    rows = F.transform(
-        _grouped(c, V.OVERVIEW_SIMPLE, {"method": 1, "path": 2}, "m"),
-        lambda r: F.struct(S.strip(r["method"]).alias("method"), S.strip(r["path"]).alias("path")),
+
+    def shaped(matches: Column, number: Column | None = None) -> Column:
+        return F.transform(
+            matches,
+            lambda r, i: F.struct(
+                (r["num"] if number is None else F.lit(None).cast("string")).alias("num"), i.alias("pos"),
+                S.strip(r["method"]).alias("method"), S.strip(r["path"]).alias("path"),
+            ),
+        )
+
+    none = F.lit(None)
+    numbered = F.filter(
+        shaped(_grouped(c, V.OVERVIEW_ROW, {"num": 1, "method": 3, "path": 4}, "m")),
+        lambda r: (r["method"] != "") & (r["path"] != ""),
     )
     rows = F.filter(
-        rows,
+        shaped(_grouped(c, V.OVERVIEW_SIMPLE, {"method": 1, "path": 2}, "m"), none),
         lambda r: ~r["method"].isin(*V.OVERVIEW_SKIP_METHOD) & ~F.startswith(r["method"], F.lit("-"))
         & ~r["path"].isin(*V.OVERVIEW_SKIP_PATH) & ~F.startswith(r["path"], F.lit("-")),
     )
     items = F.filter(
-        _grouped(c, V.OVERVIEW_LIST, {"method": 1, "path": 2}, ""),
+        shaped(_grouped(c, V.OVERVIEW_LIST, {"method": 1, "path": 2}, ""), none),
         lambda r: ~F.lower(r["method"]).isin(*V.OVERVIEW_SKIP_WORDS),
     )
-    rest = rest.select("repo", "doc", rows.alias("rows"), items.alias("items"))
-    plain = rest.select(
-        "repo", "doc", F.posexplode(F.when(F.size("rows") > 0, F.col("rows")).otherwise(F.col("items"))).alias("pos", "r")
-    ).select("repo", "doc", "pos", endpoint_key("r.method", "r.path").alias("api"))
-    return numbered.unionByName(plain)
+    by_form = docs.select("repo", "doc", numbered.alias("a"), rows.alias("b"), items.alias("c"))
+    chosen = F.when(F.size("a") > 0, F.col("a")).when(F.size("b") > 0, F.col("b")).otherwise(F.col("c"))
+    # rows without a number are all kept: their position stands in for it
+    slot = F.coalesce(F.col("num"), F.concat(F.lit("@"), F.col("pos")))
+    return (
+        by_form.select("repo", "doc", F.inline(chosen))
+        .groupBy("repo", "doc", slot.alias("_slot"))
+        .agg(F.min("pos").alias("pos"), F.min_by(endpoint_key(), "pos").alias("api"))
+        .drop("_slot")
+    )
+
+
+def _described_heading() -> str:
+    """A heading line with a function or auth field in one of the next lines.
+
+    The look-ahead walks whole lines and never gives one back, so a document
+    is read in one linear pass.
+    """
+    line = r"[^\S\n]*(?:#{2,4})[^\S\n]+(\S.*)$"
+    below = rf"(?=(?:\n[^\n]*+){{0,{V.USAGE_LOOKAHEAD - 1}}}?\n[^\n]*?(?:{V.USAGE_META}))"
+    return f"^{line}{below}"
 
 
 def usage_endpoints(docs: DataFrame) -> DataFrame:
@@ -153,26 +169,15 @@ def usage_endpoints(docs: DataFrame) -> DataFrame:
     lines; table rows count unless a heading already names them.
     """
     c = F.col("content")
-    lines = F.split(c, "\n")
-    heads = F.filter(
-        F.transform(lines, lambda s, i: F.struct(i.alias("pos"), S.strip(s).alias("line"))),
-        lambda s: S.matches(s["line"], V.USAGE_HEADING),
-    )
-    real = F.filter(
-        heads,
-        lambda s: F.exists(
-            F.slice(lines, s["pos"] + 2, F.lit(V.USAGE_LOOKAHEAD)), lambda x: S.matches(x, V.USAGE_META, "i")
-        ),
-    )
-    head = S.strip(S.extract(F.col("h.line"), V.USAGE_HEADING, 2))
+    heads = S.extract_all(c, _described_heading(), 1, "m")
     method, path = F.lit(""), F.lit("")
     for pattern, flags in ((V.USAGE_PLAIN, ""), (V.USAGE_NUMBERED, "i"), (V.USAGE_BRACKET, "")):
         hit = S.matches("text", pattern, flags)
         method = F.when(hit, S.strip(S.extract("text", pattern, 1, flags))).otherwise(method)
         path = F.when(hit, S.strip(S.extract("text", pattern, 2, flags))).otherwise(path)
     headings = (
-        docs.select("repo", "doc", F.explode(real).alias("h"))
-        .select("repo", "doc", F.col("h.pos").alias("pos"), head.alias("text"))
+        docs.select("repo", "doc", F.posexplode(heads).alias("pos", "text"))
+        .withColumn("text", S.strip("text"))
         .select("repo", "doc", "pos", method.alias("method"), path.alias("path"))
         .where("method <> '' and path <> ''")
         .select("repo", "doc", F.lit("heading").alias("origin"), "pos", endpoint_key().alias("api"))

@@ -213,7 +213,7 @@ def collected_text(chunks: DataFrame, mode: str = "content_only", rows_per_part:
     kinds = [F.struct(F.lit(n).alias("kind"), F.col(c).alias("text")) for n, c, on in (
         ("content", "content", content), ("reasoning", "reasoning_content", reasoning)) if on]
     rows = chunks.select("request_id", "seq", F.inline(F.array(*kinds))).where("text is not null and text <> ''")
-    return assemble(rows, ["request_id", "kind"], ["seq"], "text", "", rows_per_part)
+    return assemble(rows, ["request_id", "kind"], ["seq"], "text", "", rows_per_part, unique=False)
 
 
 def system_messages(messages: DataFrame) -> DataFrame:

@@ -49,6 +49,7 @@ def top_imports(edges: DataFrame, k: int = 10) -> DataFrame:
 
 def graph_totals(resolved: DataFrame) -> DataFrame:
     """Nodes, edges and external modules per repo; external = resolves to no file."""
+    resolved = cut(resolved)
     nodes = graph_nodes(resolved).groupBy("repo").agg(F.count(F.lit(1)).alias("n_nodes"))
     outside = F.when(F.col("resolved").isNull(), top_module("target"))
     counts = resolved.groupBy("repo").agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import paths as P
+from ..sources.durable import cut
 from .predicates import of_type
 from .ranking import assemble, ordinal
 
@@ -129,6 +130,7 @@ def tree_listing(
         nodes = of_type(nodes, "directory")
     if max_depth is not None:
         nodes = nodes.where(F.col("depth") <= max_depth)
+    nodes = cut(nodes)
     below = nodes.where(F.col("relative_path") != ROOT).withColumn("_key", sibling_key())
     lasts = below.groupBy("repo", "parent_path").agg(F.max("_key").alias("_key")).withColumn("_last", F.lit(True))
     flagged = below.join(lasts, ["repo", "parent_path", "_key"], "left").withColumn(

@@ -61,11 +61,18 @@ def parts_of(
 
 
 def assemble(
-    df: DataFrame, group: Sequence[str], order: Sequence[str], text: str, separator: str, rows_per_part: int = 256
+    df: DataFrame, group: Sequence[str], order: Sequence[str], text: str, separator: str, rows_per_part: int = 256,
+    unique: bool = True,
 ) -> DataFrame:
     """A document per group as ordered parts ``(…group, part, text, n_rows)``.
 
     Parts joined by ``separator`` in ``part`` order are the whole document; no
     row ever holds more than ``rows_per_part`` inputs, however large the group.
+    With ``unique`` the order is a key of its group: then only the keys are
+    sorted and numbered, and the texts are read once.
     """
-    return parts_of(ordinal(df, group, order), group, text, separator, rows_per_part)
+    if not unique:
+        return parts_of(ordinal(df, group, order), group, text, separator, rows_per_part)
+    keys = [*group, *order]
+    numbered = df.join(ordinal(df.select(*keys), group, order), keys)
+    return parts_of(numbered, group, text, separator, rows_per_part)

@@ -8,31 +8,34 @@ from pyspark.sql import functions as F
 from . import endpoints as E
 
 
+def _counted(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Occurrences of each normalised endpoint on both sides, in one shuffle."""
+    key = E.normalise_endpoint("api").alias("key")
+    sides = left.select(*by, key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        right.select(*by, key, F.lit(0).alias("l"), F.lit(1).alias("r"))
+    )
+    return sides.groupBy(*by, "key").agg(F.sum("l").alias("l"), F.sum("r").alias("r")).withColumns(
+        {
+            "missing": F.greatest(F.col("l") - F.col("r"), F.lit(0)),
+            "extra": F.greatest(F.col("r") - F.col("l"), F.lit(0)),
+        }
+    )
+
+
 def multiset_difference(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     """Endpoints that occur more often on one side: ``(…by, key, missing, extra)``.
 
-    ``missing`` counts what the right side lacks, ``extra`` what it has too
-    many. Both sides are counted per key before they meet.
+    ``missing`` counts what the right side lacks, ``extra`` what it has too many.
     """
-    a = left.groupBy(*by, E.normalise_endpoint("api").alias("key")).agg(F.count(F.lit(1)).alias("a"))
-    b = right.groupBy(*by, E.normalise_endpoint("api").alias("key")).agg(F.count(F.lit(1)).alias("b"))
-    gap = F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))
-    return (
-        a.join(b, [*by, "key"], "full_outer")
-        .select(*by, "key", F.greatest(gap, F.lit(0)).alias("missing"), F.greatest(-gap, F.lit(0)).alias("extra"))
-        .where("missing > 0 or extra > 0")
-    )
+    return _counted(left, right, by).where("l <> r").drop("l", "r")
 
 
 def consistency(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     """Per group: sizes of both lists, and whether they agree as multisets."""
-    sizes = left.groupBy(*by).agg(F.count(F.lit(1)).alias("n_overview")).join(
-        right.groupBy(*by).agg(F.count(F.lit(1)).alias("n_usage")), by, "full_outer"
-    )
-    gaps = multiset_difference(left, right, by).groupBy(*by).agg(
-        F.sum("missing").alias("missing"), F.sum("extra").alias("extra")
+    out = _counted(left, right, by).groupBy(*by).agg(
+        F.sum("l").alias("n_overview"), F.sum("r").alias("n_usage"),
+        F.sum("missing").alias("missing"), F.sum("extra").alias("extra"),
     )
-    out = sizes.join(gaps, by, "left").fillna(0, ["n_overview", "n_usage", "missing", "extra"])
     return out.withColumn("consistent", (F.col("missing") == 0) & (F.col("extra") == 0))
 
 
@@ -45,9 +48,11 @@ def report_lines(gaps: DataFrame) -> DataFrame:
 
 def set_difference(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     """Upper-cased endpoints found on one side only."""
-    a = left.select(*by, F.upper("api").alias("key"))
-    b = right.select(*by, F.upper("api").alias("key"))
-    return a.subtract(b).withColumn("side", F.lit("left")).unionByName(b.subtract(a).withColumn("side", F.lit("right")))
+    sides = left.select(*by, F.upper("api").alias("key"), F.lit(True).alias("l")).unionByName(
+        right.select(*by, F.upper("api").alias("key"), F.lit(False).alias("l"))
+    )
+    seen = sides.groupBy(*by, "key").agg(F.bool_and("l").alias("only_l"), F.bool_or("l").alias("any_l"))
+    return seen.where("only_l or not any_l").select(*by, "key", F.when(F.col("only_l"), "left").otherwise("right").alias("side"))
 
 
 def missing_by_file(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from ..operators import state as Z
 from ..streaming import events as M
 from ..streaming import progress as J
 from ..streaming.snapshots import run_snapshots
-from ..sources.durable import fresh_dir
+from ..sources.durable import cut, fresh_dir
 from . import api_documents
 from .derived import derive, derive_from
 from .fold import fold_levels
@@ -483,7 +483,7 @@ def numbered_nodes(spark, folder):
 
 @query
 def numbered_edges(spark, folder):
-    e = _edges(spark, folder)
+    e = cut(_edges(spark, folder))
     return R.numbered_edges(e, R.numbered_nodes(e)).select("repo", "line")
 
 

@@ -13,7 +13,7 @@ from ..operators import documents as D
 from ..operators import enrichment as G
 from ..operators import hierarchy as H
 from ..operators.predicates import at_depth, doc_path
-from ..sources.durable import cut
+from ..sources.durable import cut, fresh_dir
 
 #: file rows with ``content`` in, ``(repo, relative_path, summary)`` out; null or blank = failed
 FileFunction = Callable[[DataFrame], DataFrame]
@@ -41,9 +41,16 @@ def fold_levels(
     not appear. The driver loops over depths only and keeps no rows; each
     level is written once and read back by the next.
     """
-    deepest = nodes.agg(F.max("depth")).first()[0]
-    counts = H.child_counts(nodes)
+    spark = nodes.sparkSession
     shape = [c for c in nodes.columns if c in _OUT and c not in ("status", "doc_path")]
+    nodes = cut(nodes.select(*shape))
+    deepest = nodes.agg(F.max("depth")).first()[0]
+    counts = cut(H.child_counts(nodes))
+    # texts meet their nodes once and are laid out by level, so a level reads only its own
+    inputs = fresh_dir(spark, "levels")
+    only_files = nodes.where("node_type = 'file'")
+    only_files.join(texts, ["repo", "relative_path"], "left").write.partitionBy("depth").parquet(inputs)
+    by_level = spark.read.schema(only_files.withColumn("content", F.lit("")).schema).parquet(inputs)
     ok = ~S.is_blank("summary")
     levels: list[DataFrame] = []
     stopped: DataFrame | None = None
@@ -51,7 +58,9 @@ def fold_levels(
         level = at_depth(nodes, depth).select(*shape)
         if stopped is not None:
             level = level.join(stopped, "repo", "left_anti")
-        files = level.where("node_type = 'file'").join(texts, ["repo", "relative_path"], "left")
+        files = at_depth(by_level, depth)
+        if stopped is not None:
+            files = files.join(stopped, "repo", "left_anti")
         written = files.drop("content").join(file_fn(files), ["repo", "relative_path"], "left").select(
             *shape,
             F.when(ok, "completed").otherwise("failed").alias("status"),
