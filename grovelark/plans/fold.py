@@ -34,9 +34,14 @@ def fold_levels(
     file_fn: FileFunction = standin_files,
     dir_fn: DirFunction = G.standin_directories,
     docs_root: str = "docs",
+    existing: DataFrame | None = None,
 ) -> DataFrame:
     """Documents for every node, deepest level first.
 
+    ``texts(repo, relative_path, content)`` are the file contents. Nodes in
+    ``existing(repo, relative_path, node_type, content)`` are finished already:
+    their documents are used as they are and no function is called for them.
+
     A repo with a failed node stops after that level: its shallower nodes do
     not appear. The driver loops over depths only and keeps no rows; each
     level is written once and read back by the next.
@@ -48,14 +53,20 @@ def fold_levels(
     counts = cut(H.child_counts(nodes))
     # texts meet their nodes once and are laid out by level, so a level reads only its own
     inputs = fresh_dir(spark, "levels")
-    only_files = nodes.where("node_type = 'file'")
-    only_files.join(texts, ["repo", "relative_path"], "left").write.partitionBy("depth").parquet(inputs)
-    by_level = spark.read.schema(only_files.withColumn("content", F.lit("")).schema).parquet(inputs)
+    layout = nodes.withColumn("content", F.lit("")).schema
+    todo, ready = nodes, None
+    if existing is not None:
+        known = nodes.join(existing, ["repo", "relative_path", "node_type"])
+        known.select(*layout.names).write.partitionBy("depth").parquet(f"{inputs}/ready")
+        ready = spark.read.schema(layout).parquet(f"{inputs}/ready")
+        todo = cut(nodes.join(ready.select("repo", "relative_path", "node_type"), ["repo", "relative_path", "node_type"], "left_anti"))
+    todo.where("node_type = 'file'").join(texts, ["repo", "relative_path"], "left").write.partitionBy("depth").parquet(f"{inputs}/open")
+    by_level = spark.read.schema(layout).parquet(f"{inputs}/open")
     ok = ~S.is_blank("summary")
     levels: list[DataFrame] = []
     stopped: DataFrame | None = None
     for depth in range(deepest, -1, -1):
-        level = at_depth(nodes, depth).select(*shape)
+        level = at_depth(todo, depth).select(*shape)
         if stopped is not None:
             level = level.join(stopped, "repo", "left_anti")
         files = at_depth(by_level, depth)
@@ -87,7 +98,12 @@ def fold_levels(
                 F.when(ok, D.dir_document(generated_at)).alias("content"),
             )
         )
-        done = cut(written.unionByName(folded))
+        done = written.unionByName(folded)
+        if ready is not None:
+            old = at_depth(ready, depth)
+            old = old if stopped is None else old.join(stopped, "repo", "left_anti")
+            done = done.unionByName(old.withColumn("status", F.lit("completed")).select(*done.columns))
+        done = cut(done)
         levels.append(done)
         failed = done.where("status = 'failed'").select("repo").distinct()
         if not failed.isEmpty():
