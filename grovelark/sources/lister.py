@@ -20,7 +20,7 @@ from ..functions import fixed_values as V
 from ..functions.globs import ignore_regex
 from .durable import cut
 
-_FOUND = "repo string, root string, relative_path string, name string, node_type string, size bigint, mtime timestamp"
+_FOUND = "repo string, root string, relative_path string, name string, node_type string, size bigint, mtime double"
 _BATCH = 10_000
 
 
@@ -56,7 +56,7 @@ def list_corpus(
                     elif entry.is_file() and not skip.search(path):
                         stat = entry.stat()
                         if os.path.splitext(entry.name)[1].lower() in wanted and stat.st_size <= max_file_size:
-                            yield repo, root, path, entry.name, "file", stat.st_size, pd.Timestamp(stat.st_mtime, unit="s")
+                            yield repo, root, path, entry.name, "file", stat.st_size, stat.st_mtime
                 except OSError:
                     continue
 
@@ -78,7 +78,8 @@ def list_corpus(
     frontier = roots.select("repo", "root", F.lit("").alias("relative_path"))
     found: DataFrame | None = None
     while True:
-        level = cut(frontier.repartition(partitions).mapInPandas(run, _FOUND))
+        listed = frontier.repartition(partitions).mapInPandas(run, _FOUND)
+        level = cut(listed.withColumn("mtime", F.timestamp_seconds("mtime")))
         found = level if found is None else found.unionByName(level)
         frontier = level.where("node_type = 'directory'").select("repo", "root", "relative_path")
         if frontier.isEmpty():

@@ -11,13 +11,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .progress import FILE_DONE
 
 OUT = "task_id bigint, file_path string, state string, seconds double"
+_COLUMNS = ["task_id", "file_path", "state", "seconds"]
 
 
 class ActiveNodes(StatefulProcessor):
-    """Keeps the start time of each running node; forgets it when the node ends.
+    """Keeps the latest start and end of each node; forgets both when the node ends.
 
-    A node that never ends is reported as ``expired`` after ``ttl_ms`` and its
-    state is dropped. A later end event of such a node has no effect.
+    Input is taken chunk by chunk in any order, so a node with very many events
+    needs no more memory than one. A node that never ends is reported as
+    ``expired`` after ``ttl_ms`` and its state is dropped; a later end event of
+    such a node has no effect.
     """
 
     def __init__(self, ttl_ms: int) -> None:
@@ -25,32 +28,38 @@ class ActiveNodes(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.start = handle.getValueState("start", "at double")
+        self.start = handle.getValueState("start", "at double, seq bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        began = self.start.get()[0] if self.start.exists() else None
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = tuple(self.start.get()) if self.start.exists() else None
+        start, end = known, None
+        for chunk in rows:
+            order = pd.Series(list(zip(chunk["ts"].map(pd.Timestamp.timestamp), chunk["seq"])), index=chunk.index)
+            begun, ended = order[chunk["type"] == "analysis_file_started"], order[chunk["type"].isin(FILE_DONE)]
+            start = max([*begun, *([start] if start else [])], default=None)
+            end = max([*ended, *([end] if end else [])], default=None)
         out = []
-        events = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        for e in events.itertuples(index=False):
-            at = e.ts.timestamp()
-            if e.type == "analysis_file_started":
-                began = at
+        if start is not None and (end is None or start > end):
+            if start != known:
                 out.append((*key, "active", 0.0))
-            elif e.type in FILE_DONE and began is not None:
-                out.append((*key, "done", at - began))
-                began = None
+                self._watch(start)
+        elif start is not None:
+            out.append((*key, "done", end[0] - start[0]))
+            self._watch(None)
+        yield pd.DataFrame(out, columns=_COLUMNS)
+
+    def _watch(self, start: tuple[float, int] | None) -> None:
         for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0])
-        if began is None:
+            self.handle.deleteTimer(timer)
+        if start is None:
             self.start.clear()
         else:
-            self.start.update((began,))
-            self.handle.registerTimer(int(began * 1000) + self.ttl_ms)
-        yield pd.DataFrame(out, columns=["task_id", "file_path", "state", "seconds"])
+            self.start.update((start[0], int(start[1])))
+            self.handle.registerTimer(int(start[0] * 1000) + self.ttl_ms)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.start.clear()
-        yield pd.DataFrame([(*key, "expired", self.ttl_ms / 1000)], columns=["task_id", "file_path", "state", "seconds"])
+        yield pd.DataFrame([(*key, "expired", self.ttl_ms / 1000)], columns=_COLUMNS)
 
     def close(self) -> None:
         pass
