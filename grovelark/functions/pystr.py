@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPACE = r"[\s\x1c-\x1f]"
+# fixed values: the characters str.strip() removes
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 _BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
@@ -19,11 +23,12 @@ def rx(pattern: str, flags: str = "") -> str:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), rf"(?U)^{_SPACE}+|{_SPACE}+\z", "")
+    """``str.strip``; a character trim, which only looks at the ends."""
+    return F.btrim(col(c), F.lit(WHITESPACE))
 
 
 def is_blank(c: Column | str) -> Column:
-    return F.coalesce(~col(c).rlike(rf"(?U)[^\s\x1c-\x1f]"), F.lit(True))
+    return F.coalesce(strip(c) == "", F.lit(True))
 
 
 def extract(c: Column | str, pattern: str, group: int, flags: str = "") -> Column:

@@ -169,33 +169,34 @@ def usage_endpoints(docs: DataFrame) -> DataFrame:
     lines; table rows count unless a heading already names them.
     """
     c = F.col("content")
-    heads = S.extract_all(c, _described_heading(), 1, "m")
-    method, path = F.lit(""), F.lit("")
-    for pattern, flags in ((V.USAGE_PLAIN, ""), (V.USAGE_NUMBERED, "i"), (V.USAGE_BRACKET, "")):
-        hit = S.matches("text", pattern, flags)
-        method = F.when(hit, S.strip(S.extract("text", pattern, 1, flags))).otherwise(method)
-        path = F.when(hit, S.strip(S.extract("text", pattern, 2, flags))).otherwise(path)
-    headings = (
-        docs.select("repo", "doc", F.posexplode(heads).alias("pos", "text"))
-        .withColumn("text", S.strip("text"))
-        .select("repo", "doc", "pos", method.alias("method"), path.alias("path"))
-        .where("method <> '' and path <> ''")
-        .select("repo", "doc", F.lit("heading").alias("origin"), "pos", endpoint_key().alias("api"))
-    )
-    m, p = S.strip("r.method"), S.strip("r.path")
-    table = (
-        docs.select("repo", "doc", F.posexplode(_grouped(c, V.USAGE_TABLE, {"method": 1, "path": 2}, "m")).alias("pos", "r"))
-        .select("repo", "doc", F.lit("table").alias("origin"), "pos", m.alias("method"), p.alias("path"))
-        .where(
-            ~F.lower("method").isin(*V.USAGE_SKIP_METHOD) & ~F.startswith("method", F.lit("-"))
-            & ~F.lower("path").isin(*V.USAGE_SKIP_PATH) & ~F.startswith("path", F.lit("-"))
-            & (F.col("method") != "") & (F.col("path") != "")
+
+    def parsed(text: Column, i: Column) -> Column:
+        method, path = F.lit(""), F.lit("")
+        for pattern, flags in ((V.USAGE_PLAIN, ""), (V.USAGE_NUMBERED, "i"), (V.USAGE_BRACKET, "")):
+            first = S.extract(text, pattern, 1, flags)
+            method = F.when(first != "", S.strip(first)).otherwise(method)
+            path = F.when(first != "", S.strip(S.extract(text, pattern, 2, flags))).otherwise(path)
+        return F.struct(F.lit("heading").alias("origin"), i.alias("pos"), method.alias("method"), path.alias("path"))
+
+    def trimmed(r: Column, i: Column) -> Column:
+        return F.struct(
+            F.lit("table").alias("origin"), i.alias("pos"), S.strip(r["method"]).alias("method"), S.strip(r["path"]).alias("path")
         )
-        .select("repo", "doc", "origin", "pos", endpoint_key().alias("api"))
-        .withColumn("_key", F.upper("api"))
+
+    heads = F.transform(F.transform(S.extract_all(c, _described_heading(), 1, "m"), S.strip), parsed)
+    table = F.filter(
+        F.transform(_grouped(c, V.USAGE_TABLE, {"method": 1, "path": 2}, "m"), trimmed),
+        lambda r: ~F.lower(r["method"]).isin(*V.USAGE_SKIP_METHOD) & ~F.startswith(r["method"], F.lit("-"))
+        & ~F.lower(r["path"]).isin(*V.USAGE_SKIP_PATH) & ~F.startswith(r["path"], F.lit("-")),
     )
-    named = headings.select("repo", "doc", F.upper("api").alias("_key")).distinct()
-    return headings.unionByName(table.join(named, ["repo", "doc", "_key"], "left_anti").drop("_key"))
+    found = F.filter(F.concat(heads, table), lambda r: (r["method"] != "") & (r["path"] != ""))
+    rows = docs.select("repo", "doc", F.inline(found)).select("repo", "doc", "origin", "pos", endpoint_key().alias("api"))
+    # the mentions of one endpoint in one document meet; a heading silences the table rows
+    met = rows.groupBy("repo", "doc", F.upper("api").alias("_key")).agg(
+        F.bool_or(F.col("origin") == "heading").alias("_named"), F.collect_list(F.struct("origin", "pos", "api")).alias("_all")
+    )
+    kept = F.filter("_all", lambda r: (r["origin"] == "heading") | ~F.col("_named"))
+    return met.select("repo", "doc", F.inline(kept))
 
 
 def _line_of(pattern: str) -> str:
@@ -211,33 +212,35 @@ def endpoints_by_module(docs: DataFrame) -> DataFrame:
     the earlier section; a section without endpoints leaves no trace.
     """
     edge = rf"(?dUm)^(?=[^\S\n]*(?:{_line_of(V.MODULE_NUMBERED)}|{_line_of(V.MODULE_PLAIN)})$)"
-    section = docs.select("repo", "doc", F.posexplode(F.split("content", edge)).alias("section", "text"))
-    first = S.strip(F.substring_index("text", "\n", 1))
-    name = F.when(S.matches(first, V.MODULE_NUMBERED), S.extract(first, V.MODULE_NUMBERED, 1)).when(
-        S.matches(first, V.MODULE_PLAIN), S.extract(first, V.MODULE_PLAIN, 1)
-    )
-    is_head = F.startswith(first, F.lit("###")) & ~F.contains(first, F.lit("|"))
-    section = section.withColumn("module", F.when(is_head, S.strip(name))).where("module is not null and module <> ''")
-    rows = F.filter(
-        F.transform(F.split("text", "\n"), lambda s, i: F.struct(i.alias("pos"), S.strip(s).alias("line"))),
-        lambda s: S.matches(s["line"], V.MODULE_ROW),
-    )
-    hits = (
-        section.select("repo", "doc", "section", "module", F.explode(rows).alias("r"))
-        .select(
-            "repo", "doc", "section", "module", F.col("r.pos").alias("pos"),
-            S.strip(S.extract("r.line", V.MODULE_ROW, 1)).alias("method"),
-            S.strip(S.extract("r.line", V.MODULE_ROW, 2)).alias("path"),
+
+    def endpoint(line: Column) -> Column:
+        return F.struct(
+            S.strip(S.extract(line, V.MODULE_ROW, 1)).alias("method"), S.strip(S.extract(line, V.MODULE_ROW, 2)).alias("path")
         )
-        .where(
-            ~F.col("method").isin(*V.MODULE_SKIP_METHOD) & ~F.startswith("method", F.lit("-"))
-            & ~F.col("path").isin(*V.MODULE_SKIP_PATH) & ~F.startswith("path", F.lit("-"))
+
+    def section(text: Column, i: Column) -> Column:
+        first = S.strip(F.substring_index(text, "\n", 1))
+        numbered, plain = S.extract(first, V.MODULE_NUMBERED, 1), S.extract(first, V.MODULE_PLAIN, 1)
+        is_head = F.startswith(first, F.lit("###")) & ~F.contains(first, F.lit("|"))
+        lines = F.filter(F.transform(F.split(text, "\n"), S.strip), lambda x: S.matches(x, V.MODULE_ROW))
+        rows = F.filter(
+            F.transform(lines, endpoint),
+            lambda r: ~r["method"].isin(*V.MODULE_SKIP_METHOD) & ~F.startswith(r["method"], F.lit("-"))
+            & ~r["path"].isin(*V.MODULE_SKIP_PATH) & ~F.startswith(r["path"], F.lit("-")),
         )
-        .groupBy("repo", "doc", "section", "module", endpoint_key().alias("api"))
-        .agg(F.min("pos").alias("pos"))
+        return F.struct(
+            i.alias("section"),
+            F.when(is_head, S.strip(F.when(numbered != "", numbered).otherwise(plain))).alias("module"),
+            F.array_distinct(F.transform(rows, lambda r: endpoint_key(r["method"], r["path"]))).alias("apis"),
+        )
+
+    sections = F.transform(F.split("content", edge), section)
+    real = F.filter(sections, lambda x: (x["module"] != "") & (F.size(x["apis"]) > 0))
+    newest = (
+        docs.select("repo", "doc", F.inline(real))
+        .groupBy("repo", "doc", "module").agg(F.max_by("apis", "section").alias("apis"))
     )
-    newest = hits.groupBy("repo", "doc", "module").agg(F.max("section").alias("section"))
-    return hits.join(newest, ["repo", "doc", "module", "section"], "left_semi").select("repo", "doc", "module", "pos", "api")
+    return newest.select("repo", "doc", "module", F.posexplode("apis").alias("pos", "api"))
 
 
 def heading_endpoints(docs: DataFrame) -> DataFrame:

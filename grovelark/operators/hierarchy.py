@@ -171,15 +171,16 @@ def child_documents(nodes: DataFrame, docs: DataFrame, rows_per_part: int = 256)
     ``docs(repo, relative_path, content)``. One directory may come in several
     parts; see :func:`assemble`.
     """
-    titled = (
-        nodes.where(F.col("relative_path") != ROOT)
-        .join(docs, ["repo", "relative_path"])
-        .select(
-            "repo",
-            F.col("parent_path").alias("dir"),
-            sibling_key().alias("_key"),
-            F.concat(F.lit("### "), "name", F.lit("\n\n"), "content").alias("text"),
-        )
+    return joined_children(nodes.join(docs, ["repo", "relative_path"]), rows_per_part)
+
+
+def joined_children(documented: DataFrame, rows_per_part: int = 256) -> DataFrame:
+    """As :func:`child_documents`, for node rows that already carry ``content``."""
+    titled = documented.where(F.col("relative_path") != ROOT).select(
+        "repo",
+        F.col("parent_path").alias("dir"),
+        sibling_key().alias("_key"),
+        F.concat(F.lit("### "), "name", F.lit("\n\n"), "content").alias("text"),
     )
     return assemble(titled, ["repo", "dir"], ["_key"], "text", V.DOC_SEPARATOR, rows_per_part)
 

@@ -8,6 +8,7 @@ per-range counts are added up.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,13 @@ from ..sources.durable import cut
 _BITS = 33  # monotonically_increasing_id keeps the partition number above these bits
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys that may be null: no row is lost for a missing key."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(other, same).drop(*[f"_r_{k}" for k in keys])
+
+
 def ordinal(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "ordinal") -> DataFrame:
     """1-based position of each row in its group under a total order.
 
@@ -29,11 +37,12 @@ def ordinal(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str
     ).withColumn("_range", F.shiftright("_at", _BITS))
     runs = rows.groupBy(*group, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = runs.select(
+    # one row per group and range: written, so that its size decides how it is joined
+    offsets = cut(runs.select(
         *group, "_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift")
-    )
+    ))
     return (
-        rows.join(offsets, [*group, "_range"])
+        join_on(rows, offsets, [*group, "_range"])
         .withColumn(name, F.col("_at") + F.col("_shift"))
         .drop("_at", "_range", "_shift")
     )
@@ -74,5 +83,5 @@ def assemble(
     if not unique:
         return parts_of(ordinal(df, group, order), group, text, separator, rows_per_part)
     keys = [*group, *order]
-    numbered = df.join(ordinal(df.select(*keys), group, order), keys)
+    numbered = join_on(df, ordinal(df.select(*keys), group, order), keys)
     return parts_of(numbered, group, text, separator, rows_per_part)

@@ -82,7 +82,8 @@ def fold_levels(
         )
         if levels:
             below = levels[-1].where("content is not null")
-            named = _children(below).join(dirs.select("repo", "relative_path", "name"), ["repo", "relative_path"])
+            parts = H.joined_children(below).withColumnRenamed("dir", "relative_path")
+            named = parts.join(dirs.select("repo", "relative_path", "name"), ["repo", "relative_path"])
             told = dir_fn(named).withColumn("_has", F.lit(True))
             dirs = dirs.join(told, ["repo", "relative_path"], "left")
         else:
@@ -113,7 +114,3 @@ def fold_levels(
         out = out.unionByName(more)
     return out.withColumn("doc_path", doc_path("relative_path", "node_type", docs_root)).select(*_OUT)
 
-
-def _children(below: DataFrame) -> DataFrame:
-    docs = below.select("repo", "relative_path", "content")
-    return H.child_documents(below.drop("content"), docs).withColumnRenamed("dir", "relative_path")

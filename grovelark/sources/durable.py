@@ -29,6 +29,11 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows once to reliable storage and continue from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows once to shared storage and continue from the written table.
+
+    A columnar table, so later steps read only the columns they need, and the
+    planner sees its true size when it decides whether to broadcast it.
+    """
+    folder = fresh_dir(df.sparkSession, "cut")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
