@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import paths as P
 from ..functions import pystr as S
+from ..sources.durable import cut
 from . import endpoints as E
 from .ranking import assemble, ordinal, parts_of
 
@@ -48,8 +49,12 @@ def project_document(kind: Column | str, project: Column | str, content: Column
 
 
 def overview_rows(apis: DataFrame) -> DataFrame:
-    """Numbered table rows over (source file, line): ``(repo, ordinal, line)``."""
-    num = ordinal(apis, ["repo"], ["source_file", "pos"])
+    """Numbered table rows over (source file, line): ``(repo, ordinal, line)``.
+
+    The parsed endpoints are written first, so that sorting them does not parse
+    the texts again.
+    """
+    num = ordinal(cut(apis), ["repo"], ["source_file", "pos"])
     line = F.format_string(
         "| %d | %s | %s | %s | %s | " + V.AUTH_DEFAULT + " |",
         F.col("ordinal"), E.module_display_name("module"), F.col("method"), F.col("path"), F.col("desc"),
@@ -69,7 +74,7 @@ def overview_frame(repos: DataFrame, apis: DataFrame) -> DataFrame:
 
 def numbered_list(apis: DataFrame, group: list[str], order: list[str], rows_per_part: int = 256) -> DataFrame:
     """``1. METHOD /path`` lines as ordered parts."""
-    num = ordinal(apis, group, order, "n").withColumn("line", F.format_string("%d. %s", "n", "api"))
+    num = ordinal(cut(apis), group, order, "n").withColumn("line", F.format_string("%d. %s", "n", "api"))
     return parts_of(num, group, "line", "\n", rows_per_part, "n")
 
 

@@ -161,7 +161,7 @@ def tree_listing(
     root = nodes.where(F.col("relative_path") == ROOT).select(
         "repo", "relative_path", "node_type", F.concat("repo", F.lit("/")).alias("line")
     )
-    listed = drawn.unionByName(root).withColumn("_key", preorder_key())
+    listed = cut(drawn.unionByName(root).withColumn("_key", preorder_key()))
     return ordinal(listed, ["repo"], ["_key"], "line_no").select("repo", "line_no", "line", "relative_path")
 
 

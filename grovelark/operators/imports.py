@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -88,46 +88,43 @@ def parse_edges(files: DataFrame, parsers: dict[str, Parser] = PARSERS) -> DataF
     return files.where(F.col("ext").isin(*parsers)).select("repo", F.col("relative_path").alias("source"), F.inline(found))
 
 
-def _syntax_edges(text: str) -> list[tuple] | None:
+def _syntax_edges(text: str) -> list[dict] | None:
+    """Imported names of one Python text, or None when it does not parse."""
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError):
         return None
     out = []
     for node in ast.walk(tree):
-        names = [a.name for a in node.names] if isinstance(node, (ast.Import, ast.ImportFrom)) else []
-        base = (node.module or "") if isinstance(node, ast.ImportFrom) else None
-        for name in names:
-            if base is None:
-                out.append((name, node.lineno, 0, f"import {name}"))
-            else:
-                out.append((f"{base}.{name}" if base else name, node.lineno, node.level, f"from {base} import {name}"))
+        if not isinstance(node, (ast.Import, ast.ImportFrom)):
+            continue
+        whole = isinstance(node, ast.Import)
+        base = "" if whole else node.module or ""
+        for alias in node.names:
+            out.append({
+                "target": ".".join(filter(None, (base, alias.name))),
+                "dep_type": "import",
+                "line": node.lineno,
+                "level": 0 if whole else node.level,
+                "detail": f"import {alias.name}" if whole else f"from {base} import {alias.name}",
+            })
     return out
 
 
-def _syntax_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"repo": batch["repo"], "relative_path": batch["relative_path"], "content": batch["content"],
-                            "found": [_syntax_edges(t) for t in batch["content"]]})
+def _syntax_batch(texts: pd.Series) -> pd.Series:
+    return texts.map(_syntax_edges)
 
 
 def parse_edges_by_syntax(files: DataFrame) -> DataFrame:
     """As :func:`parse_edges`, with Python files read by their syntax tree.
 
     One edge per imported name with line and detail; a file that does not parse
-    falls back to the pattern form.
+    falls back to the pattern form. Only the edges come back from Python.
     """
-    shape = "repo string, relative_path string, content string, found array<struct<target:string,line:int,level:int,detail:string>>"
-    py = files.where(F.col("ext") == ".py").select("repo", "relative_path", "content").mapInPandas(_syntax_batches, shape)
-    parsed = F.transform(
-        "found",
-        lambda e: F.struct(
-            e["target"].alias("target"), F.lit("import").alias("dep_type"), e["line"].alias("line"),
-            e["level"].alias("level"), e["detail"].alias("detail"),
-        ),
-    )
-    edges = F.coalesce(parsed, python_edges(F.col("content")))
-    from_py = py.select("repo", F.col("relative_path").alias("source"), F.inline(edges))
+    read = F.pandas_udf(_syntax_batch, f"array<{_EDGE}>")
+    py = files.where(F.col("ext") == ".py").select("repo", F.col("relative_path").alias("source"), "content")
+    found = py.withColumn("found", read("content"))
+    from_py = found.select("repo", "source", F.inline(F.coalesce("found", python_edges(F.col("content")))))
     others = {k: v for k, v in PARSERS.items() if k != ".py"}
     return from_py.unionByName(parse_edges(files, others))
 
