@@ -146,9 +146,9 @@ def cycles(edges: DataFrame, max_length: int = 3) -> DataFrame:
     step by step from that node over larger nodes only; their number is the
     number of such paths, so raise the bound with care on dense graphs.
     """
-    links = edges.select("repo", "source", "target").distinct()
+    links = cut(edges.select("repo", "source", "target").distinct())
     loops = links.where("source = target").select("repo", F.array("source", "target").alias("cycle"))
-    core = trim_core(cut(links.where("source <> target")))
+    core = trim_core(links.where("source <> target"))
     back = core.select("repo", F.col("target").alias("source"), F.col("source").alias("target"))
     pairs = core.where("source < target").join(back, ["repo", "source", "target"], "left_semi")
     found = [loops, pairs.select("repo", F.array("source", "target", "source").alias("cycle"))]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import paths as P
 from ..functions import pystr as S
+from ..sources.durable import cut
 
 _EDGE = "struct<target:string,dep_type:string,line:int,level:int,detail:string>"
 
@@ -195,6 +196,7 @@ def resolve_targets(edges: DataFrame, files: DataFrame, resolve: str = "paths")
     if resolve == "none":
         same = known.withColumn("target", F.col("resolved"))
         return edges.join(same, ["repo", "target"], "left")
+    edges = cut(edges)  # used twice: the texts are parsed once
     source, target = F.col("source"), F.col("target")
     lang = P.extension_of(P.name_of(source))
     level = F.coalesce(F.col("level"), F.lit(0))
