@@ -24,7 +24,7 @@ JS_REQUIRE = r"""require\s*\(\s*['"]([^'"]+)['"]\s*\)"""
 TS_TYPE = r"""import\s+type\s+.*?\s+from\s+['"]([^'"]+)['"]"""
 
 
-def _imports(ext: str, pattern: str, kind: str = "import", detail: str = "NULL") -> str:
+def _imports(ext: str, pattern: str, kind: str = "import", detail: str = "CAST(NULL AS STRING)") -> str:
     return (
         f"SELECT repo, relative_path AS source, unnest({_extract_all('content', pattern, 1)}) AS target, "
         f"'{kind}' AS dep_type, {detail} AS detail FROM code WHERE ext = '{ext}'"
@@ -63,7 +63,7 @@ HELPERS: dict[str, str] = {
     "all_dirs": """SELECT DISTINCT repo, d AS relative_path FROM (
         SELECT repo, unnest(list_transform(range(0, len(parts)), lambda i: array_to_string(parts[1:i], '/'))) AS d FROM {split_files}) x""",
     "nodes": """SELECT repo, relative_path, parts, array_to_string(parts[1:len(parts) - 1], '/') AS parent_path, parts[len(parts)] AS name,
-        CASE WHEN relative_path = '' THEN 0 ELSE len(parts) END AS depth, node_type,
+        CAST(CASE WHEN relative_path = '' THEN 0 ELSE len(parts) END AS INTEGER) AS depth, node_type,
         CASE WHEN node_type = 'file' THEN concat('docs/', relative_path, '.md') WHEN relative_path = '' THEN 'docs/_dir_summary.md'
              ELSE concat('docs/', relative_path, '/_dir_summary.md') END AS doc_path
         FROM (SELECT repo, relative_path, parts, 'file' AS node_type FROM {kept}
@@ -284,14 +284,14 @@ _UNION_SIDES = "(SELECT {by}, {key} AS key, count(*) AS a, 0 AS b FROM {{overvie
 
 def _gaps(by: str) -> str:
     inner = _UNION_SIDES.format(by=by, key=_KEY).replace("{{", "{").replace("}}", "}")
-    return f"SELECT {by}, key, greatest(sum(a) - sum(b), 0) AS missing, greatest(sum(b) - sum(a), 0) AS extra FROM {inner} GROUP BY ALL HAVING sum(a) <> sum(b)"
+    return f"SELECT {by}, key, CAST(greatest(sum(a) - sum(b), 0) AS BIGINT) AS missing, CAST(greatest(sum(b) - sum(a), 0) AS BIGINT) AS extra FROM {inner} GROUP BY ALL HAVING sum(a) <> sum(b)"
 
 
 BODIES: dict[str, str] = {
     # predicates
     "ignored_paths": "SELECT repo, relative_path FROM {judged} WHERE ignored",
     "kept_files": "SELECT repo, relative_path, size FROM {kept}",
-    "path_columns": "SELECT repo, relative_path, name, array_to_string(parts[1:len(parts) - 1], '/') AS parent_path, len(parts) AS depth, ext FROM {split_files}",
+    "path_columns": "SELECT repo, relative_path, name, array_to_string(parts[1:len(parts) - 1], '/') AS parent_path, CAST(len(parts) AS INTEGER) AS depth, ext FROM {split_files}",
     "nodes_by_type": "SELECT repo, relative_path, parent_path, name, depth FROM {nodes} WHERE node_type = 'directory'",
     "nodes_at_depth": "SELECT repo, relative_path FROM {nodes} WHERE node_type = 'directory' AND depth = 3",
     "nodes_per_depth": "SELECT repo, depth, node_type, count(*) AS n FROM {nodes} GROUP BY ALL",
@@ -374,7 +374,7 @@ BODIES: dict[str, str] = {
     "dependencies_of": "SELECT repo, target FROM {edges} WHERE source = 'b0/m0.py'",
     "dependents_of": "SELECT repo, source FROM {edges} WHERE target = 'os'",
     "import_histogram": "SELECT repo, split_part(split_part(target, '.', 1), '/', 1) AS module, count(*) AS n FROM {edges} GROUP BY ALL",
-    "top_imports": """SELECT repo, module, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, module) AS rank FROM (
+    "top_imports": """SELECT repo, module, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY n DESC, module) AS INTEGER) AS rank FROM (
         SELECT repo, split_part(split_part(target, '.', 1), '/', 1) AS module, count(*) AS n FROM {links} GROUP BY ALL) h) r WHERE rank <= 10""",
     "dependency_cycles": """WITH e AS (SELECT DISTINCT repo, source AS s, resolved AS t FROM {resolved} WHERE resolved IS NOT NULL)
         SELECT repo, 1 AS length, concat(s, ' -> ', t) AS cycle FROM e WHERE s = t
@@ -391,7 +391,7 @@ BODIES: dict[str, str] = {
     "edge_export": "SELECT repo, CAST(json_object('source', source, 'target', target, 'type', dep_type, 'line', NULL, 'detail', detail) AS STRING) AS json FROM {edges}",
     # endpoints
     "api_blocks": "SELECT repo, relative_path, has_api, CASE WHEN has_api THEN block END AS api_info FROM {judged_blocks}",
-    "endpoint_rows": 'SELECT repo, source_file, pos, module, method, path, "desc" FROM {apis}',
+    "endpoint_rows": 'SELECT repo, source_file, CAST(pos AS INTEGER) AS pos, module, method, path, "desc" FROM {apis}',
     "module_names": f"SELECT module, {_BADGE} AS label, count(*) AS n FROM {{apis}} GROUP BY ALL",
     "overview_table": f"""SELECT repo, n AS ordinal, concat('| ', n, ' | ', {_BADGE}, ' | ', method, ' | ', path, ' | ', "desc", ' | 否 |') AS line
         FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY source_file, pos) AS n FROM {{apis}}) x""",
@@ -411,7 +411,7 @@ BODIES: dict[str, str] = {
     "missing_by_file": "SELECT repo, source_file, concat(method, ' ', path) AS api FROM {apis} a WHERE NOT EXISTS (SELECT 1 FROM {heading_apis} h WHERE h.repo = a.repo AND h.api = concat(a.method, ' ', a.path))",
     "extra_endpoints": "SELECT repo, api FROM {heading_apis} EXCEPT SELECT repo, concat(method, ' ', path) FROM {apis}",
     "files_without_details": "SELECT repo, source_file FROM {api_info} a WHERE NOT EXISTS (SELECT 1 FROM {details} d WHERE d.repo = a.repo AND d.source_file = a.source_file)",
-    "endpoint_coverage": """SELECT repo, source_file, count(*) FILTER (hit) AS covered, count(*) AS total,
+    "endpoint_coverage": """SELECT repo, source_file, CAST(count(*) FILTER (hit) AS INTEGER) AS covered, CAST(count(*) AS INTEGER) AS total,
         coalesce(string_agg(concat(method, ' ', path), '; ' ORDER BY pos) FILTER (NOT hit), '') AS missed FROM (
           SELECT a.*, contains(coalesce(d.details, ''), a.path) AS hit FROM {apis} a LEFT JOIN {details} d USING (repo, source_file)) x GROUP BY ALL""",
     "grouped_details": f"SELECT repo, grp, heading, part, text, n_rows FROM ({_GROUPED}) p JOIN ({_HEADINGS}) h USING (repo, grp)",
@@ -421,7 +421,7 @@ BODIES: dict[str, str] = {
         coalesce(list_position(['核心业务接口', '会话管理接口', '资源管理接口', '用户与认证接口', '系统管理接口', '辅助接口'], module), 9), module) AS n FROM {{module_docs}}) x""",
     "module_overview_counts": "SELECT repo, module, count(*) AS total, concat('- ', module, ': ', count(*), ' 个') AS line FROM {modules} WHERE module = '辅助接口' GROUP BY repo, module",
     "bounded_sample": f"""SELECT repo, n, concat('## 文件: ', source_file, {NL}, {NL}, substr(details, 1, 2000)) AS sample
-        FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY source_file) AS n FROM {{details}}) x WHERE n <= 3""",
+        FROM (SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY source_file) AS INTEGER) AS n FROM {{details}}) x WHERE n <= 3""",
     "sample_of_text": "SELECT repo, relative_path, md5(array_to_string(regexp_extract_all(content, '(?s).')[1:8000], '')) AS digest FROM {files}",
     "numbered_endpoint_list": "SELECT repo, doc, CAST((n - 1) // 32 AS BIGINT) AS part, string_agg(concat(n, '. ', api), chr(10) ORDER BY n) AS text, count(*) AS n_rows FROM (SELECT *, row_number() OVER (PARTITION BY repo, doc ORDER BY pos) AS n FROM {overview}) x GROUP BY repo, doc, (n - 1) // 32",
     "combined_details": _parts("{details}", "repo", "source_file", f"concat('## 文件: ', source_file, {NL}, {NL}, details)", _SEP, 32),
@@ -466,7 +466,7 @@ BODIES: dict[str, str] = {
     "percentages": f"SELECT seq, {_PCT} AS pct, least(100.0, {_PCT}) AS capped FROM {{progress}}",
     "last_segments": r"SELECT page_id, CASE WHEN regexp_extract(url, '([^/\\]*)$', 1) = '' THEN url ELSE regexp_extract(url, '([^/\\]*)$', 1) END AS tail FROM {pages}",
     "extension_histogram": "SELECT CASE WHEN ext = '' THEN '(无扩展名)' ELSE ext END AS ext, count(*) AS n FROM {split_files} GROUP BY ALL",
-    "queue_stats": f"""SELECT task_id, count(*) AS total, count(*) FILTER (s = 'queued') AS queued, 0 AS running, count(*) FILTER (s = 'completed') AS completed,
+    "queue_stats": f"""SELECT task_id, count(*) AS total, count(*) FILTER (s = 'queued') AS queued, CAST(0 AS BIGINT) AS running, count(*) FILTER (s = 'completed') AS completed,
         count(*) FILTER (s = 'failed') AS failed, count(*) FILTER (s = 'queued') AS pending FROM (
           SELECT task_id, CASE WHEN length(file_path) % 2 = 0 THEN 'queued' ELSE status END AS s FROM ({_NODE_STATUS}) a) b GROUP BY task_id""",
     "run_stats": """SELECT repo, count(*) FILTER (node_type = 'file') AS total_files, count(*) FILTER (node_type = 'directory') AS total_dirs,
