@@ -462,7 +462,7 @@ def import_histogram(spark, folder):
 
 @query
 def top_imports(spark, folder):
-    return R.top_imports(_page_edges(spark, folder)).select("repo", "module", "n", "rank")
+    return R.top_imports(_edges(spark, folder)).select("repo", "module", "n", "rank")
 
 
 @query

@@ -375,7 +375,7 @@ BODIES: dict[str, str] = {
     "dependents_of": "SELECT repo, source FROM {edges} WHERE target = 'os'",
     "import_histogram": "SELECT repo, split_part(split_part(target, '.', 1), '/', 1) AS module, count(*) AS n FROM {edges} GROUP BY ALL",
     "top_imports": """SELECT repo, module, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY n DESC, module) AS INTEGER) AS rank FROM (
-        SELECT repo, split_part(split_part(target, '.', 1), '/', 1) AS module, count(*) AS n FROM {links} GROUP BY ALL) h) r WHERE rank <= 10""",
+        SELECT repo, split_part(split_part(target, '.', 1), '/', 1) AS module, count(*) AS n FROM {edges} GROUP BY ALL) h) r WHERE rank <= 10""",
     "dependency_cycles": """WITH e AS (SELECT DISTINCT repo, source AS s, resolved AS t FROM {resolved} WHERE resolved IS NOT NULL)
         SELECT repo, 1 AS length, concat(s, ' -> ', t) AS cycle FROM e WHERE s = t
         UNION ALL SELECT a.repo, 2, concat(a.s, ' -> ', a.t, ' -> ', a.s) FROM e a JOIN e b ON a.repo = b.repo AND a.t = b.s AND b.t = a.s WHERE a.s < a.t
