@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(named)
         return named
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError(f"set {_SETTING} to a folder every executor can reach")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="grovelark-"))
     return sc.getCheckpointDir()

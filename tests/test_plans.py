@@ -8,12 +8,12 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
 from conftest import rows
 from grovelark.operators import diff as X
 from grovelark.operators import hierarchy as H
 from grovelark.operators import predicates as B
 from grovelark.operators import ranking as K
+from grovelark.plans.catalogue import QUERIES
 
 
 def plan(df) -> str:
@@ -26,9 +26,9 @@ def plan(df) -> str:
 EAGER = ("streamed", "bottom_up", "retried", "project_inputs", "api_document_parts")
 
 
-@pytest.mark.parametrize("name", sorted(n for n in queries() if not n.startswith(EAGER)))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith(EAGER)))
 def test_no_cross_product_and_no_single_task(spark, small, name):
-    text = plan(queries()[name](spark, small))
+    text = plan(QUERIES[name](spark, small))
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition", "BatchEvalPython"):
         assert word not in text
 
@@ -40,7 +40,7 @@ def test_scan_reads_and_filters_only_what_it_needs(spark, tmp_path):
 
 
 def test_contents_are_hashed_before_the_shuffle(spark, small):
-    files = queries()["fingerprints"](spark, small)
+    files = QUERIES["fingerprints"](spark, small)
     assert "Exchange" not in plan(files)
     a = spark.range(5).select(F.lit("r").alias("repo"), F.col("id").cast("string").alias("relative_path"), F.col("id").alias("size"), F.col("id").alias("mtime"), F.lit("text").alias("content"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -55,8 +55,8 @@ def test_contents_are_hashed_before_the_shuffle(spark, small):
 
 
 def test_top_k_is_limited_before_the_shuffle(spark, small):
-    assert "WindowGroupLimit" in plan(queries()["top_imports"](spark, small))
-    assert "WindowGroupLimit" in plan(queries()["bounded_sample"](spark, small))
+    assert "WindowGroupLimit" in plan(QUERIES["top_imports"](spark, small))
+    assert "WindowGroupLimit" in plan(QUERIES["bounded_sample"](spark, small))
 
 
 def test_positions_need_no_window_over_the_group(spark):

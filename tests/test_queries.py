@@ -7,9 +7,11 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from grovelark.plans.catalogue import QUERIES
+from oracles import oracle_sql
 
-QUERIES, ORACLES = queries(), oracle_sql()
+ORACLES = oracle_sql()
 
 
 @pytest.fixture(scope="module")
