@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .identifiers import op8_identifiers
+from .secrets_ledger import op9_secrets
 from .token_planes import op5_token_planes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_planes": op5_token_planes,
+    "op8_identifiers": op8_identifiers,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLES: dict[str, str] = {}
