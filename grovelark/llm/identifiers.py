@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, islice, takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,7 +112,7 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
             continue
         while at < len(base) and reach[at] <= s:  # fixed matches that end before the word
             at += 1
-        near = [x for x in base[at : at + 8] if x[0] < e and s < x[2]]
+        near = [x for x in takewhile(lambda x: x[0] < e, islice(base, at, None)) if s < x[2]]
         kind = next((KINDS[k] for bs, k, be in near if bs <= s and e <= be), None)
         if near and kind is None:
             continue

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .identifiers import op8_identifiers
+from .language_id import op2_language
 from .secrets_ledger import op9_secrets
 from .token_planes import op5_token_planes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language": op2_language,
     "op5_token_planes": op5_token_planes,
     "op8_identifiers": op8_identifiers,
     "op9_secrets": op9_secrets,
