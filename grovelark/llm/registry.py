@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .identifiers import op8_identifiers
 from .language_id import op2_language
+from .quality_lm import op10_quality
 from .secrets_ledger import op9_secrets
 from .token_planes import op5_token_planes
 
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_planes": op5_token_planes,
     "op8_identifiers": op8_identifiers,
     "op9_secrets": op9_secrets,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {}
