@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ MAGIC = b"GLBP0001"
 CHUNK_IDS = 1 << 16
 END_ID = 1
 MEMO_WORDS = 800_000
-_OWN_WORDS = re.compile(r"(?:\S|[\x1c-\x1f])+")
+_OWN_WORDS, _SPACE = re.compile(r"(?:\S|[\x1c-\x1f])+"), re.compile(r"[^\S\x1c-\x1f]")
 
 DOC_ROWS = "file string, position bigint, doc_id bigint, n_tokens bigint, before bigint, ids_crc32 bigint"
 
@@ -144,9 +145,10 @@ class WordMemo:
     """Token ids of texts by way of their distinct words.
 
     The tokenizer drops white space and none of its rules looks across it, so a text's ids are those of its white-space
-    separated words one after another. Plain words (Latin letters, then marks) are lowered, cut into letters and marks
+    separated words one after another. Words of Latin letters and marks are lowered, cut into runs of letters and of marks
     and given to the tokenizer's merges together, where ``</w>`` tokens show the ends; all others go through the whole
-    tokenizer one by one. The tests hold both against the tokenizer on whole texts.
+    tokenizer one by one. (The separators 1C to 1F are white space to Python, not to the tokenizer.) The tests hold both
+    against the tokenizer on whole texts.
     """
 
     def __init__(self, path: str, words: int = MEMO_WORDS):
@@ -164,48 +166,48 @@ class WordMemo:
             self.merges.normalizer = normalizers.Sequence([])
             self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
             letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))
-            marks = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+            marks = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe, which starts contractions
             to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
             self.bytes = str.maketrans({c: to_bytes.pre_tokenize_str(c)[0][0] for c in sorted(set((letters + marks).lower()))})
-            self.plain = re.compile(f"([{letters}]+)([{re.escape(marks)}]*)")
+            self.odd, self.marks = re.compile(f"[^{letters}{re.escape(marks)}\\x20\\x09-\\x0D]"), re.compile(f"[{re.escape(marks)}]+")
             vocabulary = self.whole.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words, self.limit = {}, words
         self.starts, self.sizes, self.ids, self.n = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 16, np.uint32), 0
 
+    def _split(self, text: str) -> list[str]:
+        """The keys of a text in order: letters, marks, or ``\\0`` and a word that only the whole tokenizer can take."""
+        out, at, m = [], 0, self.odd.search(text)
+        while m:
+            s, e = m.start(), _OWN_WORDS.match(text, m.start())
+            while e and s > at and not _SPACE.match(text, s - 1):
+                s -= 1
+            out += self.marks.sub(r" \g<0> ", text[at:s].lower()).split()
+            at = e.end() if e else m.end()  # white space that is not plain, or a word of its own
+            if e:
+                out.append("\0" + text[s:at])
+            m = self.odd.search(text, at)
+        return out + self.marks.sub(r" \g<0> ", text[at:].lower()).split()
+
     def _learn(self, new: list[str]) -> None:
-        parts: dict[str, int] = {}
-        plain, odd = [], []
-        for w in new:
-            m = self.plain.fullmatch(w)
-            if m:
-                a, b = m[1].lower(), m[2]
-                plain.append((w, parts.setdefault(a, len(parts)), parts.setdefault(b, len(parts)) if b else -1))
-            else:
-                odd.append(w)
-        pieces: list[np.ndarray] = []
-        keys: list[str] = []
+        plain, odd = [w for w in new if w[0] != "\0"], [w for w in new if w[0] == "\0"]
+        flat, size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if plain:
-            got = np.array(self.merges.encode_batch_fast([" ".join(parts).translate(self.bytes)], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[got]) + 1
-            part = np.split(got, cuts[:-1])
-            if len(part) != len(parts):
+            flat = np.array(self.merges.encode_batch_fast([" ".join(plain).translate(self.bytes)], add_special_tokens=False)[0].ids, np.uint32)
+            size = np.diff(np.concatenate([[0], np.flatnonzero(self.ends[flat]) + 1]))
+            if len(size) != len(plain):
                 raise ValueError("the tokenizer's word ends don't fit its words")
-            for w, a, b in plain:
-                keys.append(w)
-                pieces.append(part[a] if b < 0 else np.concatenate([part[a], part[b]]))
         if odd:
-            for w, e in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-                keys.append(w)
-                pieces.append(np.array(e.ids, np.uint32))
-        base, sizes = len(self.words), np.array([len(p) for p in pieces], np.int64)
-        self.words.update(zip(keys, range(base, base + len(keys)), strict=True))
-        flat = np.concatenate(pieces)
-        self.starts, self.sizes = _room(self.starts, base + len(keys)), _room(self.sizes, base + len(keys))
+            lists = [e.ids for e in self.whole.encode_batch_fast([w[1:] for w in odd], add_special_tokens=False)]
+            flat = np.concatenate([flat, np.array([i for x in lists for i in x], np.uint32)])
+            size = np.concatenate([size, np.array([len(x) for x in lists], np.int64)])
+        base, n = len(self.words), len(new)
+        self.words.update(zip(plain + odd, range(base, base + n), strict=True))
+        self.starts, self.sizes = _room(self.starts, base + n), _room(self.sizes, base + n)
         self.ids = _room(self.ids, self.n + len(flat))
-        self.starts[base : base + len(keys)] = self.n + np.cumsum(sizes) - sizes
-        self.sizes[base : base + len(keys)] = sizes
+        self.starts[base : base + n] = self.n + np.cumsum(size) - size
+        self.sizes[base : base + n] = size
         self.ids[self.n : self.n + len(flat)] = flat
         self.n += len(flat)
 
@@ -217,13 +219,13 @@ class WordMemo:
         if len(self.words) > self.limit:  # a bound of memory: what is dropped is learnt again
             self.words.clear()
             self.n = 0
-        split = [_words(t) for t in texts]
+        split = [self._split(t) for t in texts]
         flat = [w for ws in split for w in ws]
-        known = self.words
-        new = {w for w in flat if w not in known}
-        if new:
-            self._learn(sorted(new))
-        at = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        at = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int64, len(flat))
+        unknown = np.flatnonzero(at < 0).tolist()
+        if unknown:
+            self._learn(list(dict.fromkeys(flat[i] for i in unknown)))
+            at[unknown] = [self.words[flat[i]] for i in unknown]
         sizes, starts = self.sizes[at], self.starts[at]
         n_words = np.array([len(ws) for ws in split], np.int64)
         ends_at = np.cumsum(n_words)
@@ -231,7 +233,7 @@ class WordMemo:
             sizes, starts = np.insert(sizes, ends_at, 1), np.insert(starts, ends_at, -1)
             ends_at = ends_at + np.arange(1, len(texts) + 1)
         sums = np.concatenate([[0], np.cumsum(sizes)])
-        where = np.repeat(starts - sums[:-1], sizes) + np.arange(sums[-1])
+        where = _ranges(starts, sizes)
         if end_id is None:
             return np.diff(np.concatenate([[0], sums[ends_at]])), self.ids[where]
         last = sums[ends_at] - 1
@@ -241,9 +243,10 @@ class WordMemo:
         return np.diff(np.concatenate([[0], sums[ends_at]])), out
 
 
-def _words(text: str) -> list[str]:
-    """White-space separated words; the four separators that Python alone calls white space belong to words."""
-    return _OWN_WORDS.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, … of each range, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:
