@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bottom_k import op3_fingerprints
+from .decontaminate import op4_decontaminate
+from .decontaminate import oracle as contamination_sql
 from .identifiers import op8_identifiers
 from .language_id import op2_language
 from .quality_lm import op10_quality
@@ -14,10 +17,13 @@ from .token_planes import op5_token_planes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_decontaminate": op4_decontaminate,
     "op5_token_planes": op5_token_planes,
     "op8_identifiers": op8_identifiers,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+#: None for 2, 3, 5, 8, 9 and 10: models, hashes, files and code-point offsets that SQL has no words for; see tests/llm.
+ORACLES: dict[str, str] = {"op4_decontaminate": contamination_sql()}
