@@ -10,6 +10,7 @@ from .bottom_k import op3_fingerprints
 from .decontaminate import op4_decontaminate
 from .decontaminate import oracle as contamination_sql
 from .identifiers import op8_identifiers
+from .jaccard_join import op6_jaccard_join
 from .language_id import op2_language
 from .quality_lm import op10_quality
 from .secrets_ledger import op9_secrets
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_planes": op5_token_planes,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_identifiers": op8_identifiers,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
