@@ -12,6 +12,8 @@ from .decontaminate import oracle as contamination_sql
 from .identifiers import op8_identifiers
 from .jaccard_join import op6_jaccard_join
 from .language_id import op2_language
+from .mixing import op7_mixing
+from .mixing import oracle as mixing_sql
 from .quality_lm import op10_quality
 from .secrets_ledger import op9_secrets
 from .token_planes import op5_token_planes
@@ -22,10 +24,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_token_planes": op5_token_planes,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_mixing": op7_mixing,
     "op8_identifiers": op8_identifiers,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
 }
 
-#: None for 2, 3, 5, 8, 9 and 10: models, hashes, files and code-point offsets that SQL has no words for; see tests/llm.
-ORACLES: dict[str, str] = {"op4_decontaminate": contamination_sql()}
+#: None for 2, 3, 5, 6, 8, 9 and 10: models, hashes, files and code-point offsets that SQL has no words for; see tests/llm.
+ORACLES: dict[str, str] = {"op4_decontaminate": contamination_sql(), "op7_mixing": mixing_sql()}
