@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bottom_k import op3_fingerprints
 from .decontaminate import op4_decontaminate
 from .decontaminate import oracle as contamination_sql
+from .html_main import op1_main_text
 from .identifiers import op8_identifiers
 from .jaccard_join import op6_jaccard_join
 from .language_id import op2_language
@@ -19,6 +20,7 @@ from .secrets_ledger import op9_secrets
 from .token_planes import op5_token_planes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_main_text": op1_main_text,
     "op2_language": op2_language,
     "op3_fingerprints": op3_fingerprints,
     "op4_decontaminate": op4_decontaminate,
@@ -30,5 +32,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-#: None for 2, 3, 5, 6, 8, 9 and 10: models, hashes, files and code-point offsets that SQL has no words for; see tests/llm.
+#: None for 1, 2, 3, 5, 6, 8, 9 and 10: models, hashes, files and code-point offsets that SQL has no words for; see tests/llm.
 ORACLES: dict[str, str] = {"op4_decontaminate": contamination_sql(), "op7_mixing": mixing_sql()}
