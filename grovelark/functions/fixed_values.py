@@ -133,8 +133,6 @@ ERRORS_MERGED_DEFAULT = (
     "\n\n\n## 四、调用示例\n\n（调用示例内容待补充）"
 )
 MODULE_SECTION = r"(##\s*二、按模块分类.*)"
-BATCH_THRESHOLD = 20
-SAMPLE_FILES, SAMPLE_CHARS, SAMPLE_TOTAL_CHARS = 3, 2000, 8000
 
 # --- fixed values: stand-in text function and retry ------------------------------
 STANDIN_FILE = "[模拟分析] 文件: %s\n代码行数: %d"

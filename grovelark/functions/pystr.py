@@ -57,15 +57,19 @@ def line_count(c: Column | str) -> Column:
 
 
 def title(c: Column | str) -> Column:
-    """``str.title``: capitalise after every character that is not a letter."""
-    runs = F.regexp_extract_all(col(c), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, F.initcap), "")
+    """``str.title``: capitalise after every character that has no case."""
+    runs = F.regexp_extract_all(col(c), F.lit(r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.lower(F.substr(r, F.lit(2))))), "")
+
+
+_ASIDE = "\U0010fffd\U0010fffc\U0010fffd"
 
 
 def text_of(content: Column | str) -> Column:
     """Decode bytes as UTF-8, drop bad bytes, normalise newlines."""
     raw = col(content)
-    decoded = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(
-        F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("�"), F.lit(""))
-    )
+    # genuine replacement characters step aside for a private-use one that the text does not have
+    held = F.replace(raw.cast("string"), F.lit("�"), F.lit(_ASIDE))
+    mended = F.replace(F.replace(F.make_valid_utf8(held), F.lit("�"), F.lit("")), F.lit(_ASIDE), F.lit("�"))
+    decoded = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(mended)
     return F.regexp_replace(decoded, "\r\n?", "\n")

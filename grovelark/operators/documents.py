@@ -105,24 +105,9 @@ def grouped_details(details: DataFrame, rows_per_part: int = 256) -> DataFrame:
     return assemble(noted, ["repo", "group"], ["source_file"], "text", "\n", rows_per_part).join(names, ["repo", "group"])
 
 
-def bounded_sample(details: DataFrame) -> DataFrame:
-    """The first files of a repo, each cut to a fixed length: a prompt sample."""
-    first = Window.partitionBy("repo").orderBy("source_file")
-    return (
-        details.withColumn("n", F.row_number().over(first))
-        .where(F.col("n") <= V.SAMPLE_FILES)
-        .select("repo", "n", F.concat(F.lit("## 文件: "), "source_file", F.lit("\n\n"), F.left("details", F.lit(V.SAMPLE_CHARS))).alias("sample"))
-    )
-
-
-def text_sample(text: Column | str) -> Column:
-    return F.left(S.col(text), F.lit(V.SAMPLE_TOTAL_CHARS))
-
-
-def route_by_size(apis: DataFrame, threshold: int = V.BATCH_THRESHOLD) -> DataFrame:
-    """Repos with few endpoints take one pass, the others are assembled."""
-    n = apis.groupBy("repo").agg(F.count(F.lit(1)).alias("total"))
-    return n.withColumn("route", F.when(F.col("total") <= threshold, "single").otherwise("assembled"))
+def endpoint_totals(apis: DataFrame) -> DataFrame:
+    """Endpoints per repo; documents of every size are assembled from parts."""
+    return apis.groupBy("repo").agg(F.count(F.lit(1)).alias("total"))
 
 
 # ------------------------------------------------------------ sections
@@ -190,9 +175,9 @@ def merged_modules(module_docs: DataFrame) -> DataFrame:
 
 
 def module_counts(apis: DataFrame) -> DataFrame:
-    """Overview lines for the modules of the fixed order only."""
-    n = apis.where(F.col("module").isin(*V.MODULE_ORDER)).groupBy("repo", "module").agg(F.count(F.lit(1)).alias("total"))
-    return n.withColumn("line", F.format_string("- %s: %d 个", "module", "total"))
+    """Overview lines of all modules: the fixed order first, others after them by name."""
+    n = apis.groupBy("repo", "module").agg(F.count(F.lit(1)).alias("total"))
+    return module_sequence(n).withColumn("line", F.format_string("- %s: %d 个", "module", "total"))
 
 
 def filled(template: str, fields: dict[str, Column | str]) -> Column:

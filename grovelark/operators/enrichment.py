@@ -52,11 +52,13 @@ def _outcomes(fn: BatchFunction, batch: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def apply_text_function(rows: DataFrame, fn: BatchFunction, max_concurrent: int, keep: list[str]) -> DataFrame:
+def apply_text_function(rows: DataFrame, fn: BatchFunction, keep: list[str]) -> DataFrame:
     """``keep`` columns plus ``success, summary, error, elapsed_time``.
 
-    Concurrency is bounded by the number of partitions. ``fn`` may run again
-    for a row when a task is retried, so it has to be idempotent.
+    Texts stay where they are: one task per partition of ``rows``. A service
+    that bears few calls at a time is spared by the cluster's own limits (task
+    resources of the stage) or inside ``fn``. ``fn`` may run again for a row
+    when a task is retried, so it has to be idempotent.
     """
     schema = T.StructType([rows.schema[c] for c in keep] + _OUTCOME)
 
@@ -65,7 +67,7 @@ def apply_text_function(rows: DataFrame, fn: BatchFunction, max_concurrent: int,
             done = _outcomes(fn, batch)
             yield pd.concat([batch[keep].reset_index(drop=True), done], axis=1)
 
-    return rows.repartition(max_concurrent).mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)
 
 
 def retry_delay(attempt: Column | str, jitter: Column | None = None) -> Column:
@@ -75,7 +77,7 @@ def retry_delay(attempt: Column | str, jitter: Column | None = None) -> Column:
 
 
 def run_with_retries(
-    rows: DataFrame, fn: BatchFunction, key: list[str], max_concurrent: int = 8,
+    rows: DataFrame, fn: BatchFunction, key: list[str],
     max_retries: int = V.MAX_RETRIES, seed: int = 0,
 ) -> DataFrame:
     """Outcome per row after at most ``max_retries + 1`` rounds.
@@ -87,7 +89,7 @@ def run_with_retries(
     todo = rows.withColumns({"attempt": F.lit(0), "delay": F.lit(0.0)})
     done: DataFrame | None = None
     for attempt in range(max_retries + 1):
-        out = cut(apply_text_function(todo, fn, max_concurrent, [*key, "attempt"]))
+        out = cut(apply_text_function(todo, fn, [*key, "attempt"]))
         final = out if attempt == max_retries else out.where("success")
         done = final if done is None else done.unionByName(final)
         failed = out.where(~F.col("success"))
@@ -137,27 +139,30 @@ def standin_project(project: Column | str, path: Column | str) -> Column:
     return F.format_string(V.STANDIN_PROJECT, S.col(project), S.col(path))
 
 
-def staged(fn: BatchFunction, max_concurrent: int = 8, rows_per_part: int = 256) -> Callable[[DataFrame], DataFrame]:
-    """A directory function from a batch function.
+def staged(fn: BatchFunction, rows_per_part: int = 256) -> Callable[[DataFrame], DataFrame]:
+    """A directory function from a batch function, by one rule for all sizes.
 
-    A directory whose children fit one part is one call. A larger one is
-    summarised part by part, and the part summaries are joined and summarised
-    again until one text is left, so every child counts and no row grows
-    without bound.
+    Every directory is summarised part by part, then its part summaries are
+    joined and summarised, again by parts, until one text is left. So every
+    child counts, no row grows without bound, and even a single part passes
+    through both steps.
     """
     key = ["repo", "relative_path", "name"]
 
     def run(parts: DataFrame) -> DataFrame:
         done: DataFrame | None = None
+        step = 0
         while True:
+            step += 1
             sizes = parts.groupBy(*key).agg(F.count(F.lit(1)).alias("n_parts"))
-            out = cut(apply_text_function(parts.join(sizes, key), fn, max_concurrent, [*key, "part", "n_parts"]))
-            lost = out.where(~F.col("success") & (F.col("n_parts") > 1)).select(*key).distinct()
-            final = out.where("n_parts = 1").select("repo", "relative_path", "summary").unionByName(
+            out = cut(apply_text_function(parts.join(sizes, key), fn, [*key, "part", "n_parts"]))
+            whole = (F.col("n_parts") == 1) & F.lit(step > 1)
+            lost = out.where(~F.col("success") & ~whole).select(*key).distinct()
+            final = out.where(whole).select("repo", "relative_path", "summary").unionByName(
                 lost.select("repo", "relative_path", F.lit(None).cast("string").alias("summary"))
             )
             done = final if done is None else done.unionByName(final)
-            more = out.where("n_parts > 1").join(lost, key, "left_anti")
+            more = out.where(~whole).join(lost, key, "left_anti")
             if more.isEmpty():
                 return done
             numbered = more.select(*key, F.col("part").alias("p"), F.col("summary").alias("t"))

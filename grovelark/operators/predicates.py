@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import paths as P
 from ..functions.globs import ignore_regex
+from .ranking import ordinal
 
 
 def is_ignored(path: Column | str, is_dir: Column | None = None, patterns: Iterable[str] = V.IGNORE_PATTERNS) -> Column:
@@ -27,12 +28,11 @@ def keep_files(
     files: DataFrame,
     patterns: Iterable[str] = V.IGNORE_PATTERNS,
     extensions: Iterable[str] = V.INCLUDE_EXTENSIONS,
-    max_file_size: int = V.MAX_FILE_SIZE,
+    max_file_size: int | None = None,
 ) -> DataFrame:
-    """Scan predicates: size limit (equal is kept), extension list, ignores."""
-    return files.where(
-        (F.col("size") <= max_file_size) & is_supported("name", extensions) & ~is_ignored("relative_path", None, patterns)
-    )
+    """Scan predicates: extension list, ignores and, if given, a size limit (equal is kept)."""
+    kept = files if max_file_size is None else files.where(F.col("size") <= max_file_size)
+    return kept.where(is_supported("name", extensions) & ~is_ignored("relative_path", None, patterns))
 
 
 def drop_own_output(files: DataFrame, docs_dirs: DataFrame) -> DataFrame:
@@ -85,13 +85,17 @@ def is_pathlike(target: Column | str) -> Column:
     return F.startswith(t, F.lit(".")) | F.contains(t, F.lit("/"))
 
 
-def edge_view(edges: DataFrame, mode: str = "all", limit: int | None = 100) -> DataFrame:
-    """Edges as displayed: all, path-like or bare targets; the first ``limit`` in order."""
-    if mode != "all":
-        edges = edges.where(is_pathlike("target") if mode == "pathlike" else ~is_pathlike("target"))
-    if limit is None:
+def edge_view(edges: DataFrame, mode: str = "all") -> DataFrame:
+    """Edges as displayed: all, path-like or bare targets."""
+    if mode == "all":
         return edges
-    return edges.orderBy("repo", "source", "target", "dep_type").limit(limit)
+    return edges.where(is_pathlike("target") if mode == "pathlike" else ~is_pathlike("target"))
+
+
+def edge_listing(edges: DataFrame, mode: str = "all") -> DataFrame:
+    """Every edge of the view with its ``position`` in its repo's display order; a page is a range of positions."""
+    keys = ["source", "target", "dep_type"]
+    return ordinal(edge_view(edges, mode).select("repo", *keys), ["repo"], keys, "position")
 
 
 def doc_path(path: Column | str, node_type: Column | str, docs_root: str = "docs") -> Column:

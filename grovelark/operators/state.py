@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import paths as P
+from .ranking import ordinal
 
 _KEY = ["repo", "kind", "key"]
 NODE_KINDS = ("file", "directory")
@@ -70,7 +71,7 @@ def completed_nodes(nodes: DataFrame, log: DataFrame, docs: DataFrame | None) ->
 def restore_status(nodes: DataFrame, log: DataFrame, docs: DataFrame) -> DataFrame:
     """Status from state: completed (with document), else failed, else as it was."""
     records = node_records(log).select("repo", "node_type", "relative_path", "completed", "failed")
-    present = docs.select("repo", "doc_path", F.lit(True).alias("_doc"))
+    present = docs.select("repo", "doc_path").distinct().withColumn("_doc", F.lit(True))
     info = stored_texts(log, "api_info").select("repo", F.col("key").alias("relative_path"), F.col("value").alias("_info"))
     done = F.coalesce(F.col("completed") & F.col("_doc"), F.lit(False))
     return (
@@ -191,7 +192,8 @@ def status_report(log: DataFrame) -> DataFrame:
     )
 
 
-def first_failed(log: DataFrame, limit: int = 10) -> DataFrame:
-    return node_records(log).where("failed").select("repo", "relative_path").orderBy("repo", "relative_path").limit(limit)
+def failed_in_order(log: DataFrame) -> DataFrame:
+    """Failed nodes of every repo with their ``position`` in path order."""
+    return ordinal(node_records(log).where("failed").select("repo", "relative_path", "node_type"), ["repo"], ["relative_path", "node_type"], "position")
 
 

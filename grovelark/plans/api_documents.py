@@ -21,12 +21,12 @@ def extraction_work(docs: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def extract_details(
-    docs: DataFrame, log: DataFrame, fn: G.BatchFunction, kind: str, seq: int, max_concurrent: int = 8
+    docs: DataFrame, log: DataFrame, fn: G.BatchFunction, kind: str, seq: int
 ) -> tuple[DataFrame, DataFrame]:
     """Phase one: run ``fn`` on the open files; new log rows, and the failures."""
     have = Z.stored_texts(log, kind).select("repo", F.col("key").alias("source_file"))
     work = extraction_work(docs, have)
-    out = G.run_with_retries(work, fn, ["repo", "source_file"], max_concurrent)
+    out = G.run_with_retries(work, fn, ["repo", "source_file"])
     ok, bad = G.split_outcomes(out)
     rows = ok.select("repo", F.col("source_file").alias("key"), F.col("summary").alias("value"), F.lit(seq).cast("long").alias("seq"))
     return Z.save_texts(rows, kind), bad
@@ -35,7 +35,7 @@ def extract_details(
 def summarise_details(details: DataFrame, fn: G.BatchFunction, max_concurrent: int = 8) -> DataFrame:
     """Phase two: one text per repo from all its details; large repos in stages."""
     parts = D.combined_details(details).withColumns({"relative_path": F.lit(""), "name": F.col("repo")})
-    return G.staged(fn, max_concurrent)(parts).select("repo", "summary")
+    return G.staged(fn)(parts).select("repo", "summary")
 
 
 def usage_document_parts(repos: DataFrame, details: DataFrame, rows_per_part: int = 256, common: DataFrame | None = None) -> DataFrame:

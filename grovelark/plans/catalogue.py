@@ -25,6 +25,7 @@ from ..operators import state as Z
 from ..streaming import events as M
 from ..streaming import progress as J
 from ..streaming.snapshots import run_snapshots
+from ..sources.tables import table
 from ..sources.durable import cut, fresh_dir
 from . import api_documents
 from .derived import derive, derive_from
@@ -32,7 +33,6 @@ from .fold import fold_levels
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-STAMP = F.lit
 
 
 def query(fn: Query) -> Query:
@@ -99,7 +99,8 @@ def ignored_paths(spark, folder):
 
 @query
 def kept_files(spark, folder):
-    return _kept(spark, folder).select("repo", "relative_path", "size")
+    """With a size limit that some files of every scale exceed."""
+    return B.keep_files(_files(spark, folder), max_file_size=4096).select("repo", "relative_path", "size")
 
 
 @query
@@ -140,12 +141,12 @@ def tasks_by_status(spark, folder):
 
 @query
 def edge_display(spark, folder):
-    return B.edge_view(_edges(spark, folder), "pathlike").select("repo", "source", "target", "dep_type")
+    return B.edge_listing(_edges(spark, folder), "pathlike").select("repo", "position", "source", "target", "dep_type")
 
 
 @query
 def edges_by_form(spark, folder):
-    e = B.edge_view(_edges(spark, folder), "bare", None)
+    e = B.edge_view(_edges(spark, folder), "bare")
     return e.groupBy("repo", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -388,7 +389,8 @@ def status_report(spark, folder):
 
 @query
 def first_failed(spark, folder):
-    return Z.first_failed(derive(spark, folder, "state_log"))
+    """The failed nodes of every repo in order; a report shows the first positions."""
+    return Z.failed_in_order(derive(spark, folder, "state_log")).select("repo", "position", "relative_path")
 
 
 # ------------------------------------------------------------ dependency graph
@@ -409,12 +411,6 @@ QUERIES["imports_java"] = _by_language(".java")
 QUERIES["imports_go"] = _by_language(".go")
 
 
-@query
-def imports_python_syntax(spark, folder):
-    e = I.parse_edges_by_syntax(derive(spark, folder, "code")).where(F.endswith("source", F.lit(".py")))
-    return e.select("repo", "source", "target", "line", "level", "detail")
-
-
 @query
 def dependency_edges(spark, folder):
     return _edges(spark, folder).select("repo", "source", "target", "dep_type")
@@ -462,7 +458,7 @@ def import_histogram(spark, folder):
 
 @query
 def top_imports(spark, folder):
-    return R.top_imports(_edges(spark, folder)).select("repo", "module", "n", "rank")
+    return R.top_imports(_edges(spark, folder), 10).select("repo", "module", "n", "rank")
 
 
 @query
@@ -471,6 +467,23 @@ def dependency_cycles(spark, folder):
     return R.cycles(e, 3).select("repo", "length", R.format_cycle().alias("cycle"))
 
 
+def _inside(spark: SparkSession, folder: str) -> DataFrame:
+    """Resolved edges, and per repo one ring through all files of a directory, so that cycles of many lengths occur."""
+    e = _resolved(spark, folder).where("resolved is not null").select("repo", "source", F.col("resolved").alias("target"))
+    part = F.concat(F.lit("ring/"), (F.col("doc_id") % 37 + 3).cast("string"))
+    at = table(spark, folder, "documents").select((F.col("doc_id") % 4).cast("string").alias("r"), "doc_id")
+    ring = at.select(
+        F.concat(F.lit("r"), "r").alias("repo"), F.concat(part, F.lit("/"), (F.col("doc_id") % 7).cast("string")).alias("source"),
+        F.concat(part, F.lit("/"), ((F.col("doc_id") + 1) % 7).cast("string")).alias("target"),
+    ).distinct()
+    return e.unionByName(ring)
+
+
+@query
+def cyclic_components(spark, folder):
+    return R.cyclic_components(_inside(spark, folder))
+
+
 @query
 def graph_totals(spark, folder):
     return R.graph_totals(_resolved(spark, folder))
@@ -607,9 +620,8 @@ def document_sections(spark, folder):
 
 
 @query
-def routed_by_size(spark, folder):
-    a = _apis(spark, folder).select(F.col("source_file").alias("repo"))
-    return D.route_by_size(a, 12)
+def endpoint_totals(spark, folder):
+    return D.endpoint_totals(_apis(spark, folder).select(F.col("source_file").alias("repo")))
 
 
 @query
@@ -620,17 +632,7 @@ def merged_modules(spark, folder):
 @query
 def module_overview_counts(spark, folder):
     apis = E.endpoints_by_module(derive(spark, folder, "module_lists"))
-    return D.module_counts(apis).select("repo", "module", "total", "line")
-
-
-@query
-def bounded_sample(spark, folder):
-    return D.bounded_sample(derive(spark, folder, "details"))
-
-
-@query
-def sample_of_text(spark, folder):
-    return _files(spark, folder).select("repo", "relative_path", F.md5(D.text_sample("content")).alias("digest"))
+    return D.module_counts(apis).select("repo", "n", "module", "total", "line")
 
 
 @query
@@ -710,14 +712,14 @@ def _checksum(batch):
 @query
 def text_function(spark, folder):
     rows = _kept(spark, folder).select("repo", "relative_path", "content")
-    out = G.apply_text_function(rows, _checksum, 8, ["repo", "relative_path"])
+    out = G.apply_text_function(rows, _checksum, ["repo", "relative_path"])
     return out.select("repo", "relative_path", "success", "summary", "error")
 
 
 @query
 def retried_text_function(spark, folder):
     rows = _kept(spark, folder).select("repo", "relative_path", "content")
-    out = G.run_with_retries(rows, _checksum, ["repo", "relative_path"], 8, 2)
+    out = G.run_with_retries(rows, _checksum, ["repo", "relative_path"], 2)
     return out.select("repo", "relative_path", "attempt", "success", "summary", "error")
 
 
@@ -742,8 +744,7 @@ def filled_prompts(spark, folder):
 @query
 def validated_outputs(spark, folder):
     blank = F.when(F.col("turn") % 3 == 0, F.lit(" 　\n\t")).when(F.col("turn") % 5 == 4, F.lit(None).cast("string"))
-    out = G.validated(derive(spark, folder, "conversations").withColumn("summary", blank.otherwise(F.col("role"))) if False else
-                      derive(spark, folder, "conversations").withColumn("summary", F.when(F.col("turn") % 3 == 0, F.lit(" 　\n\t")).when(F.col("turn") % 5 == 4, F.lit(None).cast("string")).otherwise(F.col("role"))))
+    out = G.validated(derive(spark, folder, "conversations").withColumn("summary", blank.otherwise(F.col("role"))))
     return out.select("conv_id", "turn", "success", "summary", "error")
 
 
@@ -944,8 +945,9 @@ def streamed_level_counters(spark, folder):
 def streamed_changes(spark, folder):
     """Two snapshots arrive one after the other; the changes of the second run."""
     base = fresh_dir(spark, "snapshots")
+    columns = ["repo", "relative_path", "size", "mtime", "content"]
     for n, view in enumerate(("files_old", "files_new")):
-        derive(spark, folder, view).select("repo", "relative_path", "size", "mtime", "content").coalesce(1).write.parquet(f"{base}/in/{n}")
-        schema = "repo string, relative_path string, size bigint, mtime bigint, content string"
-        run_snapshots(spark.readStream.schema(schema).parquet(f"{base}/in/*"), base)
+        derive(spark, folder, view).select(F.lit(n).cast("bigint").alias("snapshot"), *columns).write.parquet(f"{base}/in/{n}")
+    schema = "snapshot bigint, repo string, relative_path string, size bigint, mtime bigint, content string"
+    run_snapshots(spark.readStream.schema(schema).parquet(f"{base}/in/*"), base)
     return spark.read.parquet(f"{base}/changes/run=1").select("repo", "path", "change_type")

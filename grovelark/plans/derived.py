@@ -92,7 +92,7 @@ FROM (
          concat(CASE g % 5 WHEN 0 THEN 'apiserver/' WHEN 1 THEN 'mqtt_tool/sub/' WHEN 2 THEN 'voice/' WHEN 3 THEN 'data-hub/' ELSE '' END,
                 'f', <id g>, '.py') AS source_file,
          concat('uses ', path, ' to ', note) AS line
-  FROM {calls} WHERE g % 3 <> 1 AND event_id % 6 <> 0) t
+  FROM {calls} WHERE g % 5 <> 1 AND event_id % 6 <> 0) t
 GROUP BY repo, source_file""",
     "overview_docs": """
 SELECT concat('r', <id g2 % 3>) AS repo, concat('d', <id g2>) AS doc,

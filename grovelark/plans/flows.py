@@ -32,10 +32,11 @@ class Options:
 
     patterns: tuple[str, ...] = V.IGNORE_PATTERNS
     extensions: tuple[str, ...] = V.INCLUDE_EXTENSIONS
-    max_file_size: int = V.MAX_FILE_SIZE
+    max_file_size: int | None = None
     docs_root: str = "docs"
     max_cycle: int = 3
-    partitions: int = 64
+    top_imports: int = 10
+    partitions: int | None = None
 
 
 def corpus(roots: DataFrame, options: Options = Options()) -> DataFrame:
@@ -64,7 +65,8 @@ def dependencies(files: DataFrame, options: Options = Options(), by_syntax: bool
     return {
         "edges": edges,
         "totals": R.graph_totals(edges),
-        "top_imports": R.top_imports(edges),
+        "top_imports": R.top_imports(edges, options.top_imports),
+        "cyclic_components": R.cyclic_components(inside),
         "cycles": R.cycles(inside, options.max_cycle),
         "graph_nodes": nodes,
         "graph_edges": R.numbered_edges(edges, nodes),

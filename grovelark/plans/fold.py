@@ -50,6 +50,8 @@ def fold_levels(
     shape = [c for c in nodes.columns if c in _OUT and c not in ("status", "doc_path")]
     nodes = cut(nodes.select(*shape))
     deepest = nodes.agg(F.max("depth")).first()[0]
+    if deepest is None:  # nothing to fold
+        return nodes.withColumns({c: F.lit(None).cast("string") for c in ("status", "content", "doc_path")}).select(*_OUT)
     counts = cut(H.child_counts(nodes))
     # texts meet their nodes once and are laid out by level, so a level reads only its own
     inputs = fresh_dir(spark, "levels")

@@ -28,11 +28,12 @@ def list_corpus(
     roots: DataFrame,
     patterns: Iterable[str] = V.IGNORE_PATTERNS,
     extensions: Iterable[str] = V.INCLUDE_EXTENSIONS,
-    max_file_size: int = V.MAX_FILE_SIZE,
-    partitions: int = 64,
+    max_file_size: int | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Supported files and all kept directories below ``roots(repo, root)``.
 
+    What cannot be read is a row too, with ``node_type`` ``unreadable``.
     One round per tree level; an ignored directory is never entered. Each
     round's entries are written before its directories are listed.
     """
@@ -44,21 +45,22 @@ def list_corpus(
         try:
             scan = os.scandir(base)
         except OSError:
+            yield repo, root, folder, os.path.basename(folder), "unreadable", None, None
             return
         with scan:
             for entry in scan:
                 path = f"{folder}/{entry.name}" if folder else entry.name
                 try:
                     if entry.is_dir():
-                        loop = entry.is_symlink() and os.path.realpath(base).startswith(os.path.realpath(entry.path))
+                        loop = entry.is_symlink() and _inside(os.path.realpath(base), os.path.realpath(entry.path))
                         if not loop and not skip.search(path + "/"):
                             yield repo, root, path, entry.name, "directory", None, None
                     elif entry.is_file() and not skip.search(path):
                         stat = entry.stat()
-                        if os.path.splitext(entry.name)[1].lower() in wanted and stat.st_size <= max_file_size:
+                        if os.path.splitext(entry.name)[1].lower() in wanted and (max_file_size is None or stat.st_size <= max_file_size):
                             yield repo, root, path, entry.name, "file", stat.st_size, stat.st_mtime
                 except OSError:
-                    continue
+                    yield repo, root, path, entry.name, "unreadable", None, None
 
     columns = [c.split()[0] for c in _FOUND.split(", ")]
 
@@ -78,7 +80,8 @@ def list_corpus(
     frontier = roots.select("repo", "root", F.lit("").alias("relative_path"))
     found: DataFrame | None = None
     while True:
-        listed = frontier.repartition(partitions).mapInPandas(run, _FOUND)
+        spread = frontier.repartition(partitions) if partitions else frontier.repartition("repo", "relative_path")
+        listed = spread.mapInPandas(run, _FOUND)
         level = cut(listed.withColumn("mtime", F.timestamp_seconds("mtime")))
         found = level if found is None else found.unionByName(level)
         frontier = level.where("node_type = 'directory'").select("repo", "root", "relative_path")
@@ -86,6 +89,11 @@ def list_corpus(
             return found
 
 
+def _inside(path: str, folder: str) -> bool:
+    """Whether ``path`` is ``folder`` or lies below it."""
+    return path == folder or path.startswith(folder.rstrip(os.sep) + os.sep)
+
+
 def with_contents(files: DataFrame, partitions: int | None = None) -> DataFrame:
     """Raw bytes of listed files; null when a file cannot be read."""
     columns = files.columns

@@ -41,10 +41,17 @@ def apply_snapshot(files: DataFrame, run: int, base: str) -> None:
     nxt.write.mode("overwrite").parquet(f"{base}/snapshots/run={run}")
 
 
+def apply_batch(batch: DataFrame, base: str) -> None:
+    """Every snapshot that a micro-batch holds, in the order of their numbers, however many have waited."""
+    numbers = [r["snapshot"] for r in batch.select("snapshot").distinct().orderBy("snapshot").collect()]  # one row per snapshot
+    for n in numbers:
+        apply_snapshot(batch.where(F.col("snapshot") == n).drop("snapshot"), n, base)
+
+
 def run_snapshots(stream: DataFrame, base: str) -> None:
-    """Each micro-batch of ``files`` rows is one complete snapshot."""
+    """``stream`` has file rows with the number of their ``snapshot``; a snapshot arrives in one micro-batch, alone or with others."""
     query = (
-        stream.writeStream.foreachBatch(lambda batch, n: apply_snapshot(batch, n, base))
+        stream.writeStream.foreachBatch(lambda batch, n: apply_batch(batch, base))
         .option("checkpointLocation", f"{base}/offsets").trigger(availableNow=True).start()
     )
     query.awaitTermination()

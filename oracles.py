@@ -18,7 +18,8 @@ def _extract_all(text: str, pattern: str, group: int) -> str:
     return f"regexp_extract_all({text}, '{pattern.replace(chr(39), chr(39) * 2)}', {group})"
 
 
-JS_FROM = r"""import[\s]+.*?\s+from\s+['"]([^'"]+)['"]"""
+# Fixed patterns of the import forms, as in grovelark.functions.fixed_values
+JS_FROM = r"""import\s+.*?\s+from\s+['"]([^'"]+)['"]"""
 JS_BARE = r"""import\s+['"]([^'"]+)['"]"""
 JS_REQUIRE = r"""require\s*\(\s*['"]([^'"]+)['"]\s*\)"""
 TS_TYPE = r"""import\s+type\s+.*?\s+from\s+['"]([^'"]+)['"]"""
@@ -57,7 +58,7 @@ HELPERS: dict[str, str] = {
     "split_files": "SELECT *, string_split(relative_path, '/') AS parts, lower(regexp_extract(name, '^.+(\\.[^.]+)$', 1)) AS ext FROM {files}",
     "judged": """SELECT *, len(list_filter(parts, lambda s: starts_with(s, '.') OR ends_with(s, '.log') OR ends_with(s, '.pyc') OR ends_with(s, '.tmp'))) > 0
         OR len(list_intersect(parts[1:len(parts) - 1], ['node_modules', '__pycache__', 'venv', 'dist', 'build'])) > 0 AS ignored FROM {split_files}""",
-    "kept": "SELECT * FROM {judged} WHERE NOT ignored AND size <= 102400 AND ext IN ('.py', '.js', '.ts', '.java')",
+    "kept": "SELECT * FROM {judged} WHERE NOT ignored AND ext IN ('.py', '.js', '.ts', '.java')",
     "dirs": """SELECT DISTINCT repo, d AS relative_path FROM (
         SELECT repo, unnest(list_transform(range(0, len(parts)), lambda i: array_to_string(parts[1:i], '/'))) AS d FROM {kept}) x""",
     "all_dirs": """SELECT DISTINCT repo, d AS relative_path FROM (
@@ -290,7 +291,7 @@ def _gaps(by: str) -> str:
 BODIES: dict[str, str] = {
     # predicates
     "ignored_paths": "SELECT repo, relative_path FROM {judged} WHERE ignored",
-    "kept_files": "SELECT repo, relative_path, size FROM {kept}",
+    "kept_files": "SELECT repo, relative_path, size FROM {kept} WHERE size <= 4096",
     "path_columns": "SELECT repo, relative_path, name, array_to_string(parts[1:len(parts) - 1], '/') AS parent_path, CAST(len(parts) AS INTEGER) AS depth, ext FROM {split_files}",
     "nodes_by_type": "SELECT repo, relative_path, parent_path, name, depth FROM {nodes} WHERE node_type = 'directory'",
     "nodes_at_depth": "SELECT repo, relative_path FROM {nodes} WHERE node_type = 'directory' AND depth = 3",
@@ -298,7 +299,7 @@ BODIES: dict[str, str] = {
     "pending_nodes": "SELECT repo, relative_path, node_type FROM {restored} WHERE status = 'pending'",
     "api_nodes": "SELECT repo, relative_path, api_info FROM {restored} WHERE node_type = 'file' AND has_api",
     "tasks_by_status": f"SELECT task_id, status FROM ({_LIFE}) l WHERE status = 'completed'",
-    "edge_display": "SELECT repo, source, target, dep_type FROM {edges} WHERE starts_with(target, '.') OR contains(target, '/') ORDER BY repo, source, target, dep_type LIMIT 100",
+    "edge_display": "SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY source, target, dep_type) AS position, source, target, dep_type FROM {edges} WHERE starts_with(target, '.') OR contains(target, '/')",
     "edges_by_form": "SELECT repo, target, count(*) AS n FROM {edges} WHERE NOT (starts_with(target, '.') OR contains(target, '/')) GROUP BY ALL",
     "document_paths": "SELECT repo, relative_path, node_type, doc_path FROM {nodes}",
     "without_own_output": """SELECT f.repo, relative_path FROM {files} f JOIN (SELECT repo, max(lang) AS d FROM {files} GROUP BY repo) o USING (repo)
@@ -359,12 +360,9 @@ BODIES: dict[str, str] = {
         doc_path FROM {docs} WHERE doc_path NOT IN ('docs/README.md', 'docs/API_DOC.md', 'docs/API_USAGE.md')""",
     "status_report": """SELECT repo, count(*) FILTER (node_type = 'file' AND completed) AS completed_files, count(*) FILTER (node_type = 'directory' AND completed) AS completed_dirs,
         count(*) FILTER (failed) AS failed FROM {records} GROUP BY repo""",
-    "first_failed": "SELECT repo, relative_path FROM {records} WHERE failed ORDER BY repo, relative_path LIMIT 10",
+    "first_failed": "SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY relative_path, node_type) AS position, relative_path FROM {records} WHERE failed",
     # graph
     **{f"imports_{k}": sql.replace("FROM code", "FROM {code}") for k, sql in IMPORTS.items()},
-    "imports_python_syntax": r"""SELECT repo, relative_path AS source, CASE line WHEN 1 THEN 'os' WHEN 2 THEN t ELSE 'typing.List' END AS target, line, 0 AS level,
-        CASE line WHEN 3 THEN 'from typing import List' ELSE string_split(content, chr(10))[line] END AS detail
-        FROM (SELECT *, unnest([1, 2, 3]) AS line, regexp_extract(content, 'import (b\d+\.m\d)', 1) AS t FROM {code} WHERE ext = '.py') x""",
     "dependency_edges": "SELECT repo, source, target, dep_type FROM {edges}",
     "graph_nodes": "SELECT repo, node FROM {edge_nodes}",
     "page_graph_nodes": "SELECT repo, node FROM {link_nodes}",
@@ -376,6 +374,11 @@ BODIES: dict[str, str] = {
     "import_histogram": "SELECT repo, split_part(split_part(target, '.', 1), '/', 1) AS module, count(*) AS n FROM {edges} GROUP BY ALL",
     "top_imports": """SELECT repo, module, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY n DESC, module) AS INTEGER) AS rank FROM (
         SELECT repo, split_part(split_part(target, '.', 1), '/', 1) AS module, count(*) AS n FROM {edges} GROUP BY ALL) h) r WHERE rank <= 10""",
+    "cyclic_components": """WITH RECURSIVE e AS (SELECT DISTINCT repo, source AS s, resolved AS t FROM {resolved} WHERE resolved IS NOT NULL
+        UNION SELECT concat('r', doc_id % 4), concat('ring/', doc_id % 37 + 3, '/', doc_id % 7), concat('ring/', doc_id % 37 + 3, '/', (doc_id + 1) % 7) FROM documents),
+        w AS (SELECT repo, s, t FROM e UNION SELECT w.repo, w.s, e.t FROM w JOIN e ON e.repo = w.repo AND e.s = w.t),
+        c AS (SELECT a.repo, a.s AS node, min(a.t) AS component, count(DISTINCT a.t) AS size FROM w a JOIN w b ON a.repo = b.repo AND a.s = b.t AND a.t = b.s GROUP BY ALL)
+        SELECT repo, component, size, node FROM c""",
     "dependency_cycles": """WITH e AS (SELECT DISTINCT repo, source AS s, resolved AS t FROM {resolved} WHERE resolved IS NOT NULL)
         SELECT repo, 1 AS length, concat(s, ' -> ', t) AS cycle FROM e WHERE s = t
         UNION ALL SELECT a.repo, 2, concat(a.s, ' -> ', a.t, ' -> ', a.s) FROM e a JOIN e b ON a.repo = b.repo AND a.t = b.s AND b.t = a.s WHERE a.s < a.t
@@ -416,13 +419,11 @@ BODIES: dict[str, str] = {
           SELECT a.*, contains(coalesce(d.details, ''), a.path) AS hit FROM {apis} a LEFT JOIN {details} d USING (repo, source_file)) x GROUP BY ALL""",
     "grouped_details": f"SELECT repo, grp, heading, part, text, n_rows FROM ({_GROUPED}) p JOIN ({_HEADINGS}) h USING (repo, grp)",
     "document_sections": f"SELECT repo, doc, {_QUICK} AS quick, {_TAIL} AS tail, {_MERGED} AS merged, {_MODULES} AS modules FROM {_MARKS}",
-    "routed_by_size": "SELECT source_file AS repo, count(*) AS total, CASE WHEN count(*) <= 12 THEN 'single' ELSE 'assembled' END AS route FROM {apis} GROUP BY source_file",
+    "endpoint_totals": "SELECT source_file AS repo, count(*) AS total FROM {apis} GROUP BY source_file",
     "merged_modules": f"""SELECT repo, n, module, concat({NL}, '### 2.', n, ' ', module, {NL}, {NL}, content) AS text FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY
         coalesce(list_position(['核心业务接口', '会话管理接口', '资源管理接口', '用户与认证接口', '系统管理接口', '辅助接口'], module), 9), module) AS n FROM {{module_docs}}) x""",
-    "module_overview_counts": "SELECT repo, module, count(*) AS total, concat('- ', module, ': ', count(*), ' 个') AS line FROM {modules} WHERE module = '辅助接口' GROUP BY repo, module",
-    "bounded_sample": f"""SELECT repo, n, concat('## 文件: ', source_file, {NL}, {NL}, substr(details, 1, 2000)) AS sample
-        FROM (SELECT *, CAST(row_number() OVER (PARTITION BY repo ORDER BY source_file) AS INTEGER) AS n FROM {{details}}) x WHERE n <= 3""",
-    "sample_of_text": "SELECT repo, relative_path, md5(array_to_string(regexp_extract_all(content, '(?s).')[1:8000], '')) AS digest FROM {files}",
+    "module_overview_counts": """SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY coalesce(list_position(['核心业务接口', '会话管理接口', '资源管理接口', '用户与认证接口', '系统管理接口', '辅助接口'], module), 9), module) AS n,
+        module, total, concat('- ', module, ': ', total, ' 个') AS line FROM (SELECT repo, module, count(*) AS total FROM {modules} GROUP BY repo, module) t""",
     "numbered_endpoint_list": "SELECT repo, doc, CAST((n - 1) // 32 AS BIGINT) AS part, string_agg(concat(n, '. ', api), chr(10) ORDER BY n) AS text, count(*) AS n_rows FROM (SELECT *, row_number() OVER (PARTITION BY repo, doc ORDER BY pos) AS n FROM {overview}) x GROUP BY repo, doc, (n - 1) // 32",
     "combined_details": _parts("{details}", "repo", "source_file", f"concat('## 文件: ', source_file, {NL}, {NL}, details)", _SEP, 32),
     # documents

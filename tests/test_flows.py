@@ -117,7 +117,13 @@ def test_verify(spark):
 
 def test_user_function_swap(spark):
     files = corpus(spark, FILES[:2])
-    fn = lambda df: G.apply_text_function(df, lambda b: [c.upper() or "-" for c in b["relative_path"]], 2, ["repo", "relative_path"]).select("repo", "relative_path", "summary")
+    fn = lambda df: G.apply_text_function(df, lambda b: [c.upper() or "-" for c in b["relative_path"]], ["repo", "relative_path"]).select("repo", "relative_path", "summary")
     out = fold_levels(H.build_nodes(files), files.select("repo", "relative_path", "content"), now(), fn, G.staged(lambda b: [f"{len(t)}" for t in b["text"]]))
     got = {r["relative_path"]: r["content"] for r in out.where("node_type = 'file'").collect()}
     assert got["a/x.py"].endswith("A/X.PY")
+
+
+def test_an_empty_corpus_folds_to_nothing(spark):
+    files = spark.createDataFrame([], "repo string, relative_path string, name string, size bigint, content string")
+    out = fold_levels(H.build_nodes(files), files.select("repo", "relative_path", "content"), now())
+    assert out.count() == 0 and "content" in out.columns

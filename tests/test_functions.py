@@ -133,3 +133,12 @@ def test_module_and_group_names(spark):
 def test_normalise_endpoint(spark):
     given = ["get  /a", "MCP工具 switch(device1: int)", "single", "POST /x/{id} (old)", " GET /b "]
     assert apply(spark, given, E.normalise_endpoint) == ["GET /A", "MCP工具 SWITCH", "SINGLE", "POST /X/{ID} ", "GET /B "]
+
+
+def test_title_of_mixed_scripts_and_replacement_characters(spark):
+    texts = ["接口api", "用户auth_service", "ab1cd", "ÉCOLE été", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(S.title("t")).collect()] == [t.title() for t in texts]
+    raw = ["a\ufffdb".encode() + b"\xff" + "c\ufffd\r\n".encode(), "ok\ufffd".encode(), b"\xc3(", b""]
+    df = spark.createDataFrame([(bytearray(b),) for b in raw], "b binary")
+    assert [r[0] for r in df.select(S.text_of("b")).collect()] == [b.decode("utf-8", "ignore").replace("\r\n", "\n") for b in raw]

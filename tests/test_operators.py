@@ -339,7 +339,7 @@ def test_retry_rounds(spark, tmp_path):
         return out
 
     df = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
-    out = G.run_with_retries(df, flaky, ["k"], 2, max_retries=2)
+    out = G.run_with_retries(df, flaky, ["k"], max_retries=2)
     assert rows(out, "k", "attempt", "success", "summary", "error") == [
         ("a", 0, True, "ok a", None), ("b", 1, True, "ok b", None), ("c", 2, False, None, "blank output")]
 
@@ -355,7 +355,7 @@ def test_staged_summaries_use_every_child(spark):
     parts = K.parts_of(
         spark.range(1, 41).select(F.lit("r").alias("repo"), F.lit("d").alias("relative_path"), F.lit("n").alias("name"), F.col("id").alias("ordinal"), F.concat(F.lit("x"), "id").alias("t")),
         ["repo", "relative_path", "name"], "t", "|", 4)
-    fn = G.staged(lambda b: [str(t.count("x")) if "x" in t else str(sum(int(v) for v in t.split("\n\n---\n\n"))) for t in b["text"]], 2, 4)
+    fn = G.staged(lambda b: [str(t.count("x")) if "x" in t else str(sum(int(v) for v in t.split("\n\n---\n\n"))) for t in b["text"]], 4)
     assert rows(fn(parts)) == [("r", "d", "40")]
 
 
@@ -378,3 +378,25 @@ def test_brute_multiset(spark):
     want.subtract(Counter(x.upper() for x in right))
     got = {r["key"]: r["missing"] - r["extra"] for r in C.multiset_difference(la, lb, ["repo"]).collect()}
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_components_of_any_length(spark):
+    ring = lambda p, n: [(f"{p}{i}", f"{p}{(i + 1) % n}") for i in range(n)]
+    hub = [("hub", f"s{i}") for i in range(20)] + [(f"s{i}", "hub") for i in range(0, 20, 2)]
+    tail = [("t0", "t1"), ("t1", "a0"), ("a2", "t2"), ("t2", "t3"), ("b1", "a1"), ("self", "self")]
+    df = spark.createDataFrame([("r", *e) for e in ring("a", 4) + ring("b", 7) + hub + tail] + [("q", *e) for e in ring("a", 2)], "repo string, source string, target string")
+    got = R.cyclic_components(df)
+    want = [("r", "a0", 4, f"a{i}") for i in range(4)] + [("r", "b0", 7, f"b{i}") for i in range(7)] + [("r", "hub", 11, "hub")]
+    want += [("r", "hub", 11, f"s{i}") for i in range(0, 20, 2)] + [("r", "self", 1, "self")] + [("q", "a0", 2, "a0"), ("q", "a0", 2, "a1")]
+    assert rows(got, "repo", "component", "size", "node") == sorted(want, key=str)
+    one = {(r["repo"], r["component"]): r["cycle"] for r in R.component_cycles(df, got).collect()}
+    assert one[("r", "a0")] == ["a0", "a1", "a2", "a3", "a0"] and len(one[("r", "b0")]) == 8 and one[("r", "hub")] == ["hub", "s0", "hub"]
+    assert one[("r", "self")] == ["self", "self"] and len(one) == 5
+    assert R.cyclic_components(df.limit(0)).count() == 0
+
+
+def test_repeated_documents_restore_a_node_once(spark):
+    nodes = spark.createDataFrame([("r", "a.py", "file", "docs/a.py.md", "pending")], "repo string, relative_path string, node_type string, doc_path string, status string")
+    log = spark.createDataFrame([("r", "file", "a.py", "completed", 1)], "repo string, kind string, key string, value string, seq bigint")
+    docs = spark.createDataFrame([("r", "docs/a.py.md")] * 2, "repo string, doc_path string")
+    assert rows(Z.restore_status(nodes, log, docs), "relative_path", "status") == [("a.py", "completed")]
