@@ -4,8 +4,8 @@ Each page is read once into pieces of text and the element subtrees around them.
 everything below it. Spark counts, per host, on how many pages a hash occurs; subtrees on at least ``share`` of the host's
 pages (and ``least`` pages) are template and are deleted. Then, as page structure: what is never article text (scripts, styles,
 forms, navigation, headers, footers, sidebars, and elements whose class, id or role names an advert, notice, menu or reader
-comments) goes, and if the page marks its main content (``article``, ``main``), only that stays. Prose inside marked content (paragraphs,
-headings, list items, quotes, inline markup) is never deleted for recurring: copies of an article are articles.
+comments) goes, and if the page marks its main content (``article``, ``main``), only that stays. Prose (paragraphs, headings, list
+items, quotes, inline markup) is deleted with a container that recurs, never for recurring itself: copies of an article are articles.
 
 Text is what a browser shows: character references decoded, white space in a block one space, blocks joined by one space.
 
@@ -93,11 +93,9 @@ def parse(page: str) -> tuple[bool, list[tuple[str, bool, list[int]]], list[int]
         depth_drop -= node.drop
         depth_main -= node.main
         above = stack[-1]
-        if node.solid:
-            above.parts.append(node.tag)
-        else:
-            key = _hash(node.parts)
-            above.parts.append(str(key))
+        key = _hash(node.parts)
+        above.parts.append(str(key))
+        if not node.solid:
             subtrees.add(key)
             for i in node.pieces:
                 pieces[i][2].append(key)
@@ -157,7 +155,7 @@ def parse(page: str) -> tuple[bool, list[tuple[str, bool, list[int]]], list[int]
         has_main |= main
         depth_drop += drop
         depth_main += main
-        solid = main or tag in ("body", "html") or (depth_main > 0 and tag in _PROSE)
+        solid = main or tag in ("body", "html") or tag in _PROSE
         stack.append(_Node(tag, drop, main, solid, f"{tag} {sign}"))
         if tag in _RAW and not m[0].endswith("/>"):
             end = re.compile(f"</{re.escape(tag)}", re.IGNORECASE).search(page, at)

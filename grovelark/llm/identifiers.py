@@ -171,6 +171,11 @@ def identifiers(docs: DataFrame, **options) -> DataFrame:
     )
 
 
+def count_of(spans: str | Column, kind: int) -> Column:
+    """How many of the spans are of one kind."""
+    return F.size(F.filter(spans, lambda x: x["k"] == kind)).cast("bigint")
+
+
 def spans_text(spans: str | Column, kinds: tuple[str, ...]) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
     names = F.array(*[F.lit(k) for k in kinds])
@@ -179,5 +184,5 @@ def spans_text(spans: str | Column, kinds: tuple[str, ...]) -> Column:
 
 def op8_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identifiers(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [count_of("base", k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(spans_text("base", KINDS).cast("binary"), 256).alias("base_sha256"), spans_text("spans", KINDS).alias("spans"))

@@ -101,7 +101,7 @@ def mix(docs: DataFrame, levels: Sequence[str] = LEVELS, weights: Mapping[tuple[
     whole = marked.where("whole OR before > over").withColumn("more", F.col("whole"))
     inside = Window.partitionBy(*levels, "slice").orderBy("spot", F.col("doc_id").asc_nulls_first(), "mark").rowsBetween(Window.unboundedPreceding, 0)
     at_end = marked.where("NOT whole AND before <= over").withColumn("more", F.col("before") + F.sum("n_tokens").over(inside) <= F.col("over"))
-    return whole.unionByName(at_end).select("doc_id", "mark", *levels, "n_tokens", "budget", (F.col("epochs") + F.col("more").cast("bigint")).alias("taken"))
+    return whole.unionByName(at_end).select("doc_id", "mark", *levels, "n_tokens", "budget", F.least(F.lit(max_epochs).cast("bigint"), F.col("epochs") + F.col("more").cast("bigint")).alias("taken"))
 
 
 def mixable(docs: DataFrame) -> DataFrame:
@@ -144,4 +144,4 @@ p AS (SELECT domain, lang, source, budget, CASE WHEN tokens > 0 THEN CAST(floor(
 s AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source
              ORDER BY left(md5('{SEED}:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), 15), doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) AS until
       FROM d JOIN p USING (domain, lang, source))
-SELECT doc_id, domain, lang, source, n_tokens, budget, epochs + CASE WHEN until <= budget - epochs * tokens THEN 1 ELSE 0 END AS taken FROM s"""
+SELECT doc_id, domain, lang, source, n_tokens, budget, least({max_epochs}, epochs + CASE WHEN until <= budget - epochs * tokens THEN 1 ELSE 0 END) AS taken FROM s"""

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, fresh_dir, pick, table, text_or_empty
-from .identifiers import spans_text
+from .identifiers import count_of, spans_text
 
 #: Base kinds first, then those of the method.
 KINDS = ("assign", "access", "hex", "private_key", "jwt", "host_token", "chat_token", "api_key")
@@ -92,7 +92,7 @@ def scan_versions(versions: DataFrame, ledger: str, rule_version: int = RULE_VER
     chosen = texts.join(marked, texts["path"].eqNullSafe(marked["p"]) & (texts["blob_id"] == marked["b"]), "left_semi")
     scan_blobs(chosen, rule_version).write.mode("append").parquet(ledger)
     # rows that share path and text are scanned once each: one of them counts
-    findings = open_ledger(spark, ledger).where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).groupBy("blob_id").agg(F.first("findings").alias("findings"))
+    findings = cut(open_ledger(spark, ledger).where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).groupBy("blob_id").agg(F.first("findings").alias("findings")))
     return keys.join(findings, "blob_id", "left").select("path", "blob_id", F.coalesce("findings", F.array().cast(SPANS)).alias("findings"))
 
 
@@ -101,5 +101,5 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = pick(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "path")
     found = scan_versions(versions, fresh_dir(spark, "ledger"))
     base = F.filter("findings", lambda x: x["k"] < N_BASE)
-    counts = [F.size(F.filter("findings", lambda x, k=k: x["k"] == k)).cast("bigint").alias(f"n_{KINDS[k]}") for k in range(N_BASE)]
+    counts = [count_of("findings", k).alias(f"n_{KINDS[k]}") for k in range(N_BASE)]
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(spans_text(base, KINDS).cast("binary"), 256).alias("base_sha256"), spans_text("findings", KINDS).alias("spans"))
