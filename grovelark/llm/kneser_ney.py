@@ -114,15 +114,36 @@ def distinct(hashes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.nda
     return number, where
 
 
-def count_grams(texts: DataFrame, order: int) -> DataFrame:
-    """``(label, gram, c)`` of the highest order from ``(label, text)``; each batch sends a distinct gram once."""
+def count_grams(texts: DataFrame, order: int, most: int = 1_500_000) -> DataFrame:
+    """``(label, gram, c)`` of the highest order from ``(label, text)``.
+
+    A task adds up its own counts first; it holds ``most`` of them at a time and passes them on when half of that are distinct.
+    """
+
+    def part(texts: list[str], label: str) -> Iterator[pd.DataFrame]:
+        for _, _, places, whole in stretches(texts, order):
+            hashes = gram_hashes(codes_of(whole), order)[order]
+            number, where = distinct(hashes, places)
+            yield pd.DataFrame({"label": label, "hash": hashes[where], "gram": [whole[p - order + 1 : p + 1] for p in where.tolist()], "c": np.bincount(number)})
+
+    def summed(held: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(held).groupby(["label", "hash"], sort=False).agg(gram=("gram", "first"), c=("c", "sum")).reset_index()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
         for b in batches:
             for label, group in b.groupby("label", sort=False):
-                for _, _, places, whole in stretches(group["text"].tolist(), order):
-                    number, where = distinct(gram_hashes(codes_of(whole), order)[order], places)
-                    yield pd.DataFrame({"label": label, "gram": [whole[p - order + 1 : p + 1] for p in where.tolist()], "c": np.bincount(number)})
+                for p in part(group["text"].tolist(), label):
+                    held.append(p)
+                    rows += len(p)
+                    if rows > most:
+                        held = [summed(held)]
+                        rows = len(held[0])
+                    if rows > most // 2 and len(held) == 1:
+                        yield held.pop()[["label", "gram", "c"]]
+                        rows = 0
+        if held:
+            yield summed(held)[["label", "gram", "c"]]
 
     return texts.select("label", "text").mapInPandas(count, "label string, gram string, c bigint").groupBy("label", "gram").agg(F.sum("c").alias("c"))
 
@@ -133,14 +154,13 @@ def smooth(counts: DataFrame, order: int, modified: bool = True) -> DataFrame:
     for k in range(order, 0, -1):
         per = [F.sum((F.col("c") == i).cast("double")).alias(f"t{i}") for i in (1, 2, 3, 4)]
         t = [F.col(f"t{i}") for i in (1, 2, 3, 4)]
-        y = t[0] / (t[0] + 2 * t[1])
+        y = F.try_divide(t[0], t[0] + 2 * t[1])
         if modified:
             ds = [F.coalesce(F.try_divide(F.lit(float(i)) * t[i - 1] - (i + 1) * y * t[i], t[i - 1]), F.lit(0.5 * i)) for i in (1, 2, 3)]
             ds = [F.greatest(F.lit(0.05), F.least(F.lit(0.95 * i), d)) for i, d in zip((1, 2, 3), ds, strict=True)]
         else:
             ds = [F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.coalesce(y, F.lit(0.5))))] * 3
-        discounts = level.groupBy("label").agg(*per).withColumn("y", F.try_divide(t[0], t[0] + 2 * t[1]))
-        discounts = discounts.select("label", *[d.alias(f"d{i}") for i, d in enumerate(ds, 1)])
+        discounts = level.groupBy("label").agg(*per).select("label", *[d.alias(f"d{i}") for i, d in enumerate(ds, 1)])
         context = F.substring("gram", 1, k - 1)
         own = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         seen = level.join(F.broadcast(discounts), "label").withColumn("context", context).withColumn("off", own)  # a row per label
@@ -208,6 +228,6 @@ class Scorer:
 
 def collected(model: DataFrame, order: int) -> tuple[list[str], Scorer]:
     """A scorer on the driver; only for models whose training text has a fixed bound."""
-    rows = hashed(model).toPandas()
+    rows = hashed(model).toArrow().to_pandas()
     labels = sorted(rows["label"].unique())
     return labels, Scorer.of(rows, labels, order)

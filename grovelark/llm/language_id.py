@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import cut, pick, table, worker_cache
 from .kneser_ney import Scorer, codes_of, collected, count_grams, smooth
 
-ORDER, TRAIN_CHARS, CALIBRATE_CHARS, MAX_LANGUAGES = 5, 6_000_000, 1_500_000, 1000
+ORDER, TRAIN_CHARS, CALIBRATE_CHARS, MAX_LANGUAGES = 5, 3_000_000, 800_000, 1000
 UNKNOWN = "und"
 RESULT = "doc_id bigint, held_out boolean, lang_pred string, score double, cross_entropy double, accepted boolean"
 
@@ -113,7 +113,7 @@ def fit(labelled: DataFrame, order: int = ORDER, train_chars: int = TRAIN_CHARS,
     if not labels:
         return Model([], None, 1.0, np.zeros(0))
     model = Model(labels, scorer, 1.0, np.full(len(labels), np.inf))
-    held = sample.where("calibrate").select("lang", "text").toPandas()
+    held = sample.where("calibrate").select("lang", "text").toArrow().to_pandas()
     texts = [normal(t) for t in held["text"]]
     ok = np.array([bool(t) and la in labels for t, la in zip(texts, held["lang"], strict=True)], bool)
     if ok.any():
