@@ -80,6 +80,11 @@ def numbered_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def node_json(edges: DataFrame) -> DataFrame:
+    """The other half of the export: one JSON object per node of the graph."""
+    return graph_nodes(edges).select("repo", F.to_json(F.struct("node")).alias("json"))
+
+
 def edge_json(edges: DataFrame) -> DataFrame:
     """One JSON object per edge, for a line-per-edge export."""
     fields = F.struct("source", "target", F.col("dep_type").alias("type"), "line", "detail")
@@ -133,13 +138,14 @@ def _triangles(links: DataFrame) -> DataFrame:
         .groupBy("repo", "lo", "hi")
         .agg(F.bool_or("fwd").alias("fwd"), F.bool_or(~F.col("fwd")).alias("bwd"))
     )
+    sides = cut(sides)  # read three times
     x = sides.select("repo", F.col("lo").alias("u"), F.col("hi").alias("v"), F.col("fwd").alias("uv"), F.col("bwd").alias("vu"))
     y = sides.select("repo", F.col("lo").alias("u"), F.col("hi").alias("w"), F.col("fwd").alias("uw"), F.col("bwd").alias("wu"))
     z = sides.select("repo", F.col("lo").alias("v"), F.col("hi").alias("w"), F.col("fwd").alias("vw"), F.col("bwd").alias("wv"))
     found = x.join(y, ["repo", "u"]).where(F.col("v") < F.col("w")).join(z, ["repo", "v", "w"])
-    one = found.where("uv and vw and wu").select("repo", _rotated("u.node", "v.node", "w.node"))
-    two = found.where("uw and wv and vu").select("repo", _rotated("u.node", "w.node", "v.node"))
-    return one.unionByName(two)
+    one = F.when(F.expr("uv and vw and wu"), _rotated("u.node", "v.node", "w.node"))
+    two = F.when(F.expr("uw and wv and vu"), _rotated("u.node", "w.node", "v.node"))
+    return found.select("repo", F.explode(F.array_compact(F.array(one, two))).alias("cycle"))
 
 
 def cycles(edges: DataFrame, max_length: int) -> DataFrame:

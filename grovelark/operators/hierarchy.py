@@ -9,7 +9,7 @@ from ..functions import fixed_values as V
 from ..functions import paths as P
 from ..sources.durable import cut
 from .predicates import of_type
-from .ranking import assemble, ordinal
+from .ranking import assemble, ordinal, parts_of
 
 ROOT = ""
 
@@ -176,15 +176,20 @@ def child_documents(nodes: DataFrame, docs: DataFrame, rows_per_part: int = 256)
 
 def joined_children(documented: DataFrame, rows_per_part: int = 256) -> DataFrame:
     """As :func:`child_documents`, for node rows that already carry ``content``."""
-    titled = documented.where(F.col("relative_path") != ROOT).select(
-        "repo",
-        F.col("parent_path").alias("dir"),
-        sibling_key().alias("_key"),
-        F.concat(F.lit("### "), "name", F.lit("\n\n"), "content").alias("text"),
-    )
+    titled = documented.where(F.col("relative_path") != ROOT).select("repo", F.col("parent_path").alias("dir"), sibling_key().alias("_key"), _titled())
     return assemble(titled, ["repo", "dir"], ["_key"], "text", V.DOC_SEPARATOR, rows_per_part)
 
 
+def numbered_children(ranked: DataFrame, rows_per_part: int = 256) -> DataFrame:
+    """As :func:`joined_children`, for rows that carry their ``rank`` among all siblings too."""
+    titled = ranked.where(F.col("relative_path") != ROOT).select("repo", F.col("parent_path").alias("dir"), "rank", _titled())
+    return parts_of(titled, ["repo", "dir"], "text", V.DOC_SEPARATOR, rows_per_part, "rank")
+
+
+def _titled() -> Column:
+    return F.concat(F.lit("### "), "name", F.lit("\n\n"), "content").alias("text")
+
+
 def all_file_documents(nodes: DataFrame, docs: DataFrame, rows_per_part: int = 256) -> DataFrame:
     """All file documents of a repo, titled by relative path, in tree order."""
     titled = (

@@ -500,6 +500,11 @@ def numbered_edges(spark, folder):
     return R.numbered_edges(e, R.numbered_nodes(e)).select("repo", "line")
 
 
+@query
+def node_export(spark, folder):
+    return R.node_json(_edges(spark, folder))
+
+
 @query
 def edge_export(spark, folder):
     return R.edge_json(_edges(spark, folder))

@@ -71,6 +71,7 @@ def dependencies(files: DataFrame, options: Options = Options(), by_syntax: bool
         "graph_nodes": nodes,
         "graph_edges": R.numbered_edges(edges, nodes),
         "json": R.edge_json(edges),
+        "json_nodes": R.node_json(edges),
     }
 
 

@@ -13,7 +13,8 @@ from ..operators import documents as D
 from ..operators import enrichment as G
 from ..operators import hierarchy as H
 from ..operators.predicates import at_depth, doc_path
-from ..sources.durable import cut, fresh_dir
+from ..operators.ranking import ordinal
+from ..sources.durable import cut
 
 #: file rows with ``content`` in, ``(repo, relative_path, summary)`` out; null or blank = failed
 FileFunction = Callable[[DataFrame], DataFrame]
@@ -43,70 +44,59 @@ def fold_levels(
     their documents are used as they are and no function is called for them.
 
     A repo with a failed node stops after that level: its shallower nodes do
-    not appear. The driver loops over depths only and keeps no rows; each
-    level is written once and read back by the next.
+    not appear. Files don't depend on levels, so all of them pass through
+    ``file_fn`` in one go; siblings are numbered once. The driver loops over
+    depths only and keeps no rows; a level of directories is written once and
+    read back by the next.
     """
-    spark = nodes.sparkSession
     shape = [c for c in nodes.columns if c in _OUT and c not in ("status", "doc_path")]
     nodes = cut(nodes.select(*shape))
     deepest = nodes.agg(F.max("depth")).first()[0]
     if deepest is None:  # nothing to fold
         return nodes.withColumns({c: F.lit(None).cast("string") for c in ("status", "content", "doc_path")}).select(*_OUT)
     counts = cut(H.child_counts(nodes))
-    # texts meet their nodes once and are laid out by level, so a level reads only its own
-    inputs = fresh_dir(spark, "levels")
-    layout = nodes.withColumn("content", F.lit("")).schema
-    todo, ready = nodes, None
-    if existing is not None:
-        known = nodes.join(existing, ["repo", "relative_path", "node_type"])
-        known.select(*layout.names).write.partitionBy("depth").parquet(f"{inputs}/ready")
-        ready = spark.read.schema(layout).parquet(f"{inputs}/ready")
-        todo = cut(nodes.join(ready.select("repo", "relative_path", "node_type"), ["repo", "relative_path", "node_type"], "left_anti"))
-    todo.where("node_type = 'file'").join(texts, ["repo", "relative_path"], "left").write.partitionBy("depth").parquet(f"{inputs}/open")
-    by_level = spark.read.schema(layout).parquet(f"{inputs}/open")
+    ranks = nodes.where(F.col("relative_path") != H.ROOT).select("repo", "relative_path", "parent_path", H.sibling_key().alias("_key"))
+    ranks = cut(ordinal(ranks, ["repo", "parent_path"], ["_key"], "rank").select("repo", "relative_path", "rank"))
     ok = ~S.is_blank("summary")
+    shape = [c for c in shape if c in nodes.columns]
+    files, dirs = nodes.where("node_type = 'file'"), nodes.where("node_type = 'directory'")
+    ready = None
+    if existing is not None:
+        keys = ["repo", "relative_path", "node_type"]
+        ready = cut(nodes.join(existing, keys).select(*shape, F.lit("completed").alias("status"), "content"))
+        files = files.join(ready.select(*keys), keys, "left_anti")
+        dirs = dirs.join(ready.select(*keys), keys, "left_anti")
+    files = files.join(texts, ["repo", "relative_path"], "left")
+    written = files.drop("content").join(file_fn(files), ["repo", "relative_path"], "left").select(
+        *shape,
+        F.when(ok, "completed").otherwise("failed").alias("status"),
+        F.when(ok, D.file_document(generated_at)).alias("content"),
+    )
+    written = cut(written if ready is None else written.unionByName(ready))
+    counted = cut(
+        dirs.withColumn("name", F.when(F.col("relative_path") == "", F.col("repo")).otherwise(F.col("name"))).join(counts, ["repo", "relative_path"], "left")
+    )
     levels: list[DataFrame] = []
     stopped: DataFrame | None = None
+
+    def running(rows: DataFrame) -> DataFrame:
+        return rows if stopped is None else rows.join(stopped, "repo", "left_anti")
+
     for depth in range(deepest, -1, -1):
-        level = at_depth(todo, depth).select(*shape)
-        if stopped is not None:
-            level = level.join(stopped, "repo", "left_anti")
-        files = at_depth(by_level, depth)
-        if stopped is not None:
-            files = files.join(stopped, "repo", "left_anti")
-        written = files.drop("content").join(file_fn(files), ["repo", "relative_path"], "left").select(
-            *shape,
-            F.when(ok, "completed").otherwise("failed").alias("status"),
-            F.when(ok, D.file_document(generated_at)).alias("content"),
-        )
-        dirs = level.where("node_type = 'directory'").withColumn(
-            "name", F.when(F.col("relative_path") == "", F.col("repo")).otherwise(F.col("name"))
-        )
+        level = running(at_depth(counted, depth))
         if levels:
-            below = levels[-1].where("content is not null")
-            parts = H.joined_children(below).withColumnRenamed("dir", "relative_path")
-            named = parts.join(dirs.select("repo", "relative_path", "name"), ["repo", "relative_path"])
-            told = dir_fn(named).withColumn("_has", F.lit(True))
-            dirs = dirs.join(told, ["repo", "relative_path"], "left")
+            parts = H.numbered_children(levels[-1].where("content is not null").join(ranks, ["repo", "relative_path"])).withColumnRenamed("dir", "relative_path")
+            told = dir_fn(parts.join(level.select("repo", "relative_path", "name"), ["repo", "relative_path"])).withColumn("_has", F.lit(True))
+            level = level.join(told, ["repo", "relative_path"], "left")
         else:
-            dirs = dirs.withColumns({"summary": F.lit(None).cast("string"), "_has": F.lit(None).cast("boolean")})
+            level = level.withColumns({"summary": F.lit(None).cast("string"), "_has": F.lit(None).cast("boolean")})
         empty = F.col("_has").isNull()
-        text = F.when(empty, F.lit(V.EMPTY_DIR_TEXT)).otherwise(F.col("summary"))
-        folded = (
-            dirs.withColumn("summary", text)
-            .join(counts, ["repo", "relative_path"], "left")
-            .select(
-                *shape,
-                F.when(empty, "skipped").when(ok, "completed").otherwise("failed").alias("status"),
-                F.when(ok, D.dir_document(generated_at)).alias("content"),
-            )
+        folded = level.withColumn("summary", F.when(empty, F.lit(V.EMPTY_DIR_TEXT)).otherwise(F.col("summary"))).select(
+            *shape,
+            F.when(empty, "skipped").when(ok, "completed").otherwise("failed").alias("status"),
+            F.when(ok, D.dir_document(generated_at)).alias("content"),
         )
-        done = written.unionByName(folded)
-        if ready is not None:
-            old = at_depth(ready, depth)
-            old = old if stopped is None else old.join(stopped, "repo", "left_anti")
-            done = done.unionByName(old.withColumn("status", F.lit("completed")).select(*done.columns))
-        done = cut(done)
+        done = cut(folded.unionByName(running(at_depth(written, depth)).select(*folded.columns)))
         levels.append(done)
         failed = done.where("status = 'failed'").select("repo").distinct()
         if not failed.isEmpty():

@@ -391,6 +391,7 @@ BODIES: dict[str, str] = {
     "numbered_edges": """SELECT e.repo, concat('    N', a.n, ' --> N', b.n) AS line FROM {edges} e
         JOIN (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY node) - 1 AS n FROM {edge_nodes}) a ON a.repo = e.repo AND a.node = e.source
         JOIN (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY node) - 1 AS n FROM {edge_nodes}) b ON b.repo = e.repo AND b.node = e.target""",
+    "node_export": "SELECT repo, CAST(json_object('node', node) AS STRING) AS json FROM {edge_nodes}",
     "edge_export": "SELECT repo, CAST(json_object('source', source, 'target', target, 'type', dep_type, 'line', NULL, 'detail', detail) AS STRING) AS json FROM {edges}",
     # endpoints
     "api_blocks": "SELECT repo, relative_path, has_api, CASE WHEN has_api THEN block END AS api_info FROM {judged_blocks}",
