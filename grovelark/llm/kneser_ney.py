@@ -88,7 +88,7 @@ def pieces(text: str, order: int, chars: int) -> Iterator[tuple[str, int]]:
         yield text[a - before : a + chars], before
 
 
-def stretches(texts: Sequence[str], order: int, chars: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, str]]:
+def stretches(texts: Sequence[str], order: int, chars: int = 300_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, str]]:
     """Texts one after another with ``order - 1`` pads before each: which text each piece is of, where its characters begin
     among ``places``, the place of every character to count, and the string that the places are of."""
     own = [(i, piece, before) for i, t in enumerate(texts) for piece, before in pieces(t, order, chars)]

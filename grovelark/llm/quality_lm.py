@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, cut, pick, table, text_or_empty
 from .kneser_ney import Scorer, codes_of, count_grams, distinct, gram_hashes, hashed, smooth, stretches
 
-ORDER, BLOCK_CHARS = 5, 16_000_000
+ORDER, BLOCK_CHARS = 5, 32_000_000
 LOW, HIGH, SLACK, PRIOR_CHARS, LEAST = 0.05, 0.95, 3.0, 100.0, 30
 SMALL_ROWS = 4_000_000
 
