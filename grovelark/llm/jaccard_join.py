@@ -13,8 +13,8 @@ they differ in at most ``q · (|A| + |B|)`` shingles with ``q = (100 - percent)
 3. **Stars.** All pairs of a key's classes would be quadratic in a group of near copies. Instead each key names a hub, the class
    that shares the most keys (the text that the others were copied from), and every class meets its hubs only.
 4. **The rest, exactly.** Two classes under one hub can only be missing a link if one of them doesn't link with the hub. Then
-   their differences from the hub must overlap in a known number of shingles: a prefix join on the rarest of these finds
-   all such pairs, and those are compared too.
+   their differences from the hub must overlap in a known number of shingles: a prefix join on these, those that the hub lacks
+   first, finds all such pairs, and those are compared too.
 5. **Components** of the links by alternating stars. All comparisons are of whole sets.
 
 Results for odd input: texts that are null or have no word have no set, link with nothing and are their own component; fewer
@@ -182,23 +182,24 @@ def tokens_of(docs: DataFrame, width: int) -> DataFrame:
 
 
 def compare(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """``(a, b, n_a, n_b, linked, delta)`` for ``pairs (a, b)``; ``delta`` is what only one of the two sets has."""
+    """``(a, b, n, linked, head)`` for ``pairs (a, b)``: b's size and, of the differences between the sets, the prefix that
+    ``missing_pairs`` needs: what only b has first, then what only a has, each by hash."""
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            linked, delta, n_a, n_b = [], [], [], []
+            linked, head, n = [], [], []
             for x, y in zip(batch["x"], batch["y"], strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                d = np.setxor1d(x, y, assume_unique=True)
-                both = (len(x) + len(y) - len(d)) // 2
-                linked.append(100 * both >= percent * (both + len(d)))
-                delta.append(d.view(np.int64))
-                n_a.append(len(x))
-                n_b.append(len(y))
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "n_a": n_a, "n_b": n_b, "linked": linked, "delta": delta})
+                new, old = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+                d, both = len(new) + len(old), len(y) - len(new)
+                linked.append(100 * both >= percent * (both + d))
+                least = percent * d // (100 + percent) + 1 if linked[-1] else max(1, d - len(y) * (100 - percent) // percent)
+                head.append(np.concatenate([new, old])[: d - least + 1].view(np.int64))
+                n.append(len(y))
+            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "n": n, "linked": linked, "head": head})
 
     rows = pairs.join(tokens.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b").join(tokens.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a")
-    return rows.select("a", "b", "x", "y").mapInPandas(go, "a binary, b binary, n_a int, n_b int, linked boolean, delta array<bigint>")
+    return rows.select("a", "b", "x", "y").mapInPandas(go, "a binary, b binary, n int, linked boolean, head array<bigint>")
 
 
 def stars(index: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -214,26 +215,15 @@ def stars(index: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def missing_pairs(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of classes under one hub, not both linked with it, whose differences from the hub overlap enough.
+    """Pairs ``(a, b)`` of classes under one hub, not both linked with it, whose differences from the hub can overlap enough.
 
-    With X not linked with the hub, ``|X ^ Y| <= q (|X| + |Y|)`` needs more than ``(1 - q) |dY| / 2`` common differences, and at
-    least ``|dX| - |X| (100 - percent) / percent``; so each side's rarest ``|d| - that + 1`` differences must meet.
+    Let dX be the differences of X from the hub, X not linked with the hub, Y under the same one. ``|X ^ Y| <= q (|X| + |Y|)``
+    needs more than ``(1 - q) / 2 · |dY|`` differences in common, and at least ``|dX| - (100 - percent) / percent · |X|``. So the
+    first ``|d| - that + 1`` differences of both, in one order for all, must meet. Differences that the hub lacks come first in
+    the order: they are the rare ones.
     """
-    q = (100 - percent) / (100 + percent)
     some = cut(met.where("NOT linked").select("a").distinct())
-    size = F.size("delta")
-    least = F.when(F.col("linked"), F.floor(F.lit((1 - q) / 2 - 1e-9) * size) + 1).otherwise(
-        F.greatest(F.lit(1).cast("bigint"), size - F.floor(F.col("n_b") * (100 - percent) / percent))
-    )
-    rows = met.join(some, "a", "left_semi").select("a", "b", F.col("n_b").alias("n"), "linked", (size - least + 1).alias("prefix"), "delta")
-    each = cut(rows.select("a", F.explode("delta").alias("token")).groupBy("a", "token").agg(F.count(F.lit(1)).alias("n_token")).where("n_token > 1"))
-    # differences that nobody else has come first in the order of rarity and can't meet: only their number matters
-    common = rows.withColumn("token", F.explode("delta")).drop("delta").join(each, ["a", "token"])
-    ranked = common.groupBy("a", "b", "n", "linked", "prefix").agg(F.array_sort(F.collect_list(F.struct("n_token", "token"))).alias("t"))
-    sizes = rows.select(F.col("a").alias("a2"), F.col("b").alias("b2"), size.alias("size"))
-    ranked = ranked.join(sizes, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")))
-    left = F.col("prefix") - (F.col("size") - F.size("t"))
-    heads = cut(ranked.where(left > 0).select("a", "b", "n", "linked", F.explode(F.slice("t", F.lit(1), left.cast("int"))["token"]).alias("token")))
+    heads = cut(met.join(some, "a", "left_semi").select("a", "b", "n", "linked", F.explode("head").alias("token")))
     x, y = heads.where("NOT linked").drop("linked"), heads.withColumnsRenamed({"b": "b2", "n": "n2", "linked": "linked2"})
     pairs = x.join(y, ["a", "token"]).where((F.col("b") != F.col("b2")) & (F.col("linked2") | (F.col("b") < F.col("b2"))))
     pairs = pairs.where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
