@@ -191,14 +191,17 @@ def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> Dat
 
 def main_text(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """``(page_id, url, text, n_removed)`` per row of ``pages (page_id, url, html)``."""
-    rows = cut(parsed(pages).withColumn("row", F.monotonically_increasing_id()))  # row: fixed by the written table
+    around = F.array_distinct(F.flatten(F.transform("pieces", lambda p: p["above"])))
+    rows = cut(parsed(pages).withColumn("row", F.monotonically_increasing_id()).withColumn("boxed", F.size(around) > 0))  # row: fixed by the written table
     known = cut(templates(rows, share, least))
     # only subtrees around text that is still there can matter; a hot host's templates are copied to several salts
-    above = rows.select("row", "host", F.explode(F.array_distinct(F.flatten(F.transform("pieces", lambda p: p["above"])))).alias("subtree")).withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)))
+    above = rows.where("boxed").select("row", "host", F.explode(around).alias("subtree")).withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)))
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     gone = above.join(known, ["host", "subtree", "salt"]).groupBy("row").agg(F.collect_set("subtree").alias("gone"))
-    out = rows.select("row", "page_id", "url", "pieces").join(gone, "row", "left")
     none = F.array().cast("array<bigint>")
+    # pages whose text lies in no subtree that may go stay where they are
+    free = rows.where("NOT boxed").select("page_id", "url", "pieces", none.alias("gone"))
+    out = rows.where("boxed").select("row", "page_id", "url", "pieces").join(gone, "row", "left").select("page_id", "url", "pieces", "gone").unionByName(free)
     kept = F.filter("pieces", lambda p: ~F.arrays_overlap(p["above"], F.coalesce("gone", none)))
     text = F.trim(F.regexp_replace(F.array_join(F.transform(kept, lambda p: p["text"]), ""), "(?U)[\\s\\x1C-\\x1F]+", " "))
     return out.select("page_id", "url", text.alias("text"), F.size(F.coalesce("gone", none)).alias("n_removed"))
