@@ -62,7 +62,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     shingle = word.copy()
     for j in range(1, width):
         shingle = _mixed(shingle * _A + np.uint64(j))
-        shingle[: len(word) - j] += word[j:]
+        shingle[: max(len(word) - j, 0)] += word[j:]
     shingle = _mixed(shingle)
     out, at = [], 0
     for ws in split:
