@@ -1,11 +1,13 @@
 """Personal data: fixed patterns, and contexts learnt from what they find.
 
-Seeds are the matches of the fixed patterns. Every word that looks like an identifier (it holds a digit or an ``@``) is a
-*mention*: an instance (the word) in a lexical pattern (the two words before it, the word after it, digits made 0, and
-the word's own shape). Patterns and instances form a two-sided graph over the whole corpus. In each round a pattern's
-confidence for a kind is the share of its instances known to be of that kind, lowered for few distinct instances, and an
-instance's confidence is that of its best pattern. After the last round, mentions that no fixed match touches and whose
-instance is confident enough are spans too.
+Seeds are the matches of the fixed patterns, each a whole *instance*. Every other word that looks like an identifier (it
+holds a digit or an ``@``) and touches no match is an instance too. An instance stands in a *pattern*: the two words before
+it and the word after it, digits made 0; its own form is no part of that. Patterns and instances form a two-sided graph over
+the whole corpus. A pattern is accepted for a kind by a precision bound on what is known of its instances: those of other
+kinds speak against it, unknown ones only if they outnumber the known ones by far. Form is a weak feature: an instance formed
+like seeds of other kinds counts as a few instances against it. An instance that is accepted in enough of its patterns is
+known from then on, and rounds go on until none is added. Spans, besides the seeds: instances accepted in the pattern that
+they stand in, and every mention of a known instance, complete seeds that no fixed pattern matches at that place included.
 
 Results for odd input: null and empty texts have no span; a repeated row gets its own row; an empty table gives none;
 texts of any length are read whole.
@@ -21,10 +23,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, pick, table
+from .common import broadcast_if_small, cut, pick, table
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, MIN_SEEDS, ACCEPT = 3, 3, 0.8
+MIN_SEEDS, ACCEPT = 3, 0.8
+#: The least known share of a pattern's instances; the share of an instance's patterns that must be accepted for it to be known
+#: elsewhere; how many instances a form of another kind counts for.
+MIN_SHARE, SPREAD, FORM = 0.2, 0.5, 4.0
+SMALL_ROWS = 1_000_000
 
 _BEFORE_AT = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -83,11 +89,6 @@ def _small(part: str) -> bool:
     return len(part) <= 3 and int(part or 0) <= 255
 
 
-def _shape(word: str) -> str:
-    """Runs of letters as a, of digits as their number up to four (then +), other characters as they are."""
-    return re.sub(r"[0-9]+", lambda m: str(len(m[0])) if len(m[0]) < 5 else "5+", re.sub(r"[A-Za-z]+", "a", word))
-
-
 def _words_with_sign(text: str) -> Iterator[tuple[int, int]]:
     """Runs of ``_RUN`` that hold a digit or an ``@``, in time proportional to the text."""
     free, m = 0, _SIGN.search(text)
@@ -100,27 +101,27 @@ def _words_with_sign(text: str) -> Iterator[tuple[int, int]]:
         m = _SIGN.search(text, free)
 
 
+def _mention(text: str, s: int, e: int, kind: str | None) -> tuple | None:
+    while s < e and text[e - 1] in "._%+-":
+        e -= 1
+    while s < e and text[s] in "._%-":
+        s += 1
+    if s >= e:
+        return None
+    before = [w.lower() for w in _WORD.findall(text[max(0, s - 80) : s])][-2:]
+    after = [w.lower() for w in _WORD.findall(text[e : e + 40])][:1]
+    return re.sub(r"[0-9]+", "0", " ".join([*before, "_", *after])), text[s:e].lower(), kind, s, e
+
+
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple]:
-    """Identifier-like words with their pattern; ``kind`` is that of the fixed match that the word lies in."""
-    out, at, reach = [], 0, list(accumulate((e for _, _, e in base), max))
+    """The fixed matches with their kind, and identifier-like words that touch none; each with its pattern."""
+    out, at, reach = [_mention(text, s, e, KINDS[k]) for s, k, e in base], 0, list(accumulate((e for _, _, e in base), max))
     for s, e in _words_with_sign(text):
-        while s < e and text[e - 1] in "._%+-":
-            e -= 1
-        while s < e and text[s] in "._%-":
-            s += 1
-        if s >= e:
-            continue
         while at < len(base) and reach[at] <= s:  # fixed matches that end before the word
             at += 1
-        near = [x for x in takewhile(lambda x: x[0] < e, islice(base, at, None)) if s < x[2]]
-        kind = next((KINDS[k] for bs, k, be in near if bs <= s and e <= be), None)
-        if near and kind is None:
-            continue
-        before = [w.lower() for w in _WORD.findall(text[max(0, s - 80) : s])][-2:]
-        after = [w.lower() for w in _WORD.findall(text[e : e + 40])][:1]
-        context = re.sub(r"[0-9]+", "0", " ".join([*before, "_", *after]))
-        out.append((f"{context}|{_shape(text[s:e])}", text[s:e].lower(), kind, s, e))
-    return out
+        if not any(s < x[2] for x in takewhile(lambda x: x[0] < e, islice(base, at, None))):
+            out.append(_mention(text, s, e, None))
+    return [m for m in out if m]
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -138,22 +139,43 @@ def find(docs: DataFrame) -> DataFrame:
     return pick(docs, "doc_id", "text").mapInPandas(scan, FOUND)
 
 
-def bootstrap(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, accept: float = ACCEPT) -> DataFrame:
-    """Instances that the patterns show to be identifiers: ``(instance, kind, confidence)``.
+def learn(edges: DataFrame, min_seeds: int = MIN_SEEDS, accept: float = ACCEPT, min_share: float = MIN_SHARE, spread: float = SPREAD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Seeds ``(instance, kind, confidence)``, the instances learnt besides, and pairs ``(pattern, instance, kind)`` of instances
+    accepted in a pattern.
 
     ``edges`` is ``(pattern, instance, kind)``, one row per distinct pair, ``kind`` null where no fixed pattern knows it.
-    A pattern's confidence is known / (all + 1) among its distinct instances, counted if at least ``min_seeds`` are known.
+    A pattern's score for a kind is known of the kind / (known of any + 1), counted if at least ``min_seeds`` and a share of
+    ``min_share`` of all its distinct instances are known to be of the kind.
     """
-    known = edges.where("kind IS NOT NULL").groupBy("instance").agg(F.min("kind").alias("kind")).withColumn("confidence", F.lit(1.0))
-    seeds = known
-    total = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    for _ in range(rounds):
+    seeds = cut(edges.where("kind IS NOT NULL").groupBy("instance").agg(F.min("kind").alias("kind")).withColumn("confidence", F.lit(1.0)))
+    form = F.regexp_replace(F.regexp_replace("instance", "[a-z]+", "a"), "[0-9]+", "0")
+    kinds = seeds.groupBy(form.alias("form"), F.col("kind").alias("own")).agg(F.count(F.lit(1)).alias("m"))
+    forms = cut(kinds.groupBy("form").agg(F.sum("m").alias("all_m"), F.map_from_entries(F.collect_list(F.struct("own", "m"))).alias("of")))
+    total = cut(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
+    fresh = edges.where("kind IS NULL").drop("kind").join(seeds.select("instance"), "instance", "left_anti").withColumn("form", form)
+    fresh = cut(fresh.join(forms, "form", "left").select("pattern", "instance", "all_m", "of"))
+    places = cut(fresh.groupBy("instance").agg(F.count(F.lit(1)).alias("f")))
+    known = seeds
+    while True:
         per = edges.drop("kind").join(known, "instance").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("k"), F.sum("confidence").alias("mass"))
-        scored = per.where(F.col("k") >= min_seeds).join(total, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("n") + 1)).alias("score")).where(F.col("score") >= accept)
-        found = edges.drop("kind").join(scored, "pattern").groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("best"))
-        found = found.select("instance", F.col("best.kind").alias("kind"), F.col("best.score").alias("confidence"))
-        known = cut(seeds.unionByName(found.join(seeds.select("instance"), "instance", "left_anti")))
-    return known.join(seeds.select("instance"), "instance", "left_anti").where(F.col("confidence") >= accept)
+        per = cut(per)
+        every = per.groupBy("pattern").agg(F.sum("mass").alias("every"))
+        scored = per.where(F.col("k") >= min_seeds).join(every, "pattern").where(F.col("mass") >= accept * (F.col("every") + 1))
+        scored = cut(scored.join(total, "pattern").where(F.col("k") >= min_share * F.col("n")).select("pattern", "kind", "mass", "every"))
+        other = F.coalesce(1 - F.coalesce(F.try_element_at("of", F.col("kind")), F.lit(0)) / F.col("all_m"), F.lit(0.0))
+        pairs = fresh.join(broadcast_if_small(scored, SMALL_ROWS), "pattern").withColumn("score", F.col("mass") / (F.col("every") + 1 + FORM * other))
+        pairs = cut(pairs.where(F.col("score") >= accept).select("pattern", "instance", "kind", "score"))
+        found = pairs.groupBy("instance", "kind").agg(F.count(F.lit(1)).alias("a"), F.max("score").alias("score")).join(places, "instance").where(F.col("a") >= spread * F.col("f"))
+        found = found.groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("best")).select("instance", F.col("best.kind").alias("kind"), F.col("best.score").alias("confidence"))
+        more = cut(found.join(known.select("instance"), "instance", "left_anti"))
+        if more.isEmpty():
+            return seeds, known.join(seeds.select("instance"), "instance", "left_anti"), pairs.groupBy("pattern", "instance").agg(F.max(F.struct("score", "kind"))["kind"].alias("kind"))
+        known = cut(known.unionByName(more))
+
+
+def bootstrap(edges: DataFrame, **options) -> DataFrame:
+    """Instances that the patterns show to be identifiers: ``(instance, kind, confidence)``."""
+    return learn(edges, **options)[1]
 
 
 def identifiers(docs: DataFrame, **options) -> DataFrame:
@@ -161,10 +183,12 @@ def identifiers(docs: DataFrame, **options) -> DataFrame:
     found = cut(find(docs).withColumn("row", F.monotonically_increasing_id()))  # row: fixed by the written table
     rows = found.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
     edges = cut(rows.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")))
-    fresh = bootstrap(edges, **options)
+    seeds, learnt, pairs = learn(edges, **options)
     place = F.create_map(*[x for k, name in enumerate(KINDS) for x in (F.lit(name), F.lit(k))])
-    new = rows.where("kind IS NULL").drop("kind").join(fresh.select("instance", "kind"), "instance")
-    new = new.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", place["kind"].alias("k"), "e"))).alias("new"))
+    instances = seeds.unionByName(learnt).select("instance", F.col("kind").alias("own"))
+    unmatched = rows.where("kind IS NULL").drop("kind").join(instances, "instance", "left").join(pairs, ["pattern", "instance"], "left")
+    new = unmatched.withColumn("kind", F.coalesce("own", "kind")).where("kind IS NOT NULL")
+    new = new.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", place[F.col("kind")].alias("k"), "e"))).alias("new"))
     none = F.array().cast("array<struct<s:bigint,k:int,e:bigint>>")
     return found.select("row", "doc_id", "base").join(new, "row", "left").select(
         "doc_id", "base", F.array_sort(F.concat("base", F.coalesce("new", none))).alias("spans")

@@ -392,6 +392,28 @@ def test_contexts_find_unseen_identifiers(spark, odd, none):
     assert identifiers.identifiers(odd).count() == len(ODD) and identifiers.identifiers(none).count() == 0
 
 
+def test_contexts_find_other_forms_and_unmatched_seeds(spark):
+    rows = [(i, f"please mail contact {'abcdefghij'[i % 10]}{i}@site{i}.org today") for i in range(12)]
+    rows += [(100, "please mail contact bob9@intranet today"), (101, "we saw bob9@intranet there and 77 more"), (102, "page 5 of 10")]
+    rows += [(110 + i, f"please mail contact eve{i}@host{i} today") for i in range(8)]  # more than a fifth is unseen
+    rows += [(200, "card 4242424242424242 ok"), (201, "numbers 4242424242424242 17 only")]  # with 17 behind it no card pattern matches
+    rows += [(300 + i, f"ring us on +1 (555) 555-{1000 + i} now") for i in range(6)] + [(310, "ring us on 555-2000 now")]  # a seed of several words
+    got = {r["doc_id"]: r for r in identifiers.identifiers(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    new = {d: [(dict(rows)[d][s["s"] : s["e"]], identifiers.KINDS[s["k"]]) for s in r["spans"] if s not in r["base"]] for d, r in got.items()}
+    want = {100: ("bob9@intranet", "email"), 101: ("bob9@intranet", "email"), 201: ("4242424242424242", "card"), 310: ("555-2000", "phone")}
+    want |= {110 + i: (f"eve{i}@host{i}", "email") for i in range(8)}
+    assert {d: n for d, n in new.items() if n} == {d: [w] for d, w in want.items()}
+
+
+def test_patterns_with_other_kinds_or_few_known_are_not_used(spark):
+    edges = [("mixed _ x", f"{i}.{i}", ("ip", "card")[i % 2]) for i in range(20)] + [("mixed _ x", "n1", None)]
+    edges += [("of _ and", f"s{i}@b", "email") for i in range(5)] + [("of _ and", f"{i}", None) for i in range(60)]
+    edges += [("one _ b", f"s{i}@b", "email") for i in range(5)] + [("one _ b", "z1", None)] + [("two _ b", f"z{i}", None) for i in (1, 2)]
+    edges += [("one _ b", f"y{i}", None) for i in range(3)] + [("three _ b", x, None) for x in ("y0", "y1", "y2", "w1")]  # y teach the next pattern
+    got = identifiers.bootstrap(spark.createDataFrame(edges, "pattern string, instance string, kind string"), accept=0.7)
+    assert {(r["instance"], r["kind"]) for r in got.collect()} == {(x, "email") for x in ("z1", "y0", "y1", "y2", "w1")}
+
+
 def test_learnt_contexts_are_used(spark):
     edges = [(f"call _ now|a{i % 2}", f"seed{i}", "phone") for i in range(12)] + [("call _ now|a0", "fresh", None), ("other _ x|1", "lone", None)]
     got = identifiers.bootstrap(spark.createDataFrame(edges, "pattern string, instance string, kind string"), min_seeds=3, accept=0.7)
