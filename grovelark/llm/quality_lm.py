@@ -9,14 +9,18 @@ A document is kept if its bits per character lie between its language's quantile
 ``slack`` times their distance from the median. Too many bits is text unlike any trusted one, too few is repetition. Short
 texts are first drawn towards the median as if ``prior_chars`` more characters cost what the median does.
 
+A language with fewer than ``least`` calibration rows has too few for quantiles of its own: it takes those of all languages' rates
+relative to their medians, with a spread of at least ``spread``,
+and a floor no higher than the rate of any of its trusted rows. Its median is that of its calibration rows, or of all its texts if it
+has none. A language without a model is scored by one of all trusted text.
+
 Results for odd input: null and empty texts cost nothing, have no perplexity and are not kept; a null language is one of its
-own; a language with fewer than ``least`` calibration rows has no thresholds and keeps its texts; repeated rows get a row
-each; several labels of a document count if all trust it; an empty table gives no rows.
+own; with no trusted text to train on, or none to calibrate, texts are kept; repeated rows get a row each; several labels of a document count if all trust it; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -28,7 +32,9 @@ from .common import broadcast_if_small, cut, pick, table, text_or_empty
 from .kneser_ney import Scorer, codes_of, count_grams, distinct, gram_hashes, hashed, smooth, stretches
 
 ORDER, BLOCK_CHARS = 5, 32_000_000
-LOW, HIGH, SLACK, PRIOR_CHARS, LEAST = 0.05, 0.95, 3.0, 100.0, 30
+LOW, HIGH, SLACK, PRIOR_CHARS, LEAST, SPREAD = 0.05, 0.95, 3.0, 100.0, 30, 0.05
+#: The label of the model of all trusted text.
+POOL = "\x00"
 SMALL_ROWS = 4_000_000
 
 
@@ -79,8 +85,11 @@ def _opened(packets: pd.DataFrame) -> Iterator[tuple[list[int | None], list[str]
         yield t["doc_id"].to_pylist(), t["text"].to_pylist()
 
 
-def score(docs: DataFrame, model: DataFrame, order: int = ORDER, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``(doc_id, label, n_chars, bits)`` per row of ``docs (doc_id, label, text)``; ``bits`` is null without a model."""
+def score(docs: DataFrame, model: DataFrame, order: int = ORDER, block_chars: int = BLOCK_CHARS, pooled: Sequence[str] = ()) -> DataFrame:
+    """``(doc_id, label, n_chars, bits)`` per row of ``docs (doc_id, label, text)``; ``bits`` is null without a model.
+
+    Labels in ``pooled`` are scored by the model labelled ``POOL``.
+    """
 
     def grams(packets: pd.DataFrame) -> pd.DataFrame:
         found = [np.zeros(1, np.uint64)]
@@ -104,25 +113,55 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, block_chars: in
 
     dealt = packed(blocks(docs, block_chars))
     wanted = dealt.groupBy("label", "block").applyInPandas(grams, "label string, block bigint, key bigint")
-    found = wanted.join(model.select("label", "key", F.col("alpha").cast("float").alias("alpha"), F.col("gamma").cast("float").alias("gamma")), ["label", "key"])
+    by = F.when(F.col("label").isin(*pooled), F.lit(POOL)).otherwise(F.col("label")) if pooled else F.col("label")
+    rows = model.select(F.col("label").alias("by"), "key", F.col("alpha").cast("float").alias("alpha"), F.col("gamma").cast("float").alias("gamma"))
+    found = wanted.withColumn("by", by).join(rows, ["by", "key"]).drop("by")
     return dealt.groupBy("label", "block").cogroup(found.groupBy("label", "block")).applyInPandas(bits, "doc_id bigint, label string, n_chars bigint, bits double")
 
 
-def thresholds(scored: DataFrame, trusted: DataFrame, low: float = LOW, high: float = HIGH, slack: float = SLACK, prior_chars: float = PRIOR_CHARS, least: int = LEAST) -> DataFrame:
-    """``(label, middle, floor, ceiling)`` from the calibration rows."""
-    held = cut(scored.where("n_chars > 0").where(_held()).join(trusted, "doc_id", "left_semi"))
-    middle = held.groupBy("label").agg(F.percentile_approx(F.col("bits") / F.col("n_chars"), F.lit(0.5), F.lit(10_000)).alias("middle"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+def thresholds(scored: DataFrame, trusted: DataFrame, low: float = LOW, high: float = HIGH, slack: float = SLACK, prior_chars: float = PRIOR_CHARS, least: int = LEAST, spread: float = SPREAD) -> DataFrame:
+    """``(label, middle, floor, ceiling)`` of every label, from the calibration rows."""
+    scored = scored.where("n_chars > 0 AND bits IS NOT NULL")
+    held = cut(scored.where(_held()).join(trusted, "doc_id", "left_semi"))
+    median = F.percentile_approx(F.col("bits") / F.col("n_chars"), F.lit(0.5), F.lit(10_000)).alias("middle")
+    middle = cut(held.groupBy("label").agg(median, F.count(F.lit(1)).alias("n")))
     rate = (F.col("bits") + prior_chars * F.col("middle")) / (F.col("n_chars") + prior_chars)
-    ends = held.join(middle, "label").withColumn("rate", rate).groupBy("label", "middle").agg(F.percentile_approx("rate", F.array(F.lit(low), F.lit(high)), F.lit(10_000)).alias("q"))
-    m, q = F.col("middle"), F.col("q")
-    return ends.select("label", "middle", (q[0] - slack * (m - q[0])).alias("floor"), (q[1] + slack * (q[1] - m)).alias("ceiling"))
+    held = held.join(broadcast_if_small(middle, 10_000), "label").withColumn("rate", rate)
+    quantiles = lambda x: F.percentile_approx(x, F.array(F.lit(low), F.lit(high)), F.lit(10_000)).alias("q")
+    m, q, d = F.col("middle"), F.col("q"), 1 + slack
+    own = held.where(F.col("n") >= least).groupBy("label", "middle").agg(quantiles("rate"))
+    own = own.select("label", "middle", (m - d * (m - q[0])).alias("floor"), (m + d * (q[1] - m)).alias("ceiling"))
+    # medians of one or two rows say nothing of the spread
+    pool = cut(held.where(F.col("n") > 2).agg(quantiles(F.col("rate") / m)))
+    bare = cut(scored.select("label").distinct().join(broadcast_if_small(middle, 10_000), "label", "left_anti"))
+    few = middle.where(F.col("n") < least).select("label", "middle")
+    few = few.unionByName(scored.join(broadcast_if_small(bare, 10_000), "label", "left_semi").groupBy("label").agg(median))
+    below, above = (F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(spread)) for x in (1 - q[0], q[1] - 1))
+    few = few.crossJoin(F.broadcast(pool)).select("label", "middle", (m * (1 - d * below)).alias("floor"), (m * (1 + d * above)).alias("ceiling"))
+    # rows that a small model has been trained on look likely to it, but aren't repetition
+    seen = scored.join(trusted, "doc_id", "left_semi").join(broadcast_if_small(cut(few), 10_000), "label")
+    seen = seen.withColumn("rate", rate).groupBy("label").agg(F.min("rate").alias("least_seen"))
+    few = few.join(seen, "label", "left").select("label", "middle", F.least("floor", "least_seen").alias("floor"), "ceiling")
+    return own.unionByName(few)
+
+
+def _without_model(docs: DataFrame, model: DataFrame) -> list[str]:
+    """The labels of texts that have no model, if there is a model at all."""
+    have = cut(model.select("label").distinct())
+    if have.isEmpty():
+        return []
+    return [r["label"] for r in docs.where("text <> ''").select("label").distinct().join(have, "label", "left_anti").collect()]  # a row per language
 
 
 def classify(docs: DataFrame, labels: DataFrame, prior_chars: float = PRIOR_CHARS, block_chars: int = BLOCK_CHARS, **options) -> DataFrame:
     """``(doc_id, label, n_chars, perplexity, rate, floor, ceiling, keep)`` per row; ``docs`` has doc_id, text and lang."""
     rows = docs.select("doc_id", text_or_empty().alias("text"), text_or_empty("lang").alias("label"))
     trusted = broadcast_if_small(cut(trusted_ids(labels)), SMALL_ROWS)
-    scored = cut(score(rows, train(rows, trusted), block_chars=block_chars))
+    model = train(rows, trusted)
+    pooled = _without_model(rows, model)
+    if pooled:
+        model = model.unionByName(train(rows.withColumn("label", F.lit(POOL)), trusted))
+    scored = cut(score(rows, model, block_chars=block_chars, pooled=pooled))
     bounds = broadcast_if_small(cut(thresholds(scored, trusted, prior_chars=prior_chars, **options)), 10_000)
     out = scored.join(bounds, "label", "left")
     rate = (F.col("bits") + prior_chars * F.col("middle")) / (F.col("n_chars") + prior_chars)

@@ -445,6 +445,20 @@ def test_quality_keeps_good_and_rejects_bad(spark):
     assert got[got.quality == 1].keep.mean() > 0.95 and got[got.quality == 0].keep.mean() < 0.4
 
 
+def test_quality_judges_every_language(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    fr = docs.where("lang = 'fr'").select("doc_id")
+    labels = labels.join(fr, "doc_id", "left_anti").unionByName(labels.join(fr, "doc_id").withColumn("quality", F.lit(0).cast(labels.schema["quality"].dataType)))
+    got = quality_lm.classify(docs, labels).toPandas()  # fr has no trusted row
+    assert got[got.n_chars > 0][["rate", "floor", "ceiling"]].notna().all().all()
+    truth = pd.read_parquet(f"{folder}/labels.parquet")
+    both = got.merge(truth, on="doc_id")
+    for lang in ("en", "de", "es", "fr"):
+        own = both[both.label == lang]
+        assert own[own.quality == 1].keep.mean() > 0.9 and own[own.quality == 0].keep.mean() < 0.7
+
+
 def test_quality_of_odd_texts(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (5, 1, 0), (6, 0, 0), (3, 1, None), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
     got = quality_lm.classify(odd, labels, least=1).toPandas()
