@@ -3,8 +3,8 @@
 Each page is read once into pieces of text and the element subtrees around them. A subtree's hash covers its tag, class, id and
 everything below it. Spark counts, per host, on how many pages a hash occurs; subtrees on at least ``share`` of the host's
 pages (and ``least`` pages) are template and are deleted. Then, as page structure: what is never article text (scripts, styles,
-forms, navigation, headers, footers, sidebars, and elements whose class, id or role names an advert, notice, menu or reader
-comments) goes, and if the page marks its main content (``article``, ``main``), only that stays. Prose (paragraphs, headings, list
+forms, navigation, headers, footers, sidebars, and elements with a class, id or role that is the name of an advert, notice, menu or
+reader comments, unless they hold the article or most of the text) goes, and if the page marks its main content (``article``, ``main``), only that stays. Prose (paragraphs, headings, list
 items, quotes, inline markup) is deleted with a container that recurs, never for recurring itself: copies of an article are articles.
 
 Text is what a browser shows: character references decoded, white space in a block one space, blocks joined by one space.
@@ -54,19 +54,20 @@ PARSED = "page_id bigint, url string, host string, has_main boolean, pieces arra
 
 
 class _Node:
-    __slots__ = ("tag", "drop", "main", "parts", "pieces", "solid")
+    __slots__ = ("tag", "drop", "soft", "main", "parts", "pieces", "solid")
 
-    def __init__(self, tag: str, drop: bool, main: bool, solid: bool, sign: str):
-        self.tag, self.drop, self.main, self.solid, self.parts, self.pieces = tag, drop, main, solid, [sign], []
+    def __init__(self, tag: str, drop: bool, soft: bool, main: bool, solid: bool, sign: str):
+        self.tag, self.drop, self.soft, self.main, self.solid, self.parts, self.pieces = tag, drop, soft, main, solid, [sign], []
 
 
 def _hash(parts: list[str]) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _named(attributes: str) -> tuple[bool, str]:
-    """Whether class, id or role say that an element isn't article text; and what of them goes into the hash."""
-    drop, sign = False, []
+def _named(attributes: str) -> tuple[bool, bool, str]:
+    """Whether the role, and whether a whole class name or id, says that an element isn't article text; and what of them goes into
+    the hash."""
+    drop, soft, sign = False, False, []
     for m in _NAMED.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden":
@@ -75,21 +76,41 @@ def _named(attributes: str) -> tuple[bool, str]:
         if name == "role":
             drop |= value in _ROLES
         else:
-            drop |= not _WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value))
-    return drop, " ".join(sign)
+            soft |= not _WORDS.isdisjoint(value.split())
+    return drop, soft, " ".join(sign)
+
+
+def _chosen(has_main: bool, pieces: list[tuple]) -> tuple[bool, list[tuple[str, bool, list[int]]]]:
+    """Whether the marked main content decides, and the pieces left once elements go that are dropped by class or id alone.
+
+    Such an element stays if it holds most of the page's text, or the only marked article, with most of the text.
+    """
+    size = lambda rows: sum(len(p[0].strip()) for p in rows)
+    total, main = size(pieces), [p for p in pieces if p[1]]
+    plain = [p for p in pieces if not p[3]]
+    if has_main:
+        return True, [p[:3] for p in (plain if any(p[1] for p in plain) or not main else main)]
+    if 2 * size(main) > total:
+        return True, [p[:3] for p in ([p for p in main if not p[4]] or main)]
+    held: dict[int, int] = {}
+    for p in pieces:
+        held[p[3]] = held.get(p[3], 0) + len(p[0].strip())
+    return False, [(p[0], False, p[2]) for p in pieces if not p[3] or 2 * held[p[3]] > total]
 
 
 def parse(page: str) -> tuple[bool, list[tuple[str, bool, list[int]]], list[int]]:
     """Whether main content is marked; pieces of text (a leading line feed where a block begins) with whether they are main and
     the hashes of the subtrees around them that may be deleted; the distinct hashes of all such subtrees."""
-    root = _Node("", False, False, True, "")
+    root = _Node("", False, False, False, True, "")
     stack, pieces, subtrees, has_main = [root], [], set(), False
-    depth_drop = depth_main = 0
+    depth_drop = depth_main = depth_soft = depth_inner = outer = 0  # inner: within main content; outer: which of the elements dropped by class
     fresh = True  # a block begins with the next text
 
     def close() -> None:
-        nonlocal depth_drop, depth_main
+        nonlocal depth_drop, depth_main, depth_soft, depth_inner
         node = stack.pop()
+        depth_soft -= node.soft
+        depth_inner -= node.soft and depth_main > 0
         depth_drop -= node.drop
         depth_main -= node.main
         above = stack[-1]
@@ -111,8 +132,8 @@ def parse(page: str) -> tuple[bool, list[tuple[str, bool, list[int]]], list[int]
             node.parts.append(" ".join(value.split()))
         if depth_drop == 0:
             node.pieces.append(len(pieces))
-            pieces.append(("\n" + value if fresh else value, depth_main > 0, []))
-            fresh = False
+            pieces.append(("\n" + value if fresh else value, depth_main > 0, [], outer if depth_soft else 0, depth_inner > 0))
+            fresh = fresh and depth_soft > 0
 
     at, n = 0, len(page)
     while at < n:
@@ -148,22 +169,26 @@ def parse(page: str) -> tuple[bool, list[tuple[str, bool, list[int]]], list[int]
             if own in _SCOPE and own not in _CLOSES:
                 break
             k -= 1
-        drop, sign = _named(m[3]) if m[3] else (False, "")
+        drop, soft, sign = _named(m[3]) if m[3] else (False, False, "")
         drop |= tag in _DROP
         drop &= tag not in ("body", "html")
         main = tag in _MAIN and not drop and depth_drop == 0
-        has_main |= main
+        soft &= tag not in ("body", "html") and tag not in _MAIN
+        has_main |= main and not depth_soft
+        outer += soft and not depth_soft
+        depth_soft += soft
+        depth_inner += soft and depth_main > 0
         depth_drop += drop
         depth_main += main
         solid = main or tag in ("body", "html") or tag in _PROSE
-        stack.append(_Node(tag, drop, main, solid, f"{tag} {sign}"))
+        stack.append(_Node(tag, drop, soft, main, solid, f"{tag} {sign}"))
         if tag in _RAW and not m[0].endswith("/>"):
             end = re.compile(f"</{re.escape(tag)}", re.IGNORECASE).search(page, at)
             stack[-1].parts.append(page[at : end.start() if end else n])
             at = end.start() if end else n
     while len(stack) > 1:
         close()
-    return has_main, pieces, list(subtrees)
+    return *_chosen(has_main, pieces), list(subtrees)
 
 
 def parsed(pages: DataFrame) -> DataFrame:

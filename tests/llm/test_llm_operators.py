@@ -88,6 +88,19 @@ def test_templates_of_a_host_go_and_odd_pages_are_read(spark):
     assert html_main.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<div class='content has-sidebar'><p>own</div>", "own"), ("<div id='page-header-wrap'><article><p>own</article></div>", "own"),
+    ("<article class='post comments-open share'><p>own<div class='share'>no</div></article>", "own"),
+    ("<div class='social'><article><p>all of it<div class='ad'>no</div></article></div><p>x", "all of it"),
+    ("<div class='notice'><p>most of the page</div><div class='ad'>no</div>x", "most of the page x"),
+    ("<p>the own text of the page</p><div class='sidebar'><article>no</article></div>", "the own text of the page"),
+    ("<article>own</article><div class='comments'><article>a long comment, longer than all</article></div>", "own"),
+])
+def test_class_words_do_not_take_the_article(page, want):
+    has_main, pieces, _ = html_main.parse(page)
+    assert " ".join("".join(t for t, main, _ in pieces if main or not has_main).split()) == want
+
+
 # ---------------------------------------------------------------- 2
 
 
