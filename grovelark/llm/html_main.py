@@ -1,8 +1,9 @@
 """Main text of web pages: template subtrees found by counting them per host, and the article that is left.
 
 Each page is read once into pieces of text and the element subtrees around them. A subtree's hash covers its tag, class, id and
-everything below it. Spark counts, per host, on how many pages a hash occurs; subtrees on at least ``share`` of the host's
-pages (and ``least`` pages) are template and are deleted. Then, as page structure: what is never article text (scripts, styles,
+everything below it. Spark counts, per host, on how many pages a hash occurs; subtrees on at least ``least`` pages, or on all of
+two or more, are template and are deleted. Those on less than ``share`` of the host's pages or on fewer than ``least`` stay if
+they are together most of a page's text: then it is a copy of another page. Then, as page structure: what is never article text (scripts, styles,
 forms, navigation, headers, footers, sidebars, and elements with a class, id or role that is the name of an advert, notice, menu or
 reader comments, unless they hold the article or most of the text) goes, and if the page marks its main content (``article``, ``main``), only that stays. Prose (paragraphs, headings, list
 items, quotes, inline markup) is deleted with a container that recurs, never for recurring itself: copies of an article are articles.
@@ -208,10 +209,14 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """``(host, subtree)`` on at least ``share`` of the host's pages and ``least`` of them."""
+    """``(host, subtree, wide)`` on at least ``least`` of the host's pages, however many it has, or on all of two or more.
+
+    ``wide``: on at least ``share`` of the host's pages, too. The others may be parts of copied articles.
+    """
     n = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
-    counts = pages.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return counts.join(n, "host").where(F.col("n") >= share * F.col("n_pages")).select("host", "subtree")
+    counts = pages.select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    wide = (F.col("n") >= least) & (F.col("n") >= share * F.col("n_pages"))
+    return counts.join(n, "host").where((F.col("n") >= least) | (F.col("n") == F.col("n_pages"))).select("host", "subtree", wide.alias("wide"))
 
 
 def main_text(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
@@ -222,14 +227,20 @@ def main_text(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> Dat
     # only subtrees around text that is still there can matter; a hot host's templates are copied to several salts
     above = rows.where("boxed").select("row", "host", F.explode(around).alias("subtree")).withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)))
     known = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    gone = above.join(known, ["host", "subtree", "salt"]).groupBy("row").agg(F.collect_set("subtree").alias("gone"))
+    gone = above.join(known, ["host", "subtree", "salt"]).groupBy("row").agg(*[F.collect_set(F.when(F.col("wide") == w, F.col("subtree"))).alias(c) for c, w in (("gone", True), ("rare", False))])
     none = F.array().cast("array<bigint>")
     # pages whose text lies in no subtree that may go stay where they are
-    free = rows.where("NOT boxed").select("page_id", "url", "pieces", none.alias("gone"))
-    out = rows.where("boxed").select("row", "page_id", "url", "pieces").join(gone, "row", "left").select("page_id", "url", "pieces", "gone").unionByName(free)
-    kept = F.filter("pieces", lambda p: ~F.arrays_overlap(p["above"], F.coalesce("gone", none)))
+    free = rows.where("NOT boxed").select("page_id", "url", "pieces", none.alias("gone"), none.alias("rare"))
+    out = rows.where("boxed").select("row", "page_id", "url", "pieces").join(gone, "row", "left").select("page_id", "url", "pieces", "gone", "rare").unionByName(free)
+    without = lambda pieces, name: F.filter(pieces, lambda p: ~F.arrays_overlap(p["above"], F.coalesce(name, none)))
+    size = lambda pieces: F.aggregate(pieces, F.lit(0), lambda n, p: n + F.length(F.trim(p["text"])))
+    # rarer templates go unless they are most of what is left: then the page is a copy
+    out = out.withColumn("pieces", without("pieces", "gone")).withColumn("left", without("pieces", "rare"))
+    part = 2 * size("left") >= size("pieces")
+    kept = F.when(part, F.col("left")).otherwise(F.col("pieces"))
+    removed = F.size(F.coalesce("gone", none)) + F.when(part, F.size(F.coalesce("rare", none))).otherwise(0)
     text = F.trim(F.regexp_replace(F.array_join(F.transform(kept, lambda p: p["text"]), ""), "(?U)[\\s\\x1C-\\x1F]+", " "))
-    return out.select("page_id", "url", text.alias("text"), F.size(F.coalesce("gone", none)).alias("n_removed"))
+    return out.select("page_id", "url", text.alias("text"), removed.alias("n_removed"))
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

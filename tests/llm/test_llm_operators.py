@@ -101,6 +101,15 @@ def test_class_words_do_not_take_the_article(page, want):
     assert " ".join("".join(t for t, main, _ in pieces if main or not has_main).split()) == want
 
 
+def test_recurrence_does_not_depend_on_the_size_of_the_host(spark):
+    pages = [(i, "http://big/", f"<body><div class=x>{'a section notice' if i < 6 else i}</div><div><p>own words of page number {i}</div>") for i in range(60)]
+    pages += [(100 + i, "http://big/", "<body><div class=y><p>the same article</div><div class=z><p>in two copied parts</div>") for i in range(6)]
+    pages += [(200 + i, "http://tiny/", f"<body><div class=x>site</div><div><p>own words {i}</div>") for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in html_main.main_text(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    want = {i: f"own words of page number {i}" if i < 6 else f"{i} own words of page number {i}" for i in range(60)}
+    assert got == want | {100 + i: "the same article in two copied parts" for i in range(6)} | {200 + i: f"own words {i}" for i in range(2)}
+
+
 # ---------------------------------------------------------------- 2
 
 
