@@ -14,7 +14,8 @@ they differ in at most ``q · (|A| + |B|)`` shingles with ``q = (100 - percent)
    that shares the most keys (the text that the others were copied from), and every class meets its hubs only.
 4. **The rest, exactly.** Two classes under one hub can only be missing a link if one of them doesn't link with the hub. Then
    their differences from the hub must overlap in a known number of shingles: a prefix join on these, those that the hub lacks
-   first, finds all such pairs, and those are compared too.
+   first, finds all such pairs, and those are compared too. Two classes that both link with the hub are in one component anyway and
+   are not compared: the links span the components, but are not all links, and nothing here counts links per document.
 5. **Components** of the links by alternating stars. All comparisons are of whole sets.
 
 Results for odd input: texts that are null or have no word have no set, link with nothing and are their own component; fewer
@@ -248,7 +249,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def similarity_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Membership ``(doc_id, sid, n, component)`` of every row, and links ``(a, b)`` between set ids that join the components."""
+    """Membership ``(doc_id, sid, n, component)`` of every row, and links ``(a, b)`` between set ids that span the components.
+
+    Not every link: two sets that both link with their hub are not compared.
+    """
     index = cut(indexed(docs, width, percent))
     pairs, classes = stars(index)
     need = pairs.select(F.col("hub").alias("sid")).unionByName(pairs.select("sid")).distinct()
