@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bottom_k import op3_fingerprints
 from .decontaminate import op4_decontaminate
 from .decontaminate import oracle as contamination_sql
+from .fill_in_middle import op11_fill_in_middle
+from .fill_in_middle import oracle as fill_in_middle_sql
 from .html_main import op1_main_text
 from .identifiers import op8_identifiers
 from .jaccard_join import op6_jaccard_join
@@ -30,7 +32,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_identifiers": op8_identifiers,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 #: None for 1, 2, 3, 5, 6, 8, 9 and 10: models, hashes, files and code-point offsets that SQL has no words for; see tests/llm.
-ORACLES: dict[str, str] = {"op4_decontaminate": contamination_sql(), "op7_mixing": mixing_sql()}
+ORACLES: dict[str, str] = {
+    "op4_decontaminate": contamination_sql(),
+    "op7_mixing": mixing_sql(),
+    "op11_fill_in_middle": fill_in_middle_sql(),
+}
