@@ -11,12 +11,15 @@ from .decontaminate import op4_decontaminate
 from .decontaminate import oracle as contamination_sql
 from .fill_in_middle import op11_fill_in_middle
 from .fill_in_middle import oracle as fill_in_middle_sql
+from .hard_negatives import op13_hard_negatives
+from .hard_negatives import oracle as hard_negatives_sql
 from .html_main import op1_main_text
 from .identifiers import op8_identifiers
 from .jaccard_join import op6_jaccard_join
 from .language_id import op2_language
 from .mixing import op7_mixing
 from .mixing import oracle as mixing_sql
+from .packing import op12_packing
 from .quality_lm import op10_quality
 from .secrets_ledger import op9_secrets
 from .token_planes import op5_token_planes
@@ -33,11 +36,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_packing": op12_packing,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-#: None for 1, 2, 3, 5, 6, 8, 9 and 10: models, hashes, files and code-point offsets that SQL has no words for; see tests/llm.
+#: None for 1, 2, 3, 5, 6, 8, 9, 10 and 12: models, hashes, files, token ids and code-point offsets that SQL has no words for; see tests/llm.
 ORACLES: dict[str, str] = {
     "op4_decontaminate": contamination_sql(),
     "op7_mixing": mixing_sql(),
     "op11_fill_in_middle": fill_in_middle_sql(),
+    "op13_hard_negatives": hard_negatives_sql(),
 }
