@@ -32,7 +32,7 @@ WINDOW, UNITS = 2048, 128
 #: A greedy combination may leave this share of a window open for the stream to fill.
 OPEN_SHARE = 1 / 32
 #: Windows whose gaps are added up together.
-STRETCH = 1 << 15
+STRETCH = 1 << 10
 
 IDS = "task bigint, place bigint, doc_id bigint, n bigint, class int, rank bigint, before bigint, chunks bigint, ids binary"
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
@@ -210,7 +210,7 @@ def _stream_gaps(slots: DataFrame, window: int) -> DataFrame:
     gaps = slots.groupBy("window").agg(F.sum("length").alias("at")).withColumn("gap", F.lit(window) - F.col("at")).where("gap > 0")
     gaps = gaps.withColumn("stretch", F.floor(F.col("window") / STRETCH))
     per = cut(gaps.groupBy("stretch").agg(F.sum("gap").alias("all")))
-    earlier = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # a row per 32 768 windows
+    earlier = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # a row per stretch
     per = per.select("stretch", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("first"))
     own = Window.partitionBy("stretch").orderBy("window").rowsBetween(Window.unboundedPreceding, -1)
     return gaps.join(per, "stretch").select("window", "at", "gap", (F.col("first") + F.coalesce(F.sum("gap").over(own), F.lit(0))).alias("from"))
