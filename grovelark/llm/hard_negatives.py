@@ -200,6 +200,8 @@ def search(anchors: DataFrame, centres: np.ndarray, rows: DataFrame, shards: int
 
     dealt = anchors.withColumn("round", F.pmod(F.xxhash64("block"), F.lit(rounds)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     spread = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(shards)).cast("int")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    cells = shards * rounds  # said outright: a cell is little to read and much to multiply
+    dealt, spread = dealt.repartition(cells, "shard", "round"), spread.repartition(cells, "shard", "round")
     found = dealt.groupBy("shard", "round").cogroup(spread.groupBy("shard", "round")).applyInArrow(cell, FOUND)
     place = Window.partitionBy("anchor_id", "slot").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
