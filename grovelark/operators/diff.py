@@ -11,14 +11,15 @@ _KEY = ["repo", "path"]
 _PRINT = ["size", "mtime", "content_hash"]
 
 
-def fingerprints(files: DataFrame) -> DataFrame:
-    """Size, time and MD5 of the raw bytes; an unreadable file hashes to ``''``."""
+def fingerprints(files: DataFrame, *keep: str) -> DataFrame:
+    """Size, time and MD5 of the raw bytes (``raw`` where a reader gives them); an unreadable file hashes to ``''``."""
     return files.select(
+        *keep,
         "repo",
         P.normalise("relative_path").alias("path"),
         "size",
         "mtime",
-        F.coalesce(F.md5("content"), F.lit("")).alias("content_hash"),
+        F.coalesce(F.md5("raw" if "raw" in files.columns else "content"), F.lit("")).alias("content_hash"),
         F.lit(None).cast("timestamp").alias("last_analyzed"),
     )
 

@@ -33,6 +33,11 @@ def dir_document(generated_at: Column, summary: Column | str = "summary") -> Col
     )
 
 
+def without_time(content: Column | str) -> Column:
+    """A file's or directory's document without the time it was generated at."""
+    return F.regexp_replace(S.col(content), r"(?m)^\*\*生成时间\*\*: .*\n", "")
+
+
 def project_document(kind: Column | str, project: Column | str, content: Column | str, generator: str, generated_at: Column) -> Column:
     """Header by kind, content, and a footer naming the generator."""
     k, name = S.col(kind), S.col(project)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import count
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..sources.durable import cut
+from .components import component_cycles, cycle_nodes, cyclic_components, trimmed  # noqa: F401  (cycles of any length)
 from .ranking import ordinal
+from .skew import split_join
 
 
 def graph_nodes(edges: DataFrame) -> DataFrame:
@@ -71,10 +70,11 @@ def numbered_nodes(edges: DataFrame) -> DataFrame:
 
 
 def numbered_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    ids = nodes.select("repo", "node", "node_id")
+    """Edges by the ids of their ends; a module that a large share of all files imports is no task of its own."""
+    ids, edges = cut(nodes.select("repo", "node", "node_id")), cut(edges.select("repo", "source", "target"))
     a = ids.select("repo", F.col("node").alias("source"), F.col("node_id").alias("source_id"))
     b = ids.select("repo", F.col("node").alias("target"), F.col("node_id").alias("target_id"))
-    return edges.join(a, ["repo", "source"]).join(b, ["repo", "target"]).select(
+    return split_join(edges, b, ["repo", "target"]).join(a, ["repo", "source"]).select(
         "repo", "source_id", "target_id",
         F.format_string("    %s --> %s", "source_id", "target_id").alias("line"),
     )
@@ -94,23 +94,6 @@ def edge_json(edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- cycles
 
 
-def trim_core(links: DataFrame, rounds: int | None = 6) -> DataFrame:
-    """Drop edges that cannot lie on a cycle: no way in or no way out.
-
-    Every round is exact; stopping early only leaves more edges to look at.
-    """
-    left = links.count()
-    for _ in count() if rounds is None else range(rounds):
-        sources = links.select("repo", F.col("source").alias("target")).distinct()
-        targets = links.select("repo", F.col("target").alias("source")).distinct()
-        links = cut(links.join(sources, ["repo", "target"], "left_semi").join(targets, ["repo", "source"], "left_semi"))
-        now = links.count()
-        if now in (0, left):
-            break
-        left = now
-    return links
-
-
 def _rotated(*names: str) -> Column:
     """Cycle as an array that starts and ends with its smallest node."""
     nodes = F.array(*names)
@@ -157,7 +140,7 @@ def cycles(edges: DataFrame, max_length: int) -> DataFrame:
     """
     links = cut(edges.select("repo", "source", "target").distinct())
     loops = links.where("source = target").select("repo", F.array("source", "target").alias("cycle"))
-    core = trim_core(links.where("source <> target"))
+    core = trimmed(links.where("source <> target"))
     back = core.select("repo", F.col("target").alias("source"), F.col("source").alias("target"))
     pairs = core.where("source < target").join(back, ["repo", "source", "target"], "left_semi")
     found = [loops, pairs.select("repo", F.array("source", "target", "source").alias("cycle"))]
@@ -171,81 +154,6 @@ def cycles(edges: DataFrame, max_length: int) -> DataFrame:
     return out.select("repo", (F.size("cycle") - 1).alias("length"), "cycle").where(F.col("length") <= max_length)
 
 
-def cyclic_components(edges: DataFrame) -> DataFrame:
-    """Every node that lies on a cycle of any length: ``(repo, component, size, node)``; ``component`` is its smallest node.
-
-    Strongly connected components to a fixpoint. Each round gives every node the
-    largest node that leads to it, along edges until nothing changes; those that
-    lead back to it over nodes of the same mark are its component and leave the
-    graph. Only marks travel, one row per node; the driver sees counts alone.
-    """
-    links = cut(edges.select("repo", "source", "target").distinct())
-    found = [links.where("source = target").select("repo", F.col("source").alias("root"), F.col("source").alias("node"))]
-    core = trim_core(links.where("source <> target"))
-    while not core.isEmpty():
-        marks = _largest_ancestor(core)
-        a = marks.select("repo", F.col("node").alias("source"), F.col("mark").alias("_from"))
-        b = marks.select("repo", F.col("node").alias("target"), "mark")
-        inside = cut(core.join(a, ["repo", "source"]).join(b, ["repo", "target"]).where("mark = _from").select("repo", "mark", "source", "target"))
-        back = cut(marks.where("node = mark"))
-        fresh = back
-        while not fresh.isEmpty():
-            step = inside.join(fresh.withColumnRenamed("node", "target"), ["repo", "mark", "target"]).select("repo", "mark", F.col("source").alias("node")).distinct()
-            fresh = cut(step.join(back, ["repo", "mark", "node"], "left_anti"))
-            back = back.unionByName(fresh)
-        back = cut(back.select("repo", F.col("mark").alias("root"), "node"))
-        found.append(back)
-        gone = back.select("repo", "node")
-        core = core.join(gone.withColumnRenamed("node", "source"), ["repo", "source"], "left_anti").join(
-            gone.withColumnRenamed("node", "target"), ["repo", "target"], "left_anti"
-        )
-        core = trim_core(cut(core.select("repo", "source", "target")))
-    loops, *rest = found
-    members = loops
-    if rest:
-        members = reduce(DataFrame.unionByName, rest)
-        sizes = members.groupBy("repo", "root").agg(F.count(F.lit(1)).alias("n"))
-        members = members.join(sizes.where("n > 1"), ["repo", "root"]).select("repo", "root", "node")
-        members = members.unionByName(loops.join(members, ["repo", "node"], "left_anti").select("repo", "root", "node"))
-    members = cut(members)
-    named = members.groupBy("repo", "root").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("size"))
-    return members.join(named, ["repo", "root"]).select("repo", "component", "size", "node")
-
-
-def _largest_ancestor(links: DataFrame) -> DataFrame:
-    """``(repo, node, mark)``: the largest of a node and all that lead to it."""
-    ends = links.select("repo", F.explode(F.array("source", "target")).alias("node")).distinct()
-    marks = cut(ends.withColumn("mark", F.col("node")))
-    while True:
-        sent = links.join(marks.select("repo", F.col("node").alias("source"), "mark"), ["repo", "source"]).select("repo", F.col("target").alias("node"), "mark")
-        now = cut(marks.unionByName(sent).groupBy("repo", "node").agg(F.max("mark").alias("mark")))
-        if now.join(marks, ["repo", "node", "mark"], "left_anti").isEmpty():
-            return now
-        marks = now
-
-
-def component_cycles(edges: DataFrame, members: DataFrame | None = None) -> DataFrame:
-    """One shortest cycle through the smallest node of every component: ``(repo, component, cycle)``."""
-    members = cyclic_components(edges) if members is None else members
-    own = members.select("repo", "component", F.col("node"))
-    links = edges.select("repo", "source", "target").distinct()
-    inside = links.join(own.withColumnRenamed("node", "source"), ["repo", "source"]).join(own.withColumnRenamed("node", "target"), ["repo", "component", "target"])
-    inside = cut(inside.select("repo", "component", F.col("source").alias("last"), F.col("target").alias("next")))
-    paths = members.where("node = component").select("repo", "component", F.col("node").alias("last"), F.array("node").alias("path"))
-    seen, out = paths.select("repo", "component", F.col("last").alias("node")), []
-    while not paths.isEmpty():
-        step = cut(
-            paths.join(inside, ["repo", "component", "last"])
-            .groupBy("repo", "component", F.col("next").alias("node")).agg(F.min(F.array_append("path", F.col("next"))).alias("path"))
-        )
-        closed = cut(step.where("node = component").select("repo", "component", F.col("path").alias("cycle")))
-        out.append(closed)
-        fresh = step.join(closed.select("repo", "component"), ["repo", "component"], "left_anti").join(seen, ["repo", "component", "node"], "left_anti")
-        paths = cut(fresh.select("repo", "component", F.col("node").alias("last"), "path"))
-        seen = seen.unionByName(paths.select("repo", "component", F.col("last").alias("node")))
-    return reduce(DataFrame.unionByName, out) if out else inside.select("repo", "component", F.array("last").alias("cycle")).limit(0)
-
-
 def _longer(core: DataFrame, max_length: int) -> list[DataFrame]:
     step = core.select("repo", F.col("source").alias("last"), F.col("target").alias("next"))
     close = core.select("repo", F.col("source").alias("last"), F.col("target").alias("start"))

@@ -13,6 +13,7 @@ from ..functions import fixed_values as V
 from ..functions import paths as P
 from ..functions import pystr as S
 from ..sources.durable import cut
+from .skew import split_join
 
 _EDGE = "struct<target:string,dep_type:string,line:int,level:int,detail:string>"
 
@@ -209,5 +210,5 @@ def resolve_targets(edges: DataFrame, files: DataFrame, resolve: str = "paths")
         *key,
         F.posexplode(_candidates(F.col("_lang"), F.col("_scope"), F.col("_level"), target, F.col("dep_type"))).alias("_rank", "resolved"),
     )
-    best = tried.join(known, ["repo", "resolved"]).groupBy(*key).agg(F.min_by("resolved", "_rank").alias("resolved"))
-    return keyed.join(best, key, "left").drop("_lang", "_scope", "_level")
+    best = cut(tried.join(known, ["repo", "resolved"]).groupBy(*key).agg(F.min_by("resolved", "_rank").alias("resolved")))
+    return split_join(keyed, best, key, "left").drop("_lang", "_scope", "_level")
