@@ -2,13 +2,13 @@
 
 ``kind`` is ``file`` or ``directory`` (value = status), ``flag`` (key = final
 document, value = ``true``/``false``), or a stored text kind such as
-``api_info``, ``api_details`` and ``api_usage_details`` (null value = cleared).
+``api_info``, ``api_details``, ``api_usage_details`` and ``error`` (null value = cleared).
 Nothing is rewritten in place: the newest ``seq`` of a key is its state.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -56,6 +56,30 @@ def node_records(log: DataFrame) -> DataFrame:
     )
 
 
+def error_rows(results: DataFrame, log: DataFrame, seq: Column) -> DataFrame:
+    """Log rows of kind ``error``: the text for each failed node, and a clearing row for each that has one and is completed now.
+
+    ``results (repo, relative_path, status, error)``.
+    """
+    failed = results.where("status = 'failed'").select("repo", F.col("relative_path").alias("key"), F.col("error").alias("value"), seq.alias("seq"))
+    known = stored_texts(log, "error").select("repo", "key")
+    mended = results.where("status <> 'failed'").select("repo", F.col("relative_path").alias("key"), seq.alias("seq")).join(known, ["repo", "key"], "left_semi")
+    return save_texts(failed, "error").unionByName(clear_texts(mended, "error"))
+
+
+def failed_with_error(log: DataFrame) -> DataFrame:
+    """Failed nodes with the text of their last failure: ``(repo, relative_path, node_type, error)``."""
+    errors = stored_texts(log, "error").select("repo", F.col("key").alias("relative_path"), F.col("value").alias("error"))
+    return node_records(log).where("failed").select("repo", "relative_path", "node_type").join(errors, ["repo", "relative_path"], "left")
+
+
+def none_yet(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """No fingerprints and no documents: what a first run compares with."""
+    prints = spark.createDataFrame([], "repo string, path string, size bigint, mtime bigint, content_hash string, last_analyzed timestamp")
+    documents = spark.createDataFrame([], "repo string, relative_path string, node_type string, digest string, content string")
+    return prints, documents
+
+
 def missing_nodes(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Nodes whose document does not exist; ``docs(repo, doc_path)``."""
     return nodes.join(docs.select("repo", "doc_path"), ["repo", "doc_path"], "left_anti")

@@ -24,10 +24,10 @@ from ..operators import reports as A
 from ..operators import state as Z
 from ..streaming import events as M
 from ..streaming import progress as J
-from ..streaming.snapshots import run_snapshots
+from ..streaming.snapshots import closing_marks, run_snapshots, state_log, stored_fingerprints
 from ..sources.tables import table
 from ..sources.durable import cut, fresh_dir
-from . import api_documents
+from . import analysis, api_documents, flows
 from .derived import derive, derive_from
 from .fold import fold_levels
 
@@ -294,6 +294,21 @@ def upserted_fingerprints(spark, folder):
     return out.select("repo", "path", "size", "mtime", "content_hash", F.col("last_analyzed").isNotNull().alias("analyzed"))
 
 
+@query
+def rerun_documents(spark, folder):
+    """A full run, then one after changes: which documents were made again, and all documents."""
+    at = F.lit("2024-01-01 00:00:00")
+    first = flows.rerun(derive(spark, folder, "files_old"), *Z.none_yet(spark), at)
+    again = flows.rerun(derive(spark, folder, "files_new"), first["fingerprints"], first["documents"], at)
+    return again["documents"].select("repo", "relative_path", "node_type", "status", F.md5("content").alias("digest"), "folded")
+
+
+@query
+def failed_with_error(spark, folder):
+    log = derive(spark, folder, "state_log").unionByName(derive(spark, folder, "error_log"))
+    return Z.failed_with_error(log)
+
+
 @query
 def change_counts(spark, folder):
     return X.change_counts(_changes(spark, folder))
@@ -484,6 +499,24 @@ def cyclic_components(spark, folder):
     return R.cyclic_components(_inside(spark, folder))
 
 
+@query
+def component_cycles(spark, folder):
+    return R.cycle_nodes(_inside(spark, folder))
+
+
+@query
+def ring_cycles(spark, folder):
+    """One ring through all documents, into which a hub on another cycle leads."""
+    ids = table(spark, folder, "documents").select(F.col("doc_id").alias("id"))
+    ends = ids.agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    name = lambda c: F.concat(F.lit("d"), c.cast("string"))
+    ring = ids.join(F.broadcast(ends), F.col("id") <= F.col("high")).select(  # one row
+        name(F.col("id")).alias("source"), name(F.when(F.col("id") == F.col("high"), F.col("low")).otherwise(F.col("id") + 1)).alias("target"))
+    hub = ids.select(F.lit("hub").alias("source"), F.when(F.col("id") % 3 == 0, name(F.col("id"))).otherwise(F.lit("spoke")).alias("target")).distinct()
+    back = ends.select(F.lit("spoke").alias("source"), F.lit("hub").alias("target"))
+    return R.cycle_nodes(ring.unionByName(hub).unionByName(back).select(F.lit("r").alias("repo"), "source", "target"))
+
+
 @query
 def graph_totals(spark, folder):
     return R.graph_totals(_resolved(spark, folder))
@@ -699,6 +732,34 @@ def api_document_parts(spark, folder):
     return api_documents.usage_document_parts(info.select("repo").distinct(), derive(spark, folder, "details"), 8)
 
 
+def _echo(files):
+    """Each file's text as its summary; one file of one repo fails."""
+    refused = F.col("relative_path") == "voice/f2.py"
+    return files.select("repo", "relative_path", F.when(~refused, F.col("content")).alias("summary"), F.when(refused, "refused").alias("error"))
+
+
+def _usage(batch):
+    """A heading for each file, as usage documents have them; some files of one repo get none."""
+    return [None if r == "r1" and p.endswith("7.py") else f"### GET /doc/{p}\n**功能**: x" for r, p in zip(batch["repo"], batch["source_file"])]
+
+
+@query
+def analysed_documents(spark, folder):
+    """A whole run: the parts of all project documents, why there is none, whether they agree, and what failed."""
+    files = derive(spark, folder, "source_docs").withColumns({"name": P.name_of("relative_path"), "size": F.octet_length("content").cast("bigint")})
+    log = spark.createDataFrame([("r1", "flag", "readme", "true", 1)], "repo string, kind string, key string, value string, seq bigint")
+    docs = spark.createDataFrame([("r1", "docs/README.md", "there")], "repo string, doc_path string, content string")
+    out = analysis.analyse_all(files, log, docs, F.lit("2024-01-01 00:00:00"), 2, fresh_dir(spark, "stages"), functions=analysis.Functions(file=_echo, usage=_usage), rows_per_part=8)
+    row = lambda df, what, kind, block, part, value: df.select(
+        F.lit(what).alias("what"), "repo", kind.alias("kind"), block.alias("block"), part.cast("bigint").alias("part"), value.alias("value"))
+    none = F.lit(None).cast("string")
+    found = row(out["project_documents"], "part", F.col("kind"), F.col("block"), F.col("part"), F.md5("text"))
+    found = found.unionByName(row(out["gates"], "gate", F.col("kind"), none, F.col("n_missing"), F.col("state")))
+    checked = F.concat_ws(" ", "n_overview", "n_usage", "missing", "extra", F.col("consistent").cast("string"))
+    found = found.unionByName(row(out["verification"], "check", none, none, none, checked))
+    return found.unionByName(row(out["failures"], "failed", F.col("node_type"), F.col("relative_path"), none, F.col("error")))
+
+
 # ------------------------------------------------------------ enrichment
 
 
@@ -946,6 +1007,9 @@ def streamed_level_counters(spark, folder):
     return J.run_to_table(_stream(spark, folder, "progress"), J.level_counters, ["task_id", "depth"], "levels")
 
 
+_SNAPSHOT = "snapshot bigint, repo string, relative_path string, size bigint, mtime bigint, content string"
+
+
 @query
 def streamed_changes(spark, folder):
     """Two snapshots arrive one after the other; the changes of the second run."""
@@ -953,6 +1017,25 @@ def streamed_changes(spark, folder):
     columns = ["repo", "relative_path", "size", "mtime", "content"]
     for n, view in enumerate(("files_old", "files_new")):
         derive(spark, folder, view).select(F.lit(n).cast("bigint").alias("snapshot"), *columns).write.parquet(f"{base}/in/{n}")
-    schema = "snapshot bigint, repo string, relative_path string, size bigint, mtime bigint, content string"
-    run_snapshots(spark.readStream.schema(schema).parquet(f"{base}/in/*"), base)
+    run_snapshots(spark.readStream.schema(_SNAPSHOT).parquet(f"{base}/in/*"), base)
     return spark.read.parquet(f"{base}/changes/run=1").select("repo", "path", "change_type")
+
+
+@query
+def streamed_snapshots(spark, folder):
+    """Five snapshots in three micro-batches, two of them in pieces: the changes of every run, and the state they leave."""
+    base = fresh_dir(spark, "snapshots")
+    rows = derive(spark, folder, "file_snapshots")
+    marks = closing_marks(rows)
+    late = F.crc32(F.col("relative_path").cast("binary")) % 2 == 1  # half of snapshot 2 comes with the next batch, the mark of 3 with the last
+    for n, part in enumerate((
+        rows.where((F.col("snapshot") < 2) | (F.col("snapshot") == 2) & ~late).unionByName(marks.where("snapshot < 3")),
+        rows.where((F.col("snapshot") == 2) & late).unionByName(rows.where("snapshot = 3")),
+        rows.where("snapshot = 4").unionByName(marks.where("snapshot >= 3")),
+    )):
+        part.write.parquet(f"{base}/in/{n}")
+        run_snapshots(spark.readStream.schema(_SNAPSHOT).parquet(f"{base}/in/*"), base, marked=True, buckets=8)
+    changes = spark.read.option("basePath", f"{base}/changes").parquet(f"{base}/changes")
+    changes = changes.select(F.col("run").cast("bigint").alias("run"), "repo", "path", "change_type", F.col("old.content_hash").alias("old_hash"), F.col("new.content_hash").alias("new_hash"))
+    state = stored_fingerprints(state_log(spark, base))
+    return changes.unionByName(state.select(F.lit(None).cast("bigint").alias("run"), "repo", "path", F.lit("state").alias("change_type"), F.lit(None).cast("string").alias("old_hash"), F.col("content_hash").alias("new_hash")))

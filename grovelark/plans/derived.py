@@ -41,6 +41,14 @@ SELECT doc_id, repo, relative_path, name, mtime,
        CASE WHEN doc_id % 10 = 1 THEN size + 1 ELSE size END AS size,
        CASE WHEN doc_id % 10 = 1 THEN concat(content, 'x') ELSE content END AS content
 FROM {files} WHERE doc_id % 10 <> 0""",
+    "file_snapshots": " UNION ALL ".join(
+        f"SELECT CAST({s} AS BIGINT) AS snapshot, repo, relative_path, size, mtime, "
+        f"CASE WHEN doc_id % 10 = {s} THEN concat(content, 'v{s}') ELSE content END AS content FROM {{files}} WHERE (doc_id + {s}) % 7 <> 0"
+        for s in range(5)
+    ),
+    "error_log": """
+SELECT repo, 'error' AS kind, relative_path AS key, concat('lost ', name) AS value, doc_id * 10 + 1 AS seq
+FROM {files} JOIN {labels} USING (doc_id) WHERE toxic = 1""",
     "code": """
 SELECT repo, concat('b', b, '/m', <id i>, ext) AS relative_path, concat('m', <id i>, ext) AS name, ext,
        CASE ext

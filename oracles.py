@@ -184,6 +184,21 @@ HELPERS: dict[str, str] = {
     "ordered": "SELECT *, struct_pack(t := ts, s := seq) AS o FROM {progress}",
 }
 
+# the same tree for two snapshots, with every document, and what each directory is told by its children
+for _side in ("old", "new"):
+    _of = {"files": f"files_{_side}", **{n: f"{_side}_{n}" for n in ("split_files", "judged", "kept", "dirs", "nodes", "kids")}}
+    for _name in list(_of)[1:]:
+        HELPERS[_of[_name]] = re.sub(r"\{(\w+)\}", lambda m: "{" + _of.get(m[1], m[1]) + "}", HELPERS[_name])  # noqa: B023
+# a whole run over the documents with endpoint notes
+HELPERS["run_api"] = "SELECT repo, relative_path AS source_file, block FROM {judged_blocks} WHERE has_api AND repo <> 'r2'"
+HELPERS["run_lines"] = HELPERS["info_lines"].replace("info_text", "block").replace("{api_info}", "{run_api}")
+HELPERS["run_apis"] = HELPERS["apis"].replace("{info_lines}", "{run_lines}")
+HELPERS["run_numbered"] = "SELECT *, row_number() OVER (PARTITION BY repo ORDER BY source_file, pos) AS n FROM {run_apis}"
+HELPERS["run_usage"] = f"SELECT repo, source_file, concat('### GET /doc/', source_file, {NL}, '**功能**: x') AS details FROM {{run_api}} WHERE repo = 'r0'"
+HELPERS["run_tree"] = """SELECT repo, count(*) AS n FROM (
+    SELECT repo, relative_path FROM {source_docs} UNION SELECT repo, unnest(list_transform(range(0, len(string_split(relative_path, '/'))),
+      lambda i: array_to_string(string_split(relative_path, '/')[1:i], '/'))) FROM {source_docs}) t GROUP BY repo"""
+
 _WITH_HELPERS = {**VIEWS, **HELPERS}
 
 
@@ -288,6 +303,52 @@ def _gaps(by: str) -> str:
     return f"SELECT {by}, key, CAST(greatest(sum(a) - sum(b), 0) AS BIGINT) AS missing, CAST(greatest(sum(b) - sum(a), 0) AS BIGINT) AS extra FROM {inner} GROUP BY ALL HAVING sum(a) <> sum(b)"
 
 
+_FOOT = f"{NL}, {NL}, '---', {NL}, {NL}, '*本文档由 grovelark 自动生成*', {NL}, '*生成时间: {STAMP}*', {NL}"
+_RUN_GROUPED = _GROUPED.replace("{details}", "{run_usage}")
+_RUN_HEADINGS = _HEADINGS.replace("{details}", "{run_usage}")
+_RUN_TEXTS = f"""
+    SELECT 'r0' AS repo, 'readme' AS kind, '0' AS block, 0 AS part, concat('# r0', {NL}, {NL}, '[模拟README]', {NL}, {NL}, '路径: r0', {_FOOT}) AS text
+    UNION ALL SELECT repo, 'reading_guide', '0', 0, concat('# ', repo, ' - 文档阅读顺序指南', {NL}, {NL}, '> 本指南帮助你按照合理的顺序阅读项目文档，快速理解项目结构和核心逻辑。', {NL}, {NL}, '---', {NL}, {NL},
+      '[模拟指南] 结构行数: ', n, {_FOOT}) FROM {{run_tree}} WHERE repo <> 'r2'
+    UNION ALL SELECT DISTINCT repo, 'api_doc', '0', 0, concat('# ', repo, ' - API接口清单', {NL}, {NL}, '> 本文档列出项目的所有API接口及其功能描述。', {NL}, '> 注意：本文档仅包含接口清单，不包含详细的请求/响应示例。', {NL}, {NL}, '---', {NL}, {NL},
+      '# ', repo, ' API接口文档', {NL}, {NL}, '## 一、接口总览', {NL}, {NL}, '| 序号 | 模块 | 方法 | 路径 | 功能描述 | 认证 |', {NL}, '|------|------|------|------|----------|------|', {NL}) FROM {{run_api}}
+    UNION ALL SELECT repo, 'api_doc', '1', (n - 1) // 8, concat(string_agg(concat('| ', n, ' | ', {_BADGE}, ' | ', method, ' | ', path, ' | ', "desc", ' | 否 |'), {NL} ORDER BY n), {NL}) FROM {{run_numbered}} GROUP BY repo, (n - 1) // 8
+    UNION ALL SELECT repo, 'api_doc', '2', 0, concat({NL}, '**接口总计：', (SELECT count(*) FROM {{run_apis}} a WHERE a.repo = r.repo), ' 个**', {NL}, {NL}, '## 二、按模块分类', {NL}, {NL}, '[模拟汇总] 文件数: ', count(*), {_FOOT}) FROM {{run_api}} r GROUP BY repo
+    UNION ALL SELECT 'r0', 'api_usage_doc', '', 0, concat('# r0 API使用文档', {NL}, {NL}, '## 一、快速开始', {NL}, {NL}, '请参考各接口的请求示例进行调用。', {NL}, {NL}, {NL}, {NL}, '## 二、接口详情', {NL})
+    UNION ALL SELECT repo, 'api_usage_doc', concat('1', grp), part, CASE WHEN part = 0 THEN concat(heading, {NL}, text) ELSE text END FROM ({_RUN_GROUPED}) p JOIN ({_RUN_HEADINGS}) h USING (repo, grp)
+    UNION ALL SELECT 'r0', 'api_usage_doc', '2', 0, concat({NL}, {NL}, '## 三、错误处理', {NL}, {NL}, '请参考各接口文档中的错误响应说明。', {NL}, {_FOOT})"""
+_DIR_SUMMARY = "concat('[模拟总结] 目录: ', {nm}, chr(10), '子文档数: ', 2 * (k.file_count + k.dir_count) - 1)"
+
+
+def _side_documents(side: str) -> str:
+    return f"""SELECT repo, relative_path, 'file' AS node_type, name, array_to_string(parts[1:len(parts) - 1], '/') AS parent_path, md5(content) AS made, {_FILE_DOC} AS doc FROM {{{side}_kept}}
+        UNION ALL SELECT n.repo, n.relative_path, 'directory', n.name, n.parent_path, NULL, {_dir_doc(_DIR_SUMMARY)} FROM {{{side}_nodes}} n JOIN {{{side}_kids}} k USING (repo, relative_path) WHERE node_type = 'directory'"""
+
+
+def _side_made(side: str) -> str:
+    """What every document is made from: a file's text, a directory's documents."""
+    return f"""SELECT d.*, coalesce(d.made, c.told) AS source FROM ({_side_documents(side)}) d LEFT JOIN (
+        SELECT repo, parent_path AS up, md5(string_agg(concat(name, chr(1), node_type, chr(1), doc), chr(2) ORDER BY name, node_type)) AS told
+        FROM ({_side_documents(side)}) x WHERE relative_path <> '' GROUP BY ALL) c ON c.repo = d.repo AND c.up = d.relative_path AND d.node_type = 'directory'"""
+
+
+def _ring(edges: str) -> str:
+    """Components of ``e(repo, s, t)``, and of each the first in order of its shortest cycles through its smallest node."""
+    return f"""WITH RECURSIVE {edges}, w AS (SELECT repo, s, t FROM e UNION SELECT w.repo, w.s, e.t FROM w JOIN e ON e.repo = w.repo AND e.s = w.t),
+        c AS (SELECT a.repo, a.s AS node, min(a.t) AS component FROM w a JOIN w b ON a.repo = b.repo AND a.s = b.t AND a.t = b.s GROUP BY ALL),
+        i AS (SELECT e.repo, x.component, e.s, e.t FROM e JOIN c x ON x.repo = e.repo AND x.node = e.s JOIN c y ON y.repo = e.repo AND y.node = e.t AND y.component = x.component),
+        p AS (SELECT DISTINCT repo, component, component AS node, [component] AS path FROM c
+          UNION ALL SELECT p.repo, p.component, i.t, list_append(p.path, i.t) FROM p JOIN i ON i.repo = p.repo AND i.component = p.component AND i.s = p.node
+            WHERE (len(p.path) = 1 OR p.node <> p.component) AND (i.t = p.component OR NOT list_contains(p.path, i.t))),
+        b AS (SELECT repo, component, path FROM p WHERE node = component AND len(path) > 1 QUALIFY row_number() OVER (PARTITION BY repo, component ORDER BY len(path), path) = 1)
+        SELECT repo, component, CAST(len(path) - 1 AS BIGINT) AS length, unnest(path) AS node, CAST(generate_subscripts(path, 1) - 1 AS BIGINT) AS position FROM b"""
+
+
+_CODE_AND_RINGS = """e AS (SELECT DISTINCT repo, source AS s, resolved AS t FROM {resolved} WHERE resolved IS NOT NULL
+        UNION SELECT concat('r', doc_id % 4), concat('ring/', doc_id % 37 + 3, '/', doc_id % 7), concat('ring/', doc_id % 37 + 3, '/', (doc_id + 1) % 7) FROM documents)"""
+_ONE_RING = """e AS (SELECT 'r' AS repo, concat('d', doc_id) AS s, concat('d', CASE WHEN doc_id = (SELECT max(doc_id) FROM documents) THEN (SELECT min(doc_id) FROM documents) ELSE doc_id + 1 END) AS t FROM documents
+        UNION SELECT 'r', 'hub', CASE WHEN doc_id % 3 = 0 THEN concat('d', doc_id) ELSE 'spoke' END FROM documents UNION SELECT 'r', 'spoke', 'hub')"""
+
 BODIES: dict[str, str] = {
     # predicates
     "ignored_paths": "SELECT repo, relative_path FROM {judged} WHERE ignored",
@@ -334,6 +395,10 @@ BODIES: dict[str, str] = {
     "marked_counts": "SELECT repo, count(*) FILTER (status = 'pending') AS marked FROM {remarked} GROUP BY repo",
     "upserted_fingerprints": """SELECT n.repo, n.relative_path AS path, CASE WHEN c.repo IS NULL THEN o.size ELSE n.size END AS size, n.mtime, md5(n.content) AS content_hash,
         c.repo IS NOT NULL AS analyzed FROM {files_new} n LEFT JOIN {files_old} o USING (repo, relative_path) LEFT JOIN {changes} c ON c.repo = n.repo AND c.path = n.relative_path""",
+    "rerun_documents": f"""SELECT n.repo, n.relative_path, n.node_type, 'completed' AS status, md5(n.doc) AS digest, o.repo IS NULL AS folded
+        FROM ({_side_made('new')}) n LEFT JOIN ({_side_made('old')}) o ON o.repo = n.repo AND o.relative_path = n.relative_path AND o.node_type = n.node_type AND o.source = n.source""",
+    "failed_with_error": """SELECT r.repo, r.relative_path, r.node_type, e.value AS error FROM {records} r LEFT JOIN (
+        SELECT repo, key AS relative_path, arg_max(value, seq) AS value FROM {error_log} GROUP BY ALL) e USING (repo, relative_path) WHERE r.failed""",
     "change_counts": """SELECT repo, count(*) FILTER (change_type = 'added') AS added, count(*) FILTER (change_type = 'modified') AS modified,
         count(*) FILTER (change_type = 'deleted') AS deleted, count(*) AS total FROM {changes} GROUP BY repo""",
     "missing_nodes": "SELECT repo, relative_path, node_type FROM {nodes} n WHERE NOT EXISTS (SELECT 1 FROM {docs} d WHERE d.repo = n.repo AND d.doc_path = n.doc_path)",
@@ -379,6 +444,8 @@ BODIES: dict[str, str] = {
         w AS (SELECT repo, s, t FROM e UNION SELECT w.repo, w.s, e.t FROM w JOIN e ON e.repo = w.repo AND e.s = w.t),
         c AS (SELECT a.repo, a.s AS node, min(a.t) AS component, count(DISTINCT a.t) AS size FROM w a JOIN w b ON a.repo = b.repo AND a.s = b.t AND a.t = b.s GROUP BY ALL)
         SELECT repo, component, size, node FROM c""",
+    "component_cycles": _ring(_CODE_AND_RINGS),
+    "ring_cycles": _ring(_ONE_RING),
     "dependency_cycles": """WITH e AS (SELECT DISTINCT repo, source AS s, resolved AS t FROM {resolved} WHERE resolved IS NOT NULL)
         SELECT repo, 1 AS length, concat(s, ' -> ', t) AS cycle FROM e WHERE s = t
         UNION ALL SELECT a.repo, 2, concat(a.s, ' -> ', a.t, ' -> ', a.s) FROM e a JOIN e b ON a.repo = b.repo AND a.t = b.s AND b.t = a.s WHERE a.s < a.t
@@ -439,6 +506,14 @@ BODIES: dict[str, str] = {
     "api_document_parts": f"""SELECT repo, '' AS block, 0 AS part, concat('# ', repo, ' API使用文档', {NL}, {NL}, '## 一、快速开始', {NL}, {NL}, '请参考各接口的请求示例进行调用。', {NL}, {NL}, {NL}, {NL}, '## 二、接口详情', {NL}) AS text FROM (SELECT DISTINCT repo FROM {{api_info}}) r
         UNION ALL SELECT repo, concat('1', grp), part, CASE WHEN part = 0 THEN concat(heading, {NL}, text) ELSE text END FROM ({_GROUPED}) p JOIN ({_HEADINGS}) h USING (repo, grp)
         UNION ALL SELECT DISTINCT repo, '2', 0, concat({NL}, {NL}, '## 三、错误处理', {NL}, {NL}, '请参考各接口文档中的错误响应说明。', {NL}) FROM {{api_info}}""",
+    "analysed_documents": f"""SELECT 'part' AS what, repo, kind, block, CAST(part AS BIGINT) AS part, md5(text) AS value FROM ({_RUN_TEXTS}) t
+        UNION ALL SELECT 'gate', repo, kind, NULL, CASE WHEN repo = 'r1' AND kind = 'api_usage_doc' THEN (SELECT count(*) FROM {{run_api}} WHERE repo = 'r1' AND ends_with(source_file, '7.py')) ELSE 0 END,
+          CASE WHEN repo = 'r2' THEN 'stopped' WHEN repo = 'r1' AND kind = 'readme' THEN 'kept' WHEN repo = 'r1' AND kind = 'api_usage_doc' THEN 'details missing' ELSE 'written' END
+          FROM (SELECT DISTINCT repo FROM {{source_docs}}) r, (SELECT unnest(['readme', 'reading_guide', 'api_doc', 'api_usage_doc']) AS kind) k
+        UNION ALL SELECT 'check', 'r0', NULL, NULL, NULL, concat_ws(' ', listed, used, listed, used, 'false') FROM (
+          SELECT (SELECT count(*) FROM {{run_apis}} WHERE repo = 'r0') AS listed,
+                 count(*) + max(starts_with(source_file, 'data-hub/')::INT) AS used FROM {{run_usage}}) x  -- by the grammar the heading "2.n Data Hub…" names one too
+        UNION ALL SELECT 'failed', 'r2', 'file', 'voice/f2.py', NULL, 'refused'""",
     # enrichment
     "text_function": "SELECT repo, relative_path, NOT ends_with(relative_path, '7.py') AS success, CASE WHEN NOT ends_with(relative_path, '7.py') THEN concat(md5(content), ' ', relative_path) END AS summary, CASE WHEN ends_with(relative_path, '7.py') THEN 'refused' END AS error FROM {kept}",
     "retried_text_function": "SELECT repo, relative_path, CASE WHEN ends_with(relative_path, '7.py') THEN 2 ELSE 0 END AS attempt, NOT ends_with(relative_path, '7.py') AS success, CASE WHEN NOT ends_with(relative_path, '7.py') THEN concat(md5(content), ' ', relative_path) END AS summary, CASE WHEN ends_with(relative_path, '7.py') THEN 'refused' END AS error FROM {kept}",
@@ -497,6 +572,11 @@ BODIES: dict[str, str] = {
     "streamed_node_statuses": _NODE_STATUS,
     "streamed_level_counters": _LEVELS,
     "streamed_changes": "SELECT repo, path, change_type FROM {changes}",
+    "streamed_snapshots": """SELECT coalesce(n.snapshot, o.snapshot + 1) AS run, coalesce(n.repo, o.repo) AS repo, coalesce(n.relative_path, o.relative_path) AS path,
+          CASE WHEN o.repo IS NULL THEN 'added' WHEN n.repo IS NULL THEN 'deleted' ELSE 'modified' END AS change_type, md5(o.content) AS old_hash, md5(n.content) AS new_hash
+        FROM {file_snapshots} n FULL JOIN (SELECT * FROM {file_snapshots} WHERE snapshot < 4) o ON o.snapshot + 1 = n.snapshot AND o.repo = n.repo AND o.relative_path = n.relative_path
+        WHERE o.repo IS NULL OR n.repo IS NULL OR md5(o.content) <> md5(n.content)
+        UNION ALL SELECT NULL, repo, relative_path, 'state', NULL, md5(content) FROM {file_snapshots} WHERE snapshot = 4""",
 }
 
 

@@ -80,7 +80,7 @@ def test_analysis_resumes(spark, tmp_path):
 
 def test_dependency_flow(spark):
     files = corpus(spark, [("r", "p/a.py", "import p.b\nimport os"), ("r", "p/b.py", "from p import a")]).withColumn("ext", F.lit(".py"))
-    out = flows.dependencies(files)
+    out = flows.dependencies(files, by_syntax=True)
     assert rows(out["cycles"], "cycle") == [(["p/a.py", "p/b.py", "p/a.py"],)]
     assert rows(out["totals"], "n_edges", "n_external") == [(3, 1)]
     assert rows(out["top_imports"], "module", "n", "rank") == [("os", 1, 2), ("p", 2, 1)]
