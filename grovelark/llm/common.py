@@ -46,6 +46,12 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def broadcast_if_light(df: DataFrame, most_bytes: int = 32 << 20) -> DataFrame:
+    """A broadcast hint for a table that ``cut`` has written, if its files are small; else the planner joins as it sees fit."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most_bytes else df
+
+
 def worker_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, which serves many tasks one after another."""
     holder = sys.modules.setdefault("grovelark_worker_cache", types.ModuleType("grovelark_worker_cache"))

@@ -35,10 +35,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, pick, table
+from .common import broadcast_if_light, broadcast_if_small, cut, pick, table
 
 WIDTH, PERCENT = 3, 90
 SMALL_ROWS = 1_000_000
+#: Tokens that one group of comparisons holds, about; a longer set is one of its own.
+GROUP_TOKENS = 2_000_000
 CHARS_PER_WORD, CHANCE = 6.0, 0.37
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _MASK = (1 << 64) - 1
@@ -148,7 +150,7 @@ def _set_id(tokens: np.ndarray) -> bytes | None:
 
 
 def indexed(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``(doc_id, sid, n, keys)`` per row of ``docs (doc_id, text)``: the id and size of its set, and its index keys."""
+    """``(doc_id, mark, sid, n, keys)`` per row of ``docs (doc_id, text)``: a hash of its text, the id and size of its set, and its index keys."""
     lows = Bands(percent, {}).lows
     guess = F.greatest(F.lit(1), (F.length("text") / CHARS_PER_WORD).cast("int"))
     step = math.log((100 / percent) ** 3)
@@ -164,55 +166,80 @@ def indexed(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
             texts = b["text"].tolist()
             for lo, hi in spans(texts):
                 sets = shingle_sets(texts[lo:hi], width)
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].to_numpy(), "sid": [_set_id(s) for s in sets], "n": [len(s) for s in sets], "keys": [bands.keys(s) for s in sets]})
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].to_numpy(), "mark": b["mark"].iloc[lo:hi].to_numpy(), "sid": [_set_id(s) for s in sets], "n": [len(s) for s in sets], "keys": [bands.keys(s) for s in sets]})
 
-    return docs.select("doc_id", "text").mapInPandas(go, "doc_id bigint, sid binary, n int, keys array<bigint>")
+    return docs.select("doc_id", _mark().alias("mark"), "text").mapInPandas(go, "doc_id bigint, mark bigint, sid binary, n int, keys array<bigint>")
 
 
-def tokens_of(docs: DataFrame, width: int) -> DataFrame:
-    """``(sid, tokens)``: whole sets, sorted, as bytes of unsigned 64-bit numbers."""
+def _mark() -> Column:
+    return F.xxhash64("text")
 
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = b["text"].tolist()
-            for lo, hi in spans(texts):
-                sets = shingle_sets(texts[lo:hi], width)
-                yield pd.DataFrame({"sid": [_set_id(s) for s in sets], "tokens": [s.tobytes() for s in sets]})
-
-    return docs.select("text").mapInPandas(go, "sid binary, tokens binary")
 
+def told(docs: DataFrame, width: int) -> DataFrame:
+    """``(hub, salt, sid, tokens)``: the whole set of every row of ``docs (text, asks)``, sorted, as bytes of unsigned 64-bit
+    numbers, for each group that asks for it. A task tells a set once, however many rows have it."""
 
-def compare(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        said: set[bytes] = set()
+        for b in batches:
+            texts, asks = b["text"].tolist(), b["asks"].tolist()
+            for lo, hi in spans(texts, 1_000_000):
+                rows = []
+                for tokens, ask in zip(shingle_sets(texts[lo:hi], width), asks[lo:hi], strict=True):
+                    sid = _set_id(tokens)
+                    if sid not in said:
+                        said.add(sid)
+                        raw = tokens.tobytes()
+                        rows += [(a["hub"], a["salt"], sid, raw) for a in ask]
+                for i in range(0, len(rows), 500):
+                    yield pd.DataFrame(rows[i : i + 500], columns=["hub", "salt", "sid", "tokens"])
+
+    return docs.select("text", "asks").mapInPandas(go, "hub binary, salt int, sid binary, tokens binary")
+
+
+def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
     """``(a, b, n, linked, head)`` for ``pairs (a, b)``: b's size and, of the differences between the sets, the prefix that
-    ``missing_pairs`` needs: what only b has first, then what only a has, each by hash."""
+    ``missing_pairs`` needs: what only b has first, then what only a has, each by hash.
 
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            linked, head, n = [], [], []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                new, old = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
-                d, both = len(new) + len(old), len(y) - len(new)
-                linked.append(100 * both >= percent * (both + d))
-                least = percent * d // (100 + percent) + 1 if linked[-1] else max(1, d - len(y) * (100 - percent) // percent)
-                head.append(np.concatenate([new, old])[: d - least + 1].view(np.int64))
-                n.append(len(y))
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "n": n, "linked": linked, "head": head})
-
-    rows = pairs.join(tokens.select(F.col("sid").alias("b"), F.col("tokens").alias("y")), "b").join(tokens.select(F.col("sid").alias("a"), F.col("tokens").alias("x")), "a")
-    return rows.select("a", "b", "x", "y").mapInPandas(go, "a binary, b binary, n int, linked boolean, head array<bigint>")
+    ``classes (sid, doc_id, mark, n)`` names a text of each set. Whole sets move once per pair, to the group of their ``a``; groups
+    of more than ``GROUP_TOKENS`` are dealt out over several, to each of which a's set goes.
+    """
+
+    def go(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        a, sets = key[0], dict(zip(group["sid"], group["tokens"], strict=True))
+        x = np.frombuffer(sets.pop(a), np.uint64)
+        out = []
+        for b, raw in sets.items():
+            y = np.frombuffer(raw, np.uint64)
+            new, old = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+            d, both = len(new) + len(old), len(y) - len(new)
+            linked = 100 * both >= percent * (both + d)
+            least = percent * d // (100 + percent) + 1 if linked else max(1, d - len(y) * (100 - percent) // percent)
+            out.append((a, b, len(y), linked, np.concatenate([new, old])[: d - least + 1].view(np.int64)))
+        return pd.DataFrame(out, columns=["a", "b", "n", "linked", "head"])
+
+    load = pairs.join(classes.select(F.col("sid").alias("b"), "n"), "b").groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("salts"))
+    load = cut(load)
+    member = pairs.join(load, "a").select(F.col("b").alias("sid"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    hub = load.select(F.col("a").alias("sid"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt"))
+    asks = member.unionByName(hub).groupBy("sid").agg(F.collect_list(F.struct("hub", "salt")).alias("asks"))  # a set's keys and salts at most
+    wanted = cut(asks.join(classes, "sid").select(F.col("doc_id").alias("w"), F.col("mark").alias("m"), "asks"))
+    here = docs.withColumn("m", _mark())
+    few = here.join(broadcast_if_light(cut(wanted.select("m").distinct())), "m", "left_semi")  # only these texts may have to move
+    texts = few.join(wanted.withColumnRenamed("m", "m2"), (F.col("m") == F.col("m2")) & F.col("doc_id").eqNullSafe(F.col("w")))
+    return told(texts, width).groupBy("hub", "salt").applyInPandas(go, "a binary, b binary, n int, linked boolean, head array<bigint>")
 
 
 def stars(index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(hub, sid)`` pairs to compare, and the classes ``(sid, doc_id, n)`` with one document each."""
-    classes = index.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    """``(hub, sid)`` pairs to compare, and the classes ``(sid, doc_id, mark, n)`` with one document each."""
+    classes = index.where("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct("doc_id", "mark")).alias("one"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     rows = classes.where(F.size("keys") > 0).select("sid", F.explode("keys").alias("key"))
     hot = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     shared = cut(rows.join(broadcast_if_small(hot, SMALL_ROWS), "key"))
     fame = cut(shared.groupBy("sid").agg(F.sum("n").alias("fame")))
     hubs = cut(shared.join(fame, "sid").groupBy("key").agg(F.max(F.struct("fame", "sid")).alias("h")).select("key", F.col("h.sid").alias("hub")))
     pairs = shared.join(hubs, "key").where("sid <> hub").select("hub", "sid").distinct()
-    return cut(pairs), classes.select("sid", "doc_id", "n")
+    return cut(pairs), cut(classes.select("sid", "one.doc_id", "one.mark", "n"))
 
 
 def missing_pairs(met: DataFrame, percent: int) -> DataFrame:
@@ -255,12 +282,8 @@ def similarity_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     """
     index = cut(indexed(docs, width, percent))
     pairs, classes = stars(index)
-    need = pairs.select(F.col("hub").alias("sid")).unionByName(pairs.select("sid")).distinct()
-    wanted = cut(classes.join(need, "sid").select("doc_id").distinct())
-    texts = docs.join(broadcast_if_small(wanted.withColumnRenamed("doc_id", "w"), SMALL_ROWS), F.col("doc_id").eqNullSafe(F.col("w")), "left_semi")
-    tokens = cut(tokens_of(texts, width).join(cut(need), "sid", "left_semi").dropDuplicates(["sid"]))
-    met = cut(compare(pairs.select(F.col("hub").alias("a"), F.col("sid").alias("b")), tokens, percent))
-    more = compare(cut(missing_pairs(met, percent)), tokens, percent)
+    met = cut(compare(pairs.select(F.col("hub").alias("a"), F.col("sid").alias("b")), docs, classes, width, percent))
+    more = compare(cut(missing_pairs(met, percent)), docs, classes, width, percent)
     links = cut(met.where("linked").select("a", "b").unionByName(more.where("linked").select("a", "b")))
     roots = components(links)
     member = index.select("doc_id", "sid", "n").join(roots, index["sid"] == roots["node"], "left")
