@@ -40,7 +40,7 @@ from .common import broadcast_if_light, broadcast_if_small, cut, pick, table
 WIDTH, PERCENT = 3, 90
 SMALL_ROWS = 1_000_000
 #: Tokens that one group of comparisons holds, about; a longer set is one of its own.
-GROUP_TOKENS = 2_000_000
+GROUP_TOKENS = 250_000
 CHARS_PER_WORD, CHANCE = 6.0, 0.37
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _MASK = (1 << 64) - 1
