@@ -6,7 +6,7 @@ cross-entropies most likely gives ``score``, and each language's bound on the cr
 ``accepted``.
 
 The models are fitted on a bounded sample of labelled rows: ``train_chars`` characters in all, in equal shares per
-language, rows chosen by hash. Everything else covers every row and every text whole.
+language, rows chosen by hash (:func:`sampled`). Everything else covers every row and every text whole.
 
 Results for odd input: null texts and texts without a letter get ``und``, score 0, not accepted; a null ``doc_id`` is never
 trained on; with no labelled row every text is ``und``; ties go to the language first in order; a repeated row gets its own row.
@@ -18,13 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, pick, table, worker_cache
-from .kneser_ney import Scorer, codes_of, collected, count_grams, smooth
+from .kneser_ney import Scorer, codes_of, collected, count_grams, smooth, spans
 
 ORDER, TRAIN_CHARS, CALIBRATE_CHARS, MAX_LANGUAGES = 5, 3_000_000, 800_000, 1000
+#: Characters that a worker normalises and scores at a time, however large the batches of rows are.
+SPAN_CHARS = 1_000_000
 UNKNOWN = "und"
 RESULT = "doc_id bigint, held_out boolean, lang_pred string, score double, cross_entropy double, accepted boolean"
 
@@ -47,12 +51,29 @@ def normal(text: str) -> str:
     return np.where(is_letter, codes, np.uint32(32))[keep].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
 
 
+def normal_pieces(text: str, chars: int = SPAN_CHARS) -> str:
+    """As :func:`normal`; a long text is taken piece by piece, so that its code points are never all held at once."""
+    if len(text) <= chars:
+        return normal(text)
+    out, at = [], 0
+    while at < len(text):
+        piece = normal(text[at : at + chars])
+        # a piece that begins between letters begins with a space, and none is wanted after another one
+        out.append(piece[1:] if piece.startswith(" ") and out and out[-1].endswith(" ") else piece or (" " if out and not out[-1].endswith(" ") else ""))
+        at += chars
+    whole = "".join(out)
+    return whole if whole.strip(" ") else ""
+
+
 def _normal_rows(docs: DataFrame) -> DataFrame:
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"label": b["lang"], "text": [normal(t) for t in b["text"]]})
+            sizes = pc.fill_null(pc.utf8_length(b.column("text")), 0).to_numpy()
+            for lo, hi in spans(sizes.tolist(), SPAN_CHARS):
+                part = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([normal_pieces(t) for t in part.column("text").to_pylist()], pa.string())], ["label", "text"])
 
-    return docs.select("lang", "text").mapInPandas(go, "label string, text string")
+    return docs.select("lang", "text").mapInArrow(go, "label string, text string")
 
 
 def remainder() -> Column:
@@ -71,7 +92,7 @@ class Model:
         return self.scorer.log2_sums(texts) / np.maximum(n, 1)[:, None], n
 
     def predict(self, texts: list[str]) -> pd.DataFrame:
-        texts = [normal(t) if t else "" for t in texts]
+        texts = [normal_pieces(t) if t else "" for t in texts]
         real = np.array([bool(t) for t in texts]) & bool(self.labels)
         out = pd.DataFrame({"lang_pred": [UNKNOWN] * len(texts), "score": 0.0, "cross_entropy": np.nan, "accepted": False})
         if real.any():
@@ -92,23 +113,45 @@ def _softmax(rates: np.ndarray, n: np.ndarray, temperature: float) -> np.ndarray
     return e / e.sum(1, keepdims=True)
 
 
+def _bounds(relative: np.ndarray, truth: np.ndarray, medians: np.ndarray, quantile: float, weight: float = 40.0) -> np.ndarray:
+    """Each language's bound: its own quantile of relative rates drawn towards that of all, the more the fewer rows it has."""
+    pooled = np.quantile(relative, quantile)
+    out = np.zeros(len(medians))
+    for j in range(len(medians)):
+        own = relative[truth == j]
+        share = len(own) / (len(own) + weight)
+        out[j] = medians[j] * 1.1 * (share * np.quantile(own, quantile) + (1 - share) * pooled if len(own) else pooled)
+    return out
+
+
+def sampled(labelled: DataFrame, train_chars: int, calibrate_chars: int) -> DataFrame:
+    """``(lang, calibrate, text)``: of every language rows in hash order until its equal share of characters is reached.
+
+    The first row of a language in that order trains; of the others a fifth calibrates. A text counts, and is given, up to the
+    share at most, so that the sample has its bound whatever the lengths of the texts; this is what the models are fitted on,
+    never a text that is predicted. Running sums are over a draw of about four times the share, not over all rows of a
+    language. Of more than ``MAX_LANGUAGES`` languages those with most rows are learnt.
+    """
+    order = F.xxhash64(F.lit(7), "doc_id", "text")
+    keys = cut(labelled.select("lang", order.alias("at"), F.length("text").cast("bigint").alias("chars")))
+    sums = keys.groupBy("lang").agg(F.min("at").alias("first"), F.sum("chars").alias("all"), F.count(F.lit(1)).alias("rows"))
+    sums = cut(sums.orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES))  # a row per language
+    n = max(1, sums.count())
+    share = F.when(F.col("calibrate"), F.lit(max(1, calibrate_chars // n))).otherwise(F.lit(max(1, train_chars // n)))
+    keys = keys.join(F.broadcast(sums), "lang").withColumn("calibrate", (F.col("at") != F.col("first")) & (F.pmod(F.xxhash64(F.lit(8), "at"), F.lit(5)) == 0))
+    luck = F.pmod(F.xxhash64(F.lit(9), "at"), F.lit(1 << 30)) / float(1 << 30)
+    expected = F.col("all") * F.when(F.col("calibrate"), 0.2).otherwise(0.8)
+    drawn = keys.where((F.col("at") == F.col("first")) | (luck * expected < 4.0 * share))
+    earlier = Window.partitionBy("lang", "calibrate").orderBy(F.col("at") != F.col("first"), "at").rowsBetween(Window.unboundedPreceding, -1)
+    taken = drawn.withColumn("so_far", F.coalesce(F.sum(F.least("chars", share)).over(earlier), F.lit(0))).where(F.col("so_far") < share)
+    taken = cut(taken.select(F.col("lang").alias("l"), "at", "calibrate").distinct())
+    rows = labelled.withColumn("_at", order).join(taken, (F.col("_at") == F.col("at")) & (F.col("lang") == F.col("l")))
+    return rows.select("lang", "calibrate", F.substring("text", F.lit(1), share.cast("int")).alias("text")).distinct()
+
+
 def fit(labelled: DataFrame, order: int = ORDER, train_chars: int = TRAIN_CHARS, calibrate_chars: int = CALIBRATE_CHARS, quantile: float = 0.995) -> Model:
     """From ``(doc_id, lang, text)`` with no nulls. A fifth of the rows is kept for calibration."""
-    rows = labelled.withColumn("calibrate", (F.abs(F.xxhash64("doc_id")) % 5) == 0)
-    sums = rows.groupBy("lang", "calibrate").agg(F.sum(F.length("text")).alias("chars"))
-    have = sums.limit(2 * MAX_LANGUAGES + 1).collect()  # a row per language
-    langs = {r["lang"] for r in have}
-    if len(have) > 2 * MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: the models would have no bound")
-    if not langs:
-        return Model([], None, 1.0, np.zeros(0))
-    share = [
-        (r["lang"], r["calibrate"], min(1.0, (calibrate_chars if r["calibrate"] else train_chars) / len(langs) / max(1, r["chars"])))
-        for r in have
-    ]
-    shares = labelled.sparkSession.createDataFrame(share, "lang string, calibrate boolean, share double")
-    luck = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1_000_000)) / 1_000_000.0
-    sample = cut(rows.join(F.broadcast(shares), ["lang", "calibrate"]).where(luck < F.col("share")).select("lang", "calibrate", "text"))
+    sample = cut(sampled(labelled, train_chars, calibrate_chars))
     labels, scorer = collected(smooth(count_grams(_normal_rows(sample.where(~F.col("calibrate"))).where("text <> ''"), order), order, modified=False), order) if sample.where(~F.col("calibrate")).limit(1).count() else ([], None)
     if not labels:
         return Model([], None, 1.0, np.zeros(0))
@@ -122,10 +165,11 @@ def fit(labelled: DataFrame, order: int = ORDER, train_chars: int = TRAIN_CHARS,
         grid = np.geomspace(0.02, 20, 40)
         loss = [-np.log(np.maximum(_softmax(rates, n, g)[np.arange(len(truth)), truth], 1e-12)).mean() for g in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
-        for j in range(len(labels)):
-            own = rates[truth == j, j]
-            if len(own) >= 20:
-                model.bounds[j] = np.quantile(own, quantile) * 1.1
+        # rates relative to their language's median, pooled: one rule for languages of many and of few rows
+        medians = np.array([np.median(rates[truth == j, j]) if (truth == j).any() else np.nan for j in range(len(labels))])
+        known = np.where(np.isnan(medians), np.nanmedian(medians), medians)
+        own = rates[np.arange(len(truth)), truth] / known[truth]
+        model.bounds = _bounds(own, truth, known, quantile)
     return model
 
 
@@ -133,17 +177,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``RESULT`` rows; only texts enter a prediction."""
     shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.scorer and (model.scorer.keys, model.scorer.alpha, model.scorer.gamma, model.scorer.order), model.temperature, model.bounds))
 
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, arrays, temperature, bounds = shared.value
         own = Model(labels, arrays and Scorer(*arrays), temperature, bounds)
         for b in batches:
-            got = own.predict(b["text"].tolist())
-            got.insert(0, "doc_id", b["doc_id"].to_numpy())
-            got.insert(1, "held_out", b["held_out"].to_numpy())
-            yield got
+            sizes = pc.fill_null(pc.utf8_length(b.column("text")), 0).to_numpy()
+            for lo, hi in spans(sizes.tolist(), SPAN_CHARS):
+                part = b.slice(lo, hi - lo)
+                got = own.predict(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), *(pa.array(got[c]) for c in got.columns)], ["doc_id", "held_out", *got.columns])
 
     rows = docs.select("doc_id", F.coalesce(remainder() == 0, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInPandas(go, RESULT).withColumn("cross_entropy", F.when(~F.isnan("cross_entropy"), F.col("cross_entropy")))
+    return rows.mapInArrow(go, RESULT).withColumn("cross_entropy", F.when(~F.isnan("cross_entropy"), F.col("cross_entropy")))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
