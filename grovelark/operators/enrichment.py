@@ -6,12 +6,13 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed_values as V
 from ..functions import pystr as S
+from ..sources.change_log import Folder
 from ..sources.durable import cut
 from .ranking import assemble, ordinal, parts_of
 
@@ -101,6 +102,51 @@ def run_with_retries(
     return done
 
 
+LEDGER = "call_id string, attempt int, success boolean, summary string, error string, elapsed_time double"
+
+
+def ledger(spark: SparkSession, base: str) -> DataFrame:
+    """Every call that was finished: one row per input, version and attempt; none where there is no ledger yet."""
+    known = Folder(spark, base).names("calls")
+    return spark.read.schema(LEDGER).parquet(f"{base}/calls") if known else spark.createDataFrame([], LEDGER)
+
+
+def _record(calls: DataFrame, base: str) -> None:
+    calls.select([f.split()[0] for f in LEDGER.split(", ")]).write.mode("append").parquet(f"{base}/calls")
+
+
+def run_with_ledger(
+    rows: DataFrame, fn: BatchFunction, key: list[str], base: str, version: str,
+    max_retries: int = V.MAX_RETRIES, seed: int = 0, pieces: int = 8,
+) -> DataFrame:
+    """As :func:`run_with_retries`, but no call is made twice: not by a run that broke off and is started again, nor for rows
+    that say the same.
+
+    A call is named by a hash of ``version`` (of ``fn``) and of everything but ``key`` that a row holds; ``fn`` must not look at
+    the key, so add to the row what it needs. The ledger below ``base`` is joined before each round, so that only open
+    calls are made; a round is ``pieces`` jobs by hash, each recorded when it is done: a broken one costs that piece.
+    """
+    spark = rows.sparkSession
+    inputs = [c for c in rows.columns if c not in key]
+    named = rows.withColumn("call_id", F.sha2(F.to_json(F.struct(F.lit(version).alias("_version"), *inputs), {"ignoreNullFields": "false"}).cast("binary"), 256))
+    ids = cut(named.select(*key, "call_id"))
+    one = cut(ids.groupBy("call_id").agg(F.min(F.struct(*key)).alias("_one")))  # the row that is asked for each call
+
+    for attempt in range(max_retries + 1):
+        for piece in range(pieces):
+            known = ledger(spark, base).groupBy("call_id").agg(F.bool_or("success").alias("_ok"), F.max("attempt").alias("_last"))
+            mine = one.where(F.pmod(F.xxhash64("call_id"), F.lit(pieces)) == piece).join(known, "call_id", "left")
+            todo = cut(mine.where(f"NOT coalesce(_ok, false) AND coalesce(_last, -1) < {attempt}").select("call_id", "_one.*"))
+            if todo.isEmpty():
+                continue
+            wait = F.lit(0.0) if attempt == 0 else retry_delay(F.lit(attempt - 1), F.rand(seed + attempt - 1))
+            asked = named.join(todo, ["call_id", *key], "left_semi").withColumns({"attempt": F.lit(attempt), "delay": wait})
+            _record(apply_text_function(asked, fn, ["call_id", "attempt"]).dropDuplicates(["call_id"]), base)
+    best = F.max_by(F.struct("attempt", "success", "summary", "error", "elapsed_time"), F.struct("success", "attempt"))
+    done = ledger(spark, base).groupBy("call_id").agg(best.alias("r"), F.count(F.lit(1)).alias("calls"))
+    return ids.join(done, "call_id").select(*key, "r.*", "calls")
+
+
 def validated(results: DataFrame, text: str = "summary") -> DataFrame:
     """Blank output becomes a failed outcome."""
     blank = S.is_blank(text)

@@ -26,6 +26,7 @@ from ..streaming import events as M
 from ..streaming import progress as J
 from ..streaming.snapshots import closing_marks, run_snapshots, state_log, stored_fingerprints
 from ..sources.tables import table
+from ..sources.trees import flatten_trees, sorted_trees
 from ..sources.durable import cut, fresh_dir
 from . import analysis, api_documents, flows
 from .derived import derive, derive_from
@@ -789,6 +790,24 @@ def retried_text_function(spark, folder):
     return out.select("repo", "relative_path", "attempt", "success", "summary", "error")
 
 
+def _by_content(batch):
+    """As ``_checksum``, from the content alone; texts that start like any other fail at every attempt."""
+    import hashlib
+
+    digests = [hashlib.md5(t.encode()).hexdigest() for t in batch["content"]]
+    return [None if d.startswith(("0", "1")) else d for d in digests]
+
+
+@query
+def ledgered_text_function(spark, folder):
+    """Run twice with one ledger: each text is asked for once, failing ones three times, however many files have it."""
+    rows = _kept(spark, folder).select("repo", "relative_path", "content")
+    base = fresh_dir(spark, "ledger")
+    for _ in range(2):
+        out = G.run_with_ledger(rows, _by_content, ["repo", "relative_path"], base, "v1", max_retries=2, pieces=2)
+    return out.select("repo", "relative_path", "attempt", "success", "summary", "error", "calls")
+
+
 @query
 def standin_summaries(spark, folder):
     return _kept(spark, folder).select("repo", "relative_path", G.standin_file().alias("summary"))
@@ -986,10 +1005,52 @@ def event_round_trip(spark, folder):
     return back.select("task_id", "type", "data.file_path", "data.doc_path", "data.error")
 
 
+@query
+def quarantined_messages(spark, folder):
+    """Messages read, and those that can't be, in one table."""
+    lines = derive(spark, folder, "messages")
+    good, bad = M.sorted_messages(lines, F.lit("events"), F.col("event_id"))
+    read = good.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum("data.current").alias("current"))
+    kept = read.select(F.lit("read").alias("what"), "type", "n", "current", F.lit(None).cast("bigint").alias("position"), F.lit(None).cast("string").alias("raw"))
+    return kept.unionByName(bad.select(F.lit("quarantined").alias("what"), F.col("reason").alias("type"), F.lit(1).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("current"), "position", "raw"))
+
+
+@query
+def quarantined_trees(spark, folder):
+    """Trees flattened to nodes, and those that can't be read."""
+    good, bad = sorted_trees(derive(spark, folder, "trees"))
+    nodes = flatten_trees(good).select("repo", F.lit("node").alias("what"), F.col("relative_path").alias("text"), "node_type", "depth", "has_api")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("node_type", "string"), ("depth", "int"), ("has_api", "boolean"))]
+    return nodes.unionByName(bad.select(F.col("source").alias("repo"), F.col("reason").alias("what"), F.col("raw").alias("text"), *none))
+
+
+@query
+def message_builders(spark, folder):
+    """The four builders of task messages, read back."""
+    rows = _progress(spark, folder).select(
+        F.col("task_id").cast("string").alias("task_id"), F.col("current").cast("bigint").alias("current"), F.col("total").cast("bigint").alias("total"), F.col("file_path").alias("current_file"),
+        F.lit("running").alias("status"), F.lit("/src").alias("source_path"), F.col("total").cast("bigint").alias("total_files"), F.lit(3).cast("bigint").alias("total_dirs"),
+        F.col("depth").cast("int").alias("depth"), F.col("current").cast("bigint").alias("completed"), F.lit(1).cast("bigint").alias("failed"),
+        F.when(F.col("seq") % 2 == 0, F.col("error")).alias("error"), F.create_map(F.lit("files"), F.col("seq").cast("string")).alias("stats"),
+    )
+    at = F.lit("2024-01-01T00:00:00")
+    sent = [b(rows, at).select("value") for b in (M.started, M.progressed, M.level_completed, M.finished)]
+    back = M.from_messages(sent[0].unionByName(sent[1]).unionByName(sent[2]).unionByName(sent[3]))
+    d = F.col("data")
+    return back.groupBy("task_id", "type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(d["current"]).alias("current"), F.sum(d["total"]).alias("total"), F.max(d["percentage"]).alias("percentage"), F.max(d["current_file"]).alias("current_file"),
+        F.sum(d["total_files"]).alias("total_files"), F.sum(d["completed"]).alias("completed"), F.max(d["depth"]).alias("depth"), F.max(d["error"]).alias("error"), F.max(d["stats"]["files"]).alias("files"),
+    )
+
+
 def _stream(spark, folder, name):
-    src = spark.read.parquet(f"{folder}/events.parquet").schema
-    events = spark.readStream.schema(src).option("pathGlobFilter", "events.parquet").parquet(folder)
-    return derive_from(spark, name, {"events": events})
+    """The events arrive as files, one to a micro-batch, in no order."""
+    events = table(spark, folder, "events")
+    base = fresh_dir(spark, "arrivals")
+    for n in range(5):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(5)) == n).coalesce(1).write.parquet(f"{base}/{n}")
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/*")
+    return derive_from(spark, name, {"events": arriving})
 
 
 @query

@@ -192,6 +192,21 @@ SELECT conv_id AS request_id, turn AS seq,
        CASE WHEN turn % 2 = 1 THEN concat('think ', <id turn>) END AS reasoning_content,
        CASE WHEN turn >= 3 THEN concat('stop', <id turn % 5>) ELSE '' END AS finish_reason
 FROM {conversations}""",
+    "messages": """
+SELECT event_id,
+       CASE WHEN event_id % 17 = 3 THEN concat('{', <dq>, 'type', <dq>, ':', <dq>, event_type)
+            WHEN event_id % 19 = 4 THEN concat('[', <id event_id>, ']')
+            WHEN event_id % 23 = 5 THEN concat('{', <dq>, 'data', <dq>, ':{', <dq>, 'task_id', <dq>, ':', <dq>, <id user_id>, <dq>, '}}')
+            WHEN event_id % 29 = 6 THEN concat('{', <dq>, 'type', <dq>, ':', <dq>, event_type, <dq>, '}')
+            ELSE concat('{', <dq>, 'type', <dq>, ':', <dq>, event_type, <dq>, ',', <dq>, 'timestamp', <dq>, ':', <dq>, '2024-01-01T00:00:00', <dq>, ',', <dq>, 'data', <dq>, ':{', <dq>, 'task_id', <dq>, ':', <dq>, <id user_id>, <dq>, ',', <dq>, 'current', <dq>, ':', <id event_id % 50>, '}}') END AS value
+FROM {events}""",
+    "trees": """
+SELECT concat('t', <id doc_id>) AS repo,
+       CASE WHEN doc_id % 11 = 2 THEN concat('{', <dq>, 'name', <dq>, ':', <dq>, source)
+            WHEN doc_id % 13 = 3 THEN concat('{', <dq>, 'name', <dq>, ':', <dq>, source, <dq>, '}')
+            ELSE concat('{', <dq>, 'name', <dq>, ':', <dq>, source, <dq>, ',', <dq>, 'node_type', <dq>, ':', <dq>, 'directory', <dq>, ',', <dq>, 'relative_path', <dq>, ':', <dq>, <dq>, ',', <dq>, 'depth', <dq>, ':0,', <dq>, 'children', <dq>, ':[',
+                 '{', <dq>, 'name', <dq>, ':', <dq>, 'd', <id doc_id>, '.py', <dq>, ',', <dq>, 'node_type', <dq>, ':', <dq>, 'file', <dq>, ',', <dq>, 'relative_path', <dq>, ':', <dq>, 'd', <id doc_id>, '.py', <dq>, ',', <dq>, 'depth', <dq>, ':1,', <dq>, 'has_api', <dq>, ':true}]}') END AS json
+FROM {documents}""",
     "progress": """
 SELECT user_id AS task_id, ts, event_id AS seq, event_id % 4 AS depth,
        CASE WHEN event_id % 13 = 0 THEN 'directory' ELSE 'file' END AS node_type,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from .durable import cut
+from .quarantine import json_reason, sort_out
 
 _FIELDS = ("name", "node_type", "relative_path", "status", "doc_path", "error_message", "api_info")
 
@@ -16,8 +17,14 @@ def node_json(nodes: DataFrame) -> DataFrame:
     return nodes.select("repo", F.to_json(F.struct(*[c for c in nodes.columns if c != "repo"])).alias("json"))
 
 
+def sorted_trees(trees: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Trees that :func:`flatten_trees` can read, and the others with why not; ``trees (repo, json)`` in the order of their texts' hashes."""
+    reason = json_reason(F.col("json"), {"relative_path": "string"})
+    return sort_out(trees.select("repo", "json"), reason, F.col("json"), F.col("repo"), F.xxhash64("json"))
+
+
 def flatten_trees(trees: DataFrame) -> DataFrame:
-    """Node rows of nested trees ``(repo, json)``, one level per round.
+    """Node rows of nested trees ``(repo, json)``, one level per round; for texts that are no trees see :func:`sorted_trees`.
 
     Each child becomes its own row, so later rounds spread a large tree over
     the cluster.

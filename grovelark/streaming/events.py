@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import percentage
+from ..sources.quarantine import json_reason, sort_out
 
 #: payload fields of all event types; absent ones are null
 DATA = T.StructType(
@@ -40,7 +41,7 @@ def read_event_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def from_messages(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Typed event rows from message texts; unreadable messages are dropped."""
+    """Typed event rows from message texts; for unreadable ones see :func:`sorted_messages`."""
     e = lines.select(F.from_json(column, ENVELOPE).alias("e")).where("e.type is not null")
     return e.select(
         F.col("e.data.task_id").alias("task_id"), F.to_timestamp("e.timestamp").alias("ts"),
@@ -48,6 +49,16 @@ def from_messages(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+def sorted_messages(lines: DataFrame, source: Column, position: Column, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Typed event rows of a batch, and the messages that can't be read with where they were and why."""
+    kept = lines.select(source.cast("string").alias("source"), position.cast("bigint").alias("position"), F.col(column).alias("value"))
+    reason = json_reason(F.col("value"), {"type": "string", "data": "variant"})
+    typed = F.from_json("value", ENVELOPE)
+    reason = reason.when(typed["type"].isNull() | typed["data"].isNull(), "fields of other types")
+    good, bad = sort_out(kept, reason, F.col("value"), F.col("source"), F.col("position"))
+    return from_messages(good), bad
+
+
 def message(event_type: Column | str, fields: dict[str, Column | str], at: Column) -> Column:
     """``{"type", "data", "timestamp"}`` as one JSON text."""
     kind = F.lit(event_type) if isinstance(event_type, str) else event_type

@@ -517,6 +517,8 @@ BODIES: dict[str, str] = {
     # enrichment
     "text_function": "SELECT repo, relative_path, NOT ends_with(relative_path, '7.py') AS success, CASE WHEN NOT ends_with(relative_path, '7.py') THEN concat(md5(content), ' ', relative_path) END AS summary, CASE WHEN ends_with(relative_path, '7.py') THEN 'refused' END AS error FROM {kept}",
     "retried_text_function": "SELECT repo, relative_path, CASE WHEN ends_with(relative_path, '7.py') THEN 2 ELSE 0 END AS attempt, NOT ends_with(relative_path, '7.py') AS success, CASE WHEN NOT ends_with(relative_path, '7.py') THEN concat(md5(content), ' ', relative_path) END AS summary, CASE WHEN ends_with(relative_path, '7.py') THEN 'refused' END AS error FROM {kept}",
+    "ledgered_text_function": """SELECT repo, relative_path, CASE WHEN bad THEN 2 ELSE 0 END AS attempt, NOT bad AS success, CASE WHEN NOT bad THEN d END AS summary,
+        CASE WHEN bad THEN 'blank output' END AS error, CASE WHEN bad THEN 3 ELSE 1 END AS calls FROM (SELECT *, md5(content) AS d, left(md5(content), 1) IN ('0', '1') AS bad FROM {kept}) k""",
     "standin_summaries": f"SELECT repo, relative_path, {_STANDIN} AS summary FROM {{kept}}",
     "standin_projects": f"SELECT repo, concat('# ', repo, {NL}, {NL}, '[模拟README]', {NL}, {NL}, '路径: ', min(relative_path)) AS summary FROM {{files}} GROUP BY repo",
     "filled_prompts": f"SELECT conv_id, turn, md5(concat('[', role, '] ', text, {NL}, '(', role, ', ', turn, ')')) AS digest FROM {{conversations}}",
@@ -568,6 +570,19 @@ BODIES: dict[str, str] = {
     "task_subscription": "SELECT task_id, seq, type FROM {progress} WHERE task_id = 7",
     "event_round_trip": f"""SELECT CAST(task_id AS STRING) AS task_id, type, file_path, CASE WHEN type = 'analysis_file_complete' THEN concat('docs/', file_path, '.md') END AS doc_path,
         CASE WHEN type = 'analysis_file_failed' THEN error END AS error FROM {{progress}} WHERE {_FILE_DONE}""",
+    "quarantined_messages": """WITH j AS (SELECT *, CASE WHEN NOT json_valid(value) THEN 'not JSON' WHEN json_type(value) <> 'OBJECT' THEN 'not an object'
+          WHEN json_extract_string(value, '$.type') IS NULL THEN 'no type' WHEN json_extract(value, '$.data') IS NULL THEN 'no data' END AS reason FROM {messages})
+        SELECT 'read' AS what, json_extract_string(value, '$.type') AS type, count(*) AS n, sum(json_extract(value, '$.data.current')::BIGINT) AS current, NULL AS position, NULL AS raw FROM j WHERE reason IS NULL GROUP BY ALL
+        UNION ALL SELECT 'quarantined', reason, 1, NULL, event_id, value FROM j WHERE reason IS NOT NULL""",
+    "quarantined_trees": """WITH j AS (SELECT *, CASE WHEN NOT json_valid(json) THEN 'not JSON' WHEN json_extract(json, '$.relative_path') IS NULL THEN 'no relative_path' END AS reason FROM {trees})
+        SELECT repo, 'node' AS what, '' AS text, 'directory' AS node_type, 0 AS depth, false AS has_api FROM j WHERE reason IS NULL
+        UNION ALL SELECT repo, 'node', json_extract_string(json, '$.children[0].name'), 'file', 1, true FROM j WHERE reason IS NULL
+        UNION ALL SELECT repo, reason, json, NULL, NULL, NULL FROM j WHERE reason IS NOT NULL""",
+    "message_builders": f"""SELECT CAST(task_id AS STRING) AS task_id, 'analysis_started' AS type, count(*) AS n, NULL AS current, NULL AS total, NULL AS percentage, NULL AS current_file, sum(total) AS total_files, NULL AS completed, NULL AS depth, NULL AS error, NULL AS files FROM {{progress}} GROUP BY ALL
+        UNION ALL SELECT CAST(task_id AS STRING), 'analysis_progress', count(*), sum(current), sum(total), max({_PCT}), max(file_path), NULL, NULL, NULL, NULL, NULL FROM {{progress}} GROUP BY ALL
+        UNION ALL SELECT CAST(task_id AS STRING), 'analysis_level_complete', count(*), NULL, sum(total), NULL, NULL, NULL, sum(current), max(depth), NULL, NULL FROM {{progress}} GROUP BY ALL
+        UNION ALL SELECT CAST(task_id AS STRING), 'analysis_complete', count(*), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, max(CAST(seq AS STRING)) FROM {{progress}} WHERE seq % 2 <> 0 GROUP BY ALL
+        UNION ALL SELECT CAST(task_id AS STRING), 'analysis_error', count(*), NULL, NULL, NULL, NULL, NULL, NULL, NULL, max(error), NULL FROM {{progress}} WHERE seq % 2 = 0 GROUP BY ALL""",
     "streamed_task_states": _TASK_STATE,
     "streamed_node_statuses": _NODE_STATUS,
     "streamed_level_counters": _LEVELS,

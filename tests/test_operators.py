@@ -344,6 +344,44 @@ def test_retry_rounds(spark, tmp_path):
         ("a", 0, True, "ok a", None), ("b", 1, True, "ok b", None), ("c", 2, False, None, "blank output")]
 
 
+def test_a_broken_run_asks_only_for_what_is_open(spark, tmp_path, monkeypatch):
+    seen = tmp_path / "calls"
+    seen.mkdir()
+
+    def counted(batch):
+        import uuid
+
+        out = []
+        for t in batch["text"]:
+            (seen / f"{t}-{uuid.uuid4().hex}").touch()
+            out.append(None if t == "bad" else t.upper())
+        return out
+
+    rows_ = spark.createDataFrame([(i, f"t{i % 12}" if i else "bad") for i in range(30)], "k int, text string")
+    record, left = G._record, [3]
+
+    def broken(calls, base):
+        left[0] -= 1
+        if left[0] < 0:
+            raise RuntimeError("killed")
+        record(calls, base)
+
+    monkeypatch.setattr(G, "_record", broken)
+    go = lambda version="1": G.run_with_ledger(rows_, counted, ["k"], str(tmp_path / "ledger"), version, max_retries=1, pieces=4)
+    with pytest.raises(RuntimeError, match="killed"):
+        go()
+    monkeypatch.setattr(G, "_record", record)
+    first = len(list(seen.iterdir()))
+    out = go()
+    asked = Counter(f.name.split("-")[0] for f in seen.iterdir())
+    assert first >= 3 and asked.pop("bad") == 2 and set(asked.values()) <= {1, 2} and sum(asked.values()) <= 12 + 6  # the lost piece again
+    assert rows(out.where("NOT success"), "k", "attempt", "error", "calls") == [(0, 1, "blank output", 2)]
+    assert out.where("success").count() == 29 and out.agg(F.max("calls")).first()[0] == 2
+    before = len(list(seen.iterdir()))
+    assert go().count() == 30 and len(list(seen.iterdir())) == before  # nothing is open
+    assert go("2").count() == 30 and len(list(seen.iterdir())) > before  # another function is asked again
+
+
 def test_retry_delay(spark):
     df = spark.range(8).select(G.retry_delay("id").alias("d"), G.retry_delay("id", F.rand(1)).alias("j"))
     got = df.collect()

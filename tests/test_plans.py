@@ -23,7 +23,7 @@ def plan(df) -> str:
     return out.getvalue()
 
 
-EAGER = ("cyclic", "component", "ring", "rerun", "analysed", "numbered_edges", "edge_display", "first_failed", "module_overview", "streamed", "bottom_up", "retried", "project_inputs", "api_document_parts")
+EAGER = ("cyclic", "ledgered", "quarantined", "component", "ring", "rerun", "analysed", "numbered_edges", "edge_display", "first_failed", "module_overview", "streamed", "bottom_up", "retried", "project_inputs", "api_document_parts")
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith(EAGER)))
