@@ -55,12 +55,13 @@ def normal_pieces(text: str, chars: int = SPAN_CHARS) -> str:
     """As :func:`normal`; a long text is taken piece by piece, so that its code points are never all held at once."""
     if len(text) <= chars:
         return normal(text)
-    out, at = [], 0
-    while at < len(text):
-        piece = normal(text[at : at + chars])
-        # a piece that begins between letters begins with a space, and none is wanted after another one
-        out.append(piece[1:] if piece.startswith(" ") and out and out[-1].endswith(" ") else piece or (" " if out and not out[-1].endswith(" ") else ""))
-        at += chars
+    out, last = [], ""
+    for at in range(0, len(text), chars):
+        piece = normal(text[at : at + chars]) or " "  # nothing but other characters is one space
+        if piece[0] == " " and last == " ":
+            piece = piece[1:]
+        out.append(piece)
+        last = piece[-1:] or last
     whole = "".join(out)
     return whole if whole.strip(" ") else ""
 
