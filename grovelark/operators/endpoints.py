@@ -151,22 +151,25 @@ def overview_endpoints(docs: DataFrame) -> DataFrame:
     )
 
 
-def _described_heading() -> str:
-    """A heading line with a function or auth field in one of the next lines.
+def _described_heading(lookahead: int | None) -> str:
+    """A heading line with a function or auth field in one of the next ``lookahead`` lines, or before the next heading for None.
 
     The look-ahead walks whole lines and never gives one back, so a document
     is read in one linear pass.
     """
     line = r"[^\S\n]*(?:#{2,4})[^\S\n]+(\S.*)$"
-    below = rf"(?=(?:\n[^\n]*+){{0,{V.USAGE_LOOKAHEAD - 1}}}?\n[^\n]*?(?:{V.USAGE_META}))"
+    other = r"(?![^\S\n]*#{2,4}[^\S\n])" if lookahead is None else ""
+    times = "*?" if lookahead is None else f"{{0,{lookahead - 1}}}?"
+    below = rf"(?=(?:\n{other}[^\n]*+){times}\n{other}[^\n]*?(?:{V.USAGE_META}))"
     return f"^{line}{below}"
 
 
-def usage_endpoints(docs: DataFrame) -> DataFrame:
+def usage_endpoints(docs: DataFrame, lookahead: int | None = V.USAGE_LOOKAHEAD) -> DataFrame:
     """Endpoints described by a usage document: ``(…key, origin, pos, api)``.
 
-    A heading counts when a function or auth field follows within the next
-    lines; table rows count unless a heading already names them.
+    A heading counts when a function or auth field follows within the next ``lookahead`` lines, whatever headings lie between,
+    as the usual grammar has it; with None it may be any number of lines, up to the next heading. Table rows count unless a
+    heading already names them.
     """
     c = F.col("content")
 
@@ -183,7 +186,7 @@ def usage_endpoints(docs: DataFrame) -> DataFrame:
             F.lit("table").alias("origin"), i.alias("pos"), S.strip(r["method"]).alias("method"), S.strip(r["path"]).alias("path")
         )
 
-    heads = F.transform(F.transform(S.extract_all(c, _described_heading(), 1, "m"), S.strip), parsed)
+    heads = F.transform(F.transform(S.extract_all(c, _described_heading(lookahead), 1, "m"), S.strip), parsed)
     table = F.filter(
         F.transform(_grouped(c, V.USAGE_TABLE, {"method": 1, "path": 2}, "m"), trimmed),
         lambda r: ~F.lower(r["method"]).isin(*V.USAGE_SKIP_METHOD) & ~F.startswith(r["method"], F.lit("-"))

@@ -34,6 +34,12 @@ def run_stats(nodes: DataFrame) -> DataFrame:
     )
 
 
+def with_elapsed(runs: DataFrame, started: str = "started_at", ended: str = "completed_at", now: Column | None = None) -> DataFrame:
+    """Whole seconds that each run took, or has taken up to ``now`` if it goes on; null where it has not started."""
+    until = F.col(ended) if now is None else F.coalesce(F.col(ended), now)
+    return runs.withColumn("elapsed", F.timestamp_diff("SECOND", F.col(started), until))
+
+
 def with_remaining(stats: DataFrame, total: Column | str = "total", processed: str = "processed", failed: str = "failed") -> DataFrame:
     t = F.col(total) if isinstance(total, str) else total
     return stats.withColumn("remaining", t - F.col(processed) - F.col(failed))

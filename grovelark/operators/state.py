@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import paths as P
+from . import endpoints as E
 from .ranking import ordinal
 
 _KEY = ["repo", "kind", "key"]
@@ -207,6 +208,18 @@ def recover_from_documents(docs: DataFrame, docs_root: str = "docs") -> DataFram
     )
 
 
+def recovered_log(docs: DataFrame, seq: Column, docs_root: str = "docs") -> DataFrame:
+    """The whole log read back from a document tree ``docs (repo, doc_path, content)``, where none was kept.
+
+    Nodes with a document are completed, project documents are flagged, and endpoint notes are taken from the documents.
+    """
+    nodes = recover_from_documents(docs, docs_root)
+    states = nodes.select("repo", F.col("node_type").alias("kind"), F.col("relative_path").alias("key"), F.lit("completed").alias("value"), seq.alias("seq"))
+    noted = E.with_api_info(nodes.where("node_type = 'file'")).where("has_api AND api_info <> ''")
+    infos = save_texts(noted.select("repo", F.col("relative_path").alias("key"), F.col("api_info").alias("value"), seq.alias("seq")), "api_info")
+    return states.distinct().unionByName(recovered_flags(docs, seq).distinct()).unionByName(infos)
+
+
 def status_report(log: DataFrame) -> DataFrame:
     files, dirs = F.col("node_type") == "file", F.col("node_type") == "directory"
     return node_records(log).groupBy("repo").agg(

@@ -398,6 +398,13 @@ def recovered_from_documents(spark, folder):
     return Z.recover_from_documents(derive(spark, folder, "docs")).select("repo", "node_type", "relative_path", "doc_path")
 
 
+@query
+def recovered_log(spark, folder):
+    """From the documents of the files with endpoint notes, and some project documents."""
+    noted = derive(spark, folder, "source_docs").select("repo", F.concat(F.lit("docs/"), "relative_path", F.lit(".md")).alias("doc_path"), "content")
+    return Z.recovered_log(noted.unionByName(derive(spark, folder, "docs")), F.lit(1).cast("bigint")).select("repo", "kind", "key", F.md5("value").alias("value"), "seq")
+
+
 @query
 def status_report(spark, folder):
     return Z.status_report(derive(spark, folder, "state_log"))
@@ -945,6 +952,12 @@ def run_throughput(spark, folder):
     return A.final_summary(runs)
 
 
+@query
+def run_elapsed(spark, folder):
+    runs = A.with_elapsed(J.lifecycle(_progress(spark, folder)), now=F.to_timestamp_ntz(F.lit("2024-02-01 00:00:00")))
+    return runs.select("task_id", "status", "elapsed")
+
+
 @query
 def level_summary(spark, folder):
     return A.level_summary(_restored(spark, folder))

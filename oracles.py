@@ -349,6 +349,10 @@ _CODE_AND_RINGS = """e AS (SELECT DISTINCT repo, source AS s, resolved AS t FROM
 _ONE_RING = """e AS (SELECT 'r' AS repo, concat('d', doc_id) AS s, concat('d', CASE WHEN doc_id = (SELECT max(doc_id) FROM documents) THEN (SELECT min(doc_id) FROM documents) ELSE doc_id + 1 END) AS t FROM documents
         UNION SELECT 'r', 'hub', CASE WHEN doc_id % 3 = 0 THEN concat('d', doc_id) ELSE 'spoke' END FROM documents UNION SELECT 'r', 'spoke', 'hub')"""
 
+_RECOVERED = """SELECT repo, CASE WHEN doc_path LIKE '%/_dir_summary.md' ESCAPE '#' AND ends_with(doc_path, '/_dir_summary.md') THEN 'directory' ELSE 'file' END AS node_type,
+        CASE WHEN ends_with(doc_path, '/_dir_summary.md') THEN substr(replace(doc_path, '/_dir_summary.md', ''), 6) ELSE substr(doc_path, 6, length(doc_path) - 8) END AS relative_path,
+        doc_path FROM {docs} WHERE doc_path NOT IN ('docs/README.md', 'docs/API_DOC.md', 'docs/API_USAGE.md')"""
+
 BODIES: dict[str, str] = {
     # predicates
     "ignored_paths": "SELECT repo, relative_path FROM {judged} WHERE ignored",
@@ -420,9 +424,12 @@ BODIES: dict[str, str] = {
         UNION ALL SELECT repo, CASE doc_path WHEN 'docs/README.md' THEN 'readme' WHEN 'docs/API_DOC.md' THEN 'api_doc' ELSE 'api_usage_doc' END, false, true
         FROM {docs} WHERE doc_path IN ('docs/README.md', 'docs/API_DOC.md', 'docs/API_USAGE.md')) x GROUP BY ALL""",
     "stored_details": "SELECT repo, relative_path AS key, value FROM {detail_list}",
-    "recovered_from_documents": """SELECT repo, CASE WHEN doc_path LIKE '%/_dir_summary.md' ESCAPE '#' AND ends_with(doc_path, '/_dir_summary.md') THEN 'directory' ELSE 'file' END AS node_type,
-        CASE WHEN ends_with(doc_path, '/_dir_summary.md') THEN substr(replace(doc_path, '/_dir_summary.md', ''), 6) ELSE substr(doc_path, 6, length(doc_path) - 8) END AS relative_path,
-        doc_path FROM {docs} WHERE doc_path NOT IN ('docs/README.md', 'docs/API_DOC.md', 'docs/API_USAGE.md')""",
+    "recovered_from_documents": _RECOVERED,
+    "recovered_log": f"""SELECT DISTINCT repo, node_type AS kind, relative_path AS key, md5('completed') AS value, 1 AS seq FROM (
+          SELECT repo, 'file' AS node_type, relative_path FROM {{source_docs}} UNION ALL SELECT repo, node_type, relative_path FROM ({_RECOVERED}) d) x
+        UNION ALL SELECT DISTINCT repo, 'flag', CASE doc_path WHEN 'docs/README.md' THEN 'readme' WHEN 'docs/API_DOC.md' THEN 'api_doc' ELSE 'api_usage_doc' END, md5('true'), 1
+          FROM {{docs}} WHERE doc_path IN ('docs/README.md', 'docs/API_DOC.md', 'docs/API_USAGE.md')
+        UNION ALL SELECT repo, 'api_info', relative_path, md5(block), 1 FROM {{judged_blocks}} WHERE has_api AND block <> ''""",
     "status_report": """SELECT repo, count(*) FILTER (node_type = 'file' AND completed) AS completed_files, count(*) FILTER (node_type = 'directory' AND completed) AS completed_dirs,
         count(*) FILTER (failed) AS failed FROM {records} GROUP BY repo""",
     "first_failed": "SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY relative_path, node_type) AS position, relative_path FROM {records} WHERE failed",
@@ -554,6 +561,7 @@ BODIES: dict[str, str] = {
     "run_throughput": """SELECT task_id, completed, failed, elapsed, completed / nullif(elapsed, 0) AS throughput FROM (
         SELECT task_id, count(*) FILTER (type = 'analysis_file_complete') AS completed, count(*) FILTER (type = 'analysis_file_failed') AS failed,
                date_sub('second', min(ts), max(ts)) AS elapsed FROM {progress} GROUP BY task_id) x""",
+    "run_elapsed": f"SELECT task_id, status, date_sub('second', started_at, coalesce(completed_at, TIMESTAMP '2024-02-01 00:00:00')) AS elapsed FROM ({_LIFE}) l",
     "level_summary": "SELECT repo, depth, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) AS total FROM {restored} GROUP BY ALL",
     "level_failures": "SELECT repo, depth, relative_path, concat('lost ', name) AS error_message FROM {restored} WHERE status = 'failed'",
     # events

@@ -397,6 +397,15 @@ def test_staged_summaries_use_every_child(spark):
     assert rows(fn(parts)) == [("r", "d", "40")]
 
 
+def test_how_far_below_its_heading_a_field_may_stand(spark):
+    far, near = "\n".join(["text"] * 60), "**功能**: x"
+    text = f"### GET /far\n{far}\n{near}\n### GET /none\n### GET /near\n{near}"
+    df = spark.createDataFrame([("r", "d", text)], "repo string, doc string, content string")
+    assert rows(E.usage_endpoints(df), "api") == [("GET /near",), ("GET /none",)]  # the next heading's field is within 50 lines
+    assert rows(E.usage_endpoints(df, lookahead=None), "api") == [("GET /far",), ("GET /near",)]
+    assert rows(E.usage_endpoints(df, lookahead=1), "api") == [("GET /near",)]
+
+
 def test_event_lines(spark):
     lines = [
         "event: x", 'data: {"type":"content_block_delta","delta":{"type":"text_delta","text":"Hi \\"you\\""}}', "data: {bad",
