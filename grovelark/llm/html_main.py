@@ -11,7 +11,7 @@ items, quotes, inline markup) is deleted with a container that recurs, never for
 Text is what a browser shows: character references decoded, white space in a block one space, blocks joined by one space.
 
 Results for odd input: null or empty html has empty text; markup that is cut off or wrongly nested is closed as browsers do for the
-common cases; a null url is a host of its own; repeated rows get a row each; an empty table gives no rows.
+common cases; an article within another or named as a comment is reader comment, unless it holds most of the text; a null url is a host of its own; repeated rows get a row each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from .common import cut, table
 
 SHARE, LEAST, SALTS = 0.3, 5, 32
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""", re.DOTALL)
+# values without quotes may hold some, and a quote that nothing closes stands for itself, as in browsers
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"'=]|=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?|"[^"]*"|'[^']*'|["'])*+)>""", re.DOTALL)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
@@ -173,8 +174,9 @@ def parse(page: str) -> tuple[bool, list[tuple[str, bool, list[int]]], list[int]
         drop, soft, sign = _named(m[3]) if m[3] else (False, False, "")
         drop |= tag in _DROP
         drop &= tag not in ("body", "html")
-        main = tag in _MAIN and not drop and depth_drop == 0
-        soft &= tag not in ("body", "html") and tag not in _MAIN
+        # an article within an article, or one that its class names a comment or the like, isn't the page's
+        soft = (soft or tag == "article" and any(e.tag == "article" for e in stack)) and tag not in ("body", "html", "main")
+        main = tag in _MAIN and not drop and not soft and depth_drop == 0
         has_main |= main and not depth_soft
         outer += soft and not depth_soft
         depth_soft += soft
