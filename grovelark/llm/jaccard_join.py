@@ -6,17 +6,23 @@ they differ in at most ``q · (|A| + |B|)`` shingles with ``q = (100 - percent)
 1. **Index.** Sizes are cut into bands; a band whose largest size is U allows H = ``floor(2 q U)`` differences. Its universe is
    dealt by hash into segments, each either *exact* (its subset must be equal) or with its *one-deletion neighbourhood* (the
    subset and every subset with one shingle less: within two differences). If exact ones count once, others twice, and
-   they come to H + 1, two sets of the band that link must share a key. How many segments have neighbourhoods is a matter
-   of cost: rows of the index against expected chance hits, by the number of documents in the band. A set also has keys
-   in the band above if a set there can link with it.
+   they come to H + 1 + s, two sets of the band that link agree in segments that count s + 1 at least. So each set may leave out
+   its s exact segments of fewest shingles (ties by key): the order is the same for both, so of s + 1 common ones the last stays
+   in either index. Nothing is lost, and segments that are empty or nearly so, which chance fills alike, name no key. How many
+   segments have neighbourhoods and how many are left out is a matter of cost: rows of the index against expected chance hits, by the
+   number of documents in the band. A set also has keys in the band above if a set there can link with it.
 2. **Classes.** Equal sets are one class, so copies cost nothing from here on.
-3. **Stars.** All pairs of a key's classes would be quadratic in a group of near copies. Instead each key names a hub, the class
+3. **Shared keys.** Keys travel as sorted runs of 32 bits within a range of keys, with the number of the row. Keys that a run
+   has twice go straight on and count once in it, so a hot key is as many entries as there are runs.
+4. **Stars.** All pairs of a key's classes would be quadratic in a group of near copies. Instead each key names a hub, the class
    that shares the most keys (the text that the others were copied from), and every class meets its hubs only.
-4. **The rest, exactly.** Two classes under one hub can only be missing a link if one of them doesn't link with the hub. Then
+5. **The rest, exactly.** Two classes under one hub can only be missing a link if one of them doesn't link with the hub. Then
    their differences from the hub must overlap in a known number of shingles: a prefix join on these, those that the hub lacks
    first, finds all such pairs, and those are compared too. Two classes that both link with the hub are in one component anyway and
    are not compared: the links span the components, but are not all links, and nothing here counts links per document.
-5. **Components** of the links by alternating stars. All comparisons are of whole sets.
+6. **Twice.** Steps 4 and 5 run first on sets of the shingles' leading bytes, as many as keep chance rare. Such sets differ in no
+   more places than the whole ones, so pairs they rule out are no links. What they leave runs again on the whole sets.
+7. **Components** of the links by alternating stars.
 
 Results for odd input: texts that are null or have no word have no set, link with nothing and are their own component; fewer
 words than a shingle are one shingle; repeated rows get a row each; rows without ``doc_id`` count for a component that has
@@ -32,16 +38,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_light, broadcast_if_small, cut, pick, table
+from .common import broadcast_if_light, cut, pick, table
 
 WIDTH, PERCENT = 3, 90
-SMALL_ROWS = 1_000_000
 #: Tokens that one group of comparisons holds, about; a longer set is one of its own.
 GROUP_TOKENS = 250_000
-CHARS_PER_WORD, CHANCE = 6.0, 0.37
+#: Members of a group whose pairs are looked for in the group itself.
+GROUP_MEMBERS = 1_000
+#: Keys of a run, and of a range of keys, about.
+RUN_KEYS, RANGE_KEYS = 1_000_000, 2_000_000
+#: A band's largest size is its smallest by ``(100 / percent) ** BAND_STEPS``.
+BAND_STEPS = 2
+CHARS_PER_WORD, CHANCE = 6.0, 0.2
+WHOLE = 8
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _MASK = (1 << 64) - 1
 
@@ -92,14 +105,29 @@ def spans(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[int
         yield lo, len(texts)
 
 
+def _sizes(mean: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of a segment and the share of segments of each, if its mean is ``mean``."""
+    if mean > 500:
+        return np.array([mean]), np.ones(1)
+    k = np.arange(int(mean + 8 * math.sqrt(mean) + 12))
+    return k, np.exp(k * math.log(mean) - mean - np.concatenate([[0.0], np.cumsum(np.log(k[1:]))]))
+
+
 class Bands:
-    """Bands of sizes, and for each the number of segments and how many of them have neighbourhoods."""
+    """Bands of sizes, and for each the number of segments, how many of them have neighbourhoods and how many are left out."""
 
     def __init__(self, percent: int, counts: dict[int, int]):
         self.percent, self.lows = percent, [1]
         while self.lows[-1] < 1 << 40:
-            self.lows.append(max(self.lows[-1] + 1, math.ceil(self.lows[-1] * (100 / percent) ** 3)))
-        self.plans = [self._plan(b, counts.get(b, 0)) for b in range(len(self.lows) - 1)]
+            self.lows.append(max(self.lows[-1] + 1, math.ceil(self.lows[-1] * (100 / percent) ** BAND_STEPS)))
+        self.counts = counts
+        self.plans = {b: self._plan(b, n) for b, n in counts.items()}
+
+    def plan(self, band: int) -> tuple[int, int, int]:
+        """Segments, those with neighbourhoods, and exact ones left out."""
+        if band not in self.plans:
+            self.plans[band] = self._plan(band, self.counts.get(band, 0))
+        return self.plans[band]
 
     def band(self, size: int) -> int:
         return int(np.searchsorted(self.lows, size, side="right")) - 1
@@ -107,16 +135,21 @@ class Bands:
     def allowed(self, band: int) -> int:
         return 2 * (self.lows[band + 1] - 1) * (100 - self.percent) // (100 + self.percent)
 
-    def _plan(self, band: int, n: int) -> tuple[int, int]:
+    def _plan(self, band: int, n: int) -> tuple[int, int, int]:
         need, top, best = self.allowed(band) + 1, self.lows[band + 1] - 1, None
         for near in range(min(need, 64) // 2 + 1):
-            m = max(need - near, near, 1)
-            size = top / m
-            rows = m - near + near * (size + 1)
-            chance = n * ((m - near) * CHANCE**size + near * (size + 1) * CHANCE ** max(size - 1, 0))
-            if best is None or rows + chance < best[0]:
-                best = (rows + chance, m, near)
-        return best[1], best[2]
+            for left_out in sorted({need * f // 8 for f in range(13)}):
+                m = max(need + left_out - near, near, 1)
+                exact, size = m - near, 0.75 * top / m
+                if left_out and left_out >= exact:
+                    continue
+                k, share = _sizes(size)
+                kept = np.diff(np.minimum(np.cumsum(share[::-1]), (exact - left_out) / exact), prepend=0.0)[::-1] if exact else 0 * share
+                rows = exact - left_out + near * (size + 1)
+                chance = n * (exact * (kept * CHANCE**k).sum() + near * (size + 1) * (share * CHANCE ** np.maximum(k - 1, 0)).sum())
+                if best is None or rows + chance < best[0]:
+                    best = (rows + chance, m, near, left_out)
+        return best[1:]
 
     def keys(self, tokens: np.ndarray) -> np.ndarray:
         """The index keys of a set; none where only an equal set could link with it."""
@@ -129,7 +162,7 @@ class Bands:
                 continue
             if not self.allowed(band):
                 continue
-            m, near = self.plans[band]
+            m, near, left_out = self.plan(band)
             mixed = _mixed(tokens + np.uint64((band + 1) * int(_A) & _MASK))
             segment = (mixed % np.uint64(m)).astype(np.int64)
             order = np.argsort(segment, kind="stable")
@@ -138,7 +171,9 @@ class Bands:
             starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
             sums[segment[starts]] = np.add.reduceat(weight, starts)
             place = np.arange(m, dtype=np.uint64) * _A + np.uint64((2 * band + 1) * int(_B) & _MASK)
-            out.append(_mixed(sums + place))
+            whole = _mixed(sums + place)
+            fewest = np.lexsort((whole[near:], np.bincount(segment, minlength=m)[near:]))
+            out += [whole[:near], whole[near:][fewest[left_out:]]]
             if near:
                 part = segment < near
                 out.append(_mixed(sums[segment[part]] - weight[part] + place[segment[part]]))
@@ -153,7 +188,7 @@ def indexed(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     """``(doc_id, mark, sid, n, keys)`` per row of ``docs (doc_id, text)``: a hash of its text, the id and size of its set, and its index keys."""
     lows = Bands(percent, {}).lows
     guess = F.greatest(F.lit(1), (F.length("text") / CHARS_PER_WORD).cast("int"))
-    step = math.log((100 / percent) ** 3)
+    step = BAND_STEPS * math.log(100 / percent)
     rough = docs.groupBy(F.floor(F.log(guess.cast("double")) / step).alias("s")).agg(F.count(F.lit(1)).alias("n")).where("s IS NOT NULL").collect()  # a row per band
     counts: dict[int, int] = {}
     for r in rough:
@@ -175,9 +210,22 @@ def _mark() -> Column:
     return F.xxhash64("text")
 
 
+def narrowed(tokens: np.ndarray, size: int) -> bytes:
+    """The distinct leading ``size`` bytes of sorted tokens, in order."""
+    if size < WHOLE:
+        tokens = np.unique(tokens >> np.uint64(64 - 8 * size))
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def widened(raw: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
+    return out.view("<u8").ravel()
+
+
 def told(docs: DataFrame, width: int) -> DataFrame:
-    """``(hub, salt, sid, tokens)``: the whole set of every row of ``docs (text, asks)``, sorted, as bytes of unsigned 64-bit
-    numbers, for each group that asks for it. A task tells a set once, however many rows have it."""
+    """``(hub, salt, size, salts, sid, n, tokens)``: the set of every row of ``docs (text, asks)``, sorted, as tokens of ``size``
+    bytes, for each group that asks for it; ``n`` is the size of the whole set. A task tells a set once, however many rows have it."""
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         said: set[bytes] = set()
@@ -189,40 +237,78 @@ def told(docs: DataFrame, width: int) -> DataFrame:
                     sid = _set_id(tokens)
                     if sid not in said:
                         said.add(sid)
-                        raw = tokens.tobytes()
-                        rows += [(a["hub"], a["salt"], sid, raw) for a in ask]
+                        raw = {size: narrowed(tokens, size) for size in {a["size"] for a in ask}}
+                        rows += [(a["hub"], a["salt"], a["size"], a["salts"], sid, len(tokens), raw[a["size"]]) for a in ask]
                 for i in range(0, len(rows), 500):
-                    yield pd.DataFrame(rows[i : i + 500], columns=["hub", "salt", "sid", "tokens"])
+                    yield pd.DataFrame(rows[i : i + 500], columns=["hub", "salt", "size", "salts", "sid", "n", "tokens"])
+
+    return docs.select("text", "asks").mapInPandas(go, "hub binary, salt int, size int, salts long, sid binary, n int, tokens binary")
+
+
+def _near_pairs(members: list[tuple[bytes, int, bool, np.ndarray, np.ndarray]], percent: int) -> list[tuple[bytes, bytes]]:
+    """``missing_pairs`` of one group's members ``(sid, n, linked, differences, head)``, and of these the pairs within reach."""
+    token = np.concatenate([m[4] for m in members])
+    who = np.repeat(np.arange(len(members)), [len(m[4]) for m in members])
+    order = np.argsort(token, kind="stable")
+    token, who = token[order], who[order]
+    met = np.zeros((len(members), len(members)), bool)
+    edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        if hi - lo > 1:
+            met[np.ix_(who[lo:hi], who[lo:hi])] = True
+    n, linked = np.array([m[1] for m in members], np.int64), np.array([m[2] for m in members])
+    met &= ~(linked[:, None] & linked[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+    out = []
+    for i, j in np.argwhere(np.triu(met, 1)):
+        x, y = members[i], members[j]
+        d = len(x[3]) + len(y[3]) - 2 * len(np.intersect1d(x[3], y[3], assume_unique=True))
+        if (100 + percent) * d <= (100 - percent) * (x[1] + y[1]):
+            out.append((min(x[0], y[0]), max(x[0], y[0])))
+    return out
 
-    return docs.select("text", "asks").mapInPandas(go, "hub binary, salt int, sid binary, tokens binary")
 
+def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
+    """``(a, b, n, linked, head)`` for ``pairs (a, b)``: b's size, whether they link and, of the differences between the sets, the
+    prefix that ``missing_pairs`` needs: what only b has first, then what only a has, each by hash.
 
-def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """``(a, b, n, linked, head)`` for ``pairs (a, b)``: b's size and, of the differences between the sets, the prefix that
-    ``missing_pairs`` needs: what only b has first, then what only a has, each by hash.
+    Without ``whole`` the sets are of leading bytes and ``linked`` is false only if they can't link. A group that is not dealt out
+    finds its missing pairs itself: further rows, and no prefixes.
 
-    ``classes (sid, doc_id, mark, n)`` names a text of each set. Whole sets move once per pair, to the group of their ``a``; groups
+    ``classes (sid, doc_id, mark, n)`` names a text of each set. Sets move once per pair, to the group of their ``a``; groups
     of more than ``GROUP_TOKENS`` are dealt out over several, to each of which a's set goes.
     """
 
     def go(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        a, sets = key[0], dict(zip(group["sid"], group["tokens"], strict=True))
-        x = np.frombuffer(sets.pop(a), np.uint64)
-        out = []
-        for b, raw in sets.items():
-            y = np.frombuffer(raw, np.uint64)
+        a, size, alone = key[0], int(group["size"].iloc[0]), group["salts"].iloc[0] == 1
+        sets = {sid: (int(n), raw) for sid, n, raw in zip(group["sid"], group["n"], group["tokens"], strict=True)}
+        nx, raw = sets.pop(a)
+        x, members = widened(raw, size), []
+        for b, (ny, raw) in sets.items():
+            y = widened(raw, size)
             new, old = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
-            d, both = len(new) + len(old), len(y) - len(new)
-            linked = 100 * both >= percent * (both + d)
-            least = percent * d // (100 + percent) + 1 if linked else max(1, d - len(y) * (100 - percent) // percent)
-            out.append((a, b, len(y), linked, np.concatenate([new, old])[: d - least + 1].view(np.int64)))
-        return pd.DataFrame(out, columns=["a", "b", "n", "linked", "head"])
-
-    load = pairs.join(classes.select(F.col("sid").alias("b"), "n"), "b").groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("salts"))
-    load = cut(load)
-    member = pairs.join(load, "a").select(F.col("b").alias("sid"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    hub = load.select(F.col("a").alias("sid"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt"))
-    asks = member.unionByName(hub).groupBy("sid").agg(F.collect_list(F.struct("hub", "salt")).alias("asks"))  # a set's keys and salts at most
+            d = len(new) + len(old)
+            linked = (100 + percent) * d <= (100 - percent) * (nx + ny)
+            if linked:
+                least = max(1, ((100 + percent) * d + (100 - percent) * (nx - ny)) // (2 * (100 + percent)) + 1)
+            else:
+                least = max(1, d - ny * (100 - percent) // percent)
+            both = np.concatenate([new, old])
+            members.append((b, ny, linked, both, both[: max(d - least + 1, 0)]))
+        here = alone and len(members) <= GROUP_MEMBERS
+        found = [(a, b, n, linked, None if here else head.view(np.int64)) for b, n, linked, _, head in members]
+        if here and len(members) > 1 and not all(m[2] for m in members):
+            found += [(b, c, None, True, None) for b, c in _near_pairs(members, percent)]
+        out = pd.DataFrame(found, columns=["a", "b", "n", "linked", "head"])
+        return out.astype({"n": "Int32"})
+
+    sized = classes.select("sid", F.col("n").alias("size_of"))
+    load = pairs.join(sized.withColumnRenamed("sid", "b"), "b").groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.sum("size_of") / GROUP_TOKENS)).alias("salts"))
+    # 64 times as many values as a set has tokens, so that a difference is taken for none in a sixtieth of all cases at most
+    size = F.lit(WHOLE) if whole else F.when(F.col("size_of") <= 1 << 10, 2).when(F.col("size_of") <= 1 << 18, 3).otherwise(4)
+    load = cut(load.join(sized.withColumnRenamed("sid", "a"), "a").select("a", "salts", size.alias("size")))
+    member = pairs.join(load, "a").select(F.col("b").alias("sid"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "size", "salts")
+    hub = load.select(F.col("a").alias("sid"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt"), "size", "salts")
+    asks = member.unionByName(hub).groupBy("sid").agg(F.collect_list(F.struct("hub", "salt", "size", "salts")).alias("asks"))  # a set's keys and salts at most
     wanted = cut(asks.join(classes, "sid").select(F.col("doc_id").alias("w"), F.col("mark").alias("m"), "asks"))
     here = docs.withColumn("m", _mark())
     few = here.join(broadcast_if_light(cut(wanted.select("m").distinct())), "m", "left_semi")  # only these texts may have to move
@@ -230,34 +316,116 @@ def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, p
     return told(texts, width).groupBy("hub", "salt").applyInPandas(go, "a binary, b binary, n int, linked boolean, head array<bigint>")
 
 
+def _run(at: np.ndarray, keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, bytes]]:
+    """``(range, own, packet)`` of a run of keys: what it has twice as packets of their own (``own`` > 0), else by range."""
+    order = np.argsort(keys, kind="stable")
+    keys, at = keys[order], at[order]
+    slot = keys >> np.uint64(32 - bits)
+    first = np.concatenate([[True], slot[1:] != slot[:-1]])
+    again = ~first | ~np.concatenate([first[1:], [True]])
+    if again.any():
+        yield -1, int(at[again][0]) + 1, zstandard.compress(slot[again].tobytes() + at[again].tobytes(), 1)
+    slot, at = slot[first], at[first]
+    where = (slot >> np.uint64(32)).astype(np.int64)
+    edges = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1], [True]]))
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        base = at[lo:hi].min()
+        gaps = np.diff(slot[lo:hi], prepend=slot[lo] & ~np.uint64(0xFFFFFFFF))
+        parts = [planes(gaps.astype("<u4")), planes((at[lo:hi] - base).astype("<u8"))]
+        yield int(where[lo]), 0, int(base).to_bytes(8, "little") + zstandard.compress(b"".join(parts), 1)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers by place: leading zeros stand together."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def shared_keys(index: DataFrame, bits: int) -> DataFrame:
+    """``(key, at)`` of the keys that several rows of ``index (at, keys)`` have; some more than once.
+
+    A key here is its leading ``bits`` + 32 bits; ``2 ** bits`` ranges of them are met apart.
+    """
+
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: list[np.ndarray] = []
+        keys: list[np.ndarray] = []
+        held = 0
+        for b in batches:
+            for a, k in zip(b["at"], b["keys"], strict=True):
+                if held and held + len(k) > RUN_KEYS:
+                    yield pd.DataFrame(_run(np.concatenate(at), np.concatenate(keys), bits), columns=["range", "own", "packet"])
+                    at, keys, held = [], [], 0
+                at.append(np.full(len(k), a, np.int64))
+                keys.append(np.asarray(k, np.int64).view(np.uint64))
+                held += len(k)
+        if held:
+            yield pd.DataFrame(_run(np.concatenate(at), np.concatenate(keys), bits), columns=["range", "own", "packet"])
+
+    def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        if key[1]:
+            raw = zstandard.decompress(group["packet"].iloc[0])
+            return pd.DataFrame({"key": np.frombuffer(raw[: len(raw) // 2], np.int64), "at": np.frombuffer(raw[len(raw) // 2 :], np.int64)})
+        slots, ats = [], []
+        for p in group["packet"]:
+            raw = zstandard.decompress(p[8:])
+            n = len(raw) // 12
+            gaps = np.frombuffer(raw[: 4 * n], np.uint8).reshape(4, n).T.copy().view("<u4").ravel()
+            slots.append(np.cumsum(gaps.astype(np.int64)))
+            ats.append(np.frombuffer(raw[4 * n :], np.uint8).reshape(8, n).T.copy().view("<i8").ravel() + int.from_bytes(p[:8], "little"))
+        slot, at = np.concatenate(slots), np.concatenate(ats)
+        order = np.argsort(slot, kind="stable")
+        slot, at = slot[order], at[order]
+        first = np.concatenate([[True], slot[1:] != slot[:-1]])
+        again = ~first | ~np.concatenate([first[1:], [True]])
+        return pd.DataFrame({"key": slot[again] + (int(key[0]) << 32), "at": at[again]})
+
+    packets = index.select("at", "keys").mapInPandas(runs, "range bigint, own bigint, packet binary")
+    return packets.groupBy("range", "own").applyInPandas(meet, "key bigint, at bigint")
+
+
 def stars(index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(hub, sid)`` pairs to compare, and the classes ``(sid, doc_id, mark, n)`` with one document each."""
-    classes = index.where("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct("doc_id", "mark")).alias("one"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    rows = classes.where(F.size("keys") > 0).select("sid", F.explode("keys").alias("key"))
-    hot = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = cut(rows.join(broadcast_if_small(hot, SMALL_ROWS), "key"))
-    fame = cut(shared.groupBy("sid").agg(F.sum("n").alias("fame")))
-    hubs = cut(shared.join(fame, "sid").groupBy("key").agg(F.max(F.struct("fame", "sid")).alias("h")).select("key", F.col("h.sid").alias("hub")))
-    pairs = shared.join(hubs, "key").where("sid <> hub").select("hub", "sid").distinct()
-    return cut(pairs), cut(classes.select("sid", "one.doc_id", "one.mark", "n"))
+    """``(hub, sid)`` pairs to compare, and the classes ``(sid, doc_id, mark, n)`` with one document each.
+
+    ``index`` is written and has a number ``at`` for each row.
+    """
+    classes = index.where("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct("doc_id", "mark", "at")).alias("one"), F.first("n").alias("n"))
+    classes = cut(classes.select("sid", "one.doc_id", "one.mark", "one.at", "n"))
+    keyed = index.where(F.size("keys") > 0).join(broadcast_if_light(cut(classes.select("at"))), "at", "left_semi")
+    total = index.agg(F.sum(F.size("keys"))).first()[0] or 0
+    bits = max(4, min(30, math.ceil(math.log2(total / RANGE_KEYS + 1))))
+    shared = cut(shared_keys(keyed, bits))
+    fame = cut(shared.groupBy("at").agg(F.count(F.lit(1)).alias("fame")))
+    hubs = cut(shared.join(fame, "at").groupBy("key").agg(F.max(F.struct("fame", "at"))["at"].alias("hub")))
+    pairs = cut(shared.join(hubs, "key").where("at <> hub").select("hub", "at").distinct())
+    names = classes.select("at", "sid")
+    named = pairs.join(names, "at").select("hub", "sid").join(names.select(F.col("at").alias("hub"), F.col("sid").alias("h")), "hub")
+    return cut(named.select(F.col("h").alias("hub"), "sid")), classes.drop("at")
 
 
 def missing_pairs(met: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` of classes under one hub, not both linked with it, whose differences from the hub can overlap enough.
 
-    Let dX be the differences of X from the hub, X not linked with the hub, Y under the same one. ``|X ^ Y| <= q (|X| + |Y|)``
-    needs more than ``(1 - q) / 2 · |dY|`` differences in common, and at least ``|dX| - (100 - percent) / percent · |X|``. So the
-    first ``|d| - that + 1`` differences of both, in one order for all, must meet. Differences that the hub lacks come first in
-    the order: they are the rare ones.
+    Let dX be the differences of X from the hub H, X not linked with it, Y under the same one. ``|X ^ Y| <= q (|X| + |Y|)``
+    needs more than ``(|dY| + q (|H| - |Y|)) / 2`` differences in common, and at least ``|dX| - (100 - percent) / percent · |X|``.
+    So the first ``|d| - that + 1`` differences of both, in one order for all, must meet. Differences that the hub lacks come first in
+    the order: they are the rare ones. All this holds for sets of leading bytes too, if the sizes are those of the whole sets.
     """
-    some = cut(met.where("NOT linked").select("a").distinct())
-    heads = cut(met.join(some, "a", "left_semi").select("a", "b", "n", "linked", F.explode("head").alias("token")))
+    dealt = met.where("head IS NOT NULL")
+    some = cut(dealt.where("NOT linked").select("a").distinct())
+    heads = cut(dealt.join(some, "a", "left_semi").select("a", "b", "n", "linked", F.explode("head").alias("token")))
     x, y = heads.where("NOT linked").drop("linked"), heads.withColumnsRenamed({"b": "b2", "n": "n2", "linked": "linked2"})
     pairs = x.join(y, ["a", "token"]).where((F.col("b") != F.col("b2")) & (F.col("linked2") | (F.col("b") < F.col("b2"))))
     pairs = pairs.where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
     return pairs.select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct()
 
 
+def linked_pairs(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
+    """``(a, b)`` of ``pairs (a, b)`` that link, and of those that are missing under their ``a``."""
+    met = cut(compare(pairs, docs, classes, width, percent, whole))
+    more = compare(cut(missing_pairs(met, percent)), docs, classes, width, percent, whole)
+    return cut(met.where("linked").select("a", "b").unionByName(more.where("linked").select("a", "b")).distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of every node of ``edges (a, b)``: the smallest node that links lead to."""
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -280,11 +448,10 @@ def similarity_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     Not every link: two sets that both link with their hub are not compared.
     """
-    index = cut(indexed(docs, width, percent))
+    index = cut(indexed(docs, width, percent).withColumn("at", F.monotonically_increasing_id()))  # a written number
     pairs, classes = stars(index)
-    met = cut(compare(pairs.select(F.col("hub").alias("a"), F.col("sid").alias("b")), docs, classes, width, percent))
-    more = compare(cut(missing_pairs(met, percent)), docs, classes, width, percent)
-    links = cut(met.where("linked").select("a", "b").unionByName(more.where("linked").select("a", "b")))
+    pairs = pairs.select(F.col("hub").alias("a"), F.col("sid").alias("b"))
+    links = linked_pairs(linked_pairs(pairs, docs, classes, width, percent, whole=False), docs, classes, width, percent, whole=True)
     roots = components(links)
     member = index.select("doc_id", "sid", "n").join(roots, index["sid"] == roots["node"], "left")
     return member.select("doc_id", "sid", "n", F.coalesce("root", "sid").alias("component")), links

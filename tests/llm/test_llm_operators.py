@@ -328,11 +328,17 @@ def test_join_of_odd_texts(spark, odd, none):
     assert member.count() == 0 and links.count() == 0
 
 
-def test_bands_share_a_key_when_they_must():
+@pytest.mark.parametrize("near_share,left_share", [(None, None), (0.0, 0.0), (0.0, 0.5), (0.0, 2.0), (0.3, 0.0), (0.3, 0.5), (0.5, 1.0)])
+def test_bands_share_a_key_when_they_must(near_share, left_share):
+    """With the allocation of the least cost, and with others: neighbourhoods, segments left out, both."""
     rng = np.random.default_rng(5)
     for percent in (90, 80):
         bands = jaccard_join.Bands(percent, {b: 10**7 for b in range(30)})
-        assert any(near for _, near in bands.plans[:12])
+        for b in range(30 if near_share is not None else 0):
+            need = bands.allowed(b) + 1
+            near = int(near_share * need)
+            left_out = min(int(left_share * need), max(need - 2 * near + int(left_share * need) - 1, 0))
+            bands.plans[b] = (max(need + left_out - near, near, 1), near, left_out)
         for _ in range(300):
             a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 120)).astype(np.uint64))
             b = np.unique(np.concatenate([a[rng.random(len(a)) > 0.06], rng.integers(0, 1 << 63, rng.integers(0, 4)).astype(np.uint64)]))
