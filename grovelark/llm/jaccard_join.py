@@ -267,12 +267,12 @@ def _near_pairs(members: list[tuple[bytes, int, bool, np.ndarray, np.ndarray]],
     return out
 
 
-def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
+def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, whole: bool, rest: bool = True) -> DataFrame:
     """``(a, b, n, linked, head)`` for ``pairs (a, b)``: b's size, whether they link and, of the differences between the sets, the
     prefix that ``missing_pairs`` needs: what only b has first, then what only a has, each by hash.
 
     Without ``whole`` the sets are of leading bytes and ``linked`` is false only if they can't link. A group that is not dealt out
-    finds its missing pairs itself: further rows, and no prefixes.
+    finds its missing pairs itself: further rows, and no prefixes. Without ``rest`` there are neither.
 
     ``classes (sid, doc_id, mark, n)`` names a text of each set. Sets move once per pair, to the group of their ``a``; groups
     of more than ``GROUP_TOKENS`` are dealt out over several, to each of which a's set goes.
@@ -295,8 +295,8 @@ def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, p
             both = np.concatenate([new, old])
             members.append((b, ny, linked, both, both[: max(d - least + 1, 0)]))
         here = alone and len(members) <= GROUP_MEMBERS
-        found = [(a, b, n, linked, None if here else head.view(np.int64)) for b, n, linked, _, head in members]
-        if here and len(members) > 1 and not all(m[2] for m in members):
+        found = [(a, b, n, linked, None if here or not rest else head.view(np.int64)) for b, n, linked, _, head in members]
+        if rest and here and len(members) > 1 and not all(m[2] for m in members):
             found += [(b, c, None, True, None) for b, c in _near_pairs(members, percent)]
         out = pd.DataFrame(found, columns=["a", "b", "n", "linked", "head"])
         return out.astype({"n": "Int32"})
@@ -422,7 +422,7 @@ def missing_pairs(met: DataFrame, percent: int) -> DataFrame:
 def linked_pairs(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
     """``(a, b)`` of ``pairs (a, b)`` that link, and of those that are missing under their ``a``."""
     met = cut(compare(pairs, docs, classes, width, percent, whole))
-    more = compare(cut(missing_pairs(met, percent)), docs, classes, width, percent, whole)
+    more = compare(cut(missing_pairs(met, percent)), docs, classes, width, percent, whole, rest=False)
     return cut(met.where("linked").select("a", "b").unionByName(more.where("linked").select("a", "b")).distinct())
 
 
