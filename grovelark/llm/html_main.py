@@ -85,7 +85,8 @@ def _named(attributes: str) -> tuple[bool, bool, str]:
 def _chosen(has_main: bool, pieces: list[tuple]) -> tuple[bool, list[tuple[str, bool, list[int]]]]:
     """Whether the marked main content decides, and the pieces left once elements go that are dropped by class or id alone.
 
-    Such an element stays if it holds most of the page's text, or the only marked article, with most of the text.
+    Such an element stays if it holds most of the page's text, or the only marked article, with most of the text. An article that
+    stays so loses what is named so within it, unless that is most of the text.
     """
     size = lambda rows: sum(len(p[0].strip()) for p in rows)
     total, main = size(pieces), [p for p in pieces if p[1]]
@@ -97,7 +98,8 @@ def _chosen(has_main: bool, pieces: list[tuple]) -> tuple[bool, list[tuple[str,
     held: dict[int, int] = {}
     for p in pieces:
         held[p[3]] = held.get(p[3], 0) + len(p[0].strip())
-    return False, [(p[0], False, p[2]) for p in pieces if not p[3] or 2 * held[p[3]] > total]
+    left, within = [p for p in pieces if not p[3] or 2 * held[p[3]] > total], [p for p in pieces if p[5]]
+    return False, [(p[0], False, p[2]) for p in left if not p[5] or 2 * size(within) > total]
 
 
 def parse(page: str) -> tuple[bool, list[tuple[str, bool, list[int]]], list[int]]:
@@ -106,7 +108,7 @@ def parse(page: str) -> tuple[bool, list[tuple[str, bool, list[int]]], list[int]
     root = _Node("", False, False, False, True, "")
     stack, pieces, subtrees, has_main = [root], [], set(), False
     depth_drop = depth_main = depth_soft = depth_inner = outer = 0  # inner: within main content; outer: which of the elements dropped by class
-    fresh = True  # a block begins with the next text
+    fresh, in_article = True, False  # a block begins with the next text; the outermost of the elements dropped by class is an article
 
     def close() -> None:
         nonlocal depth_drop, depth_main, depth_soft, depth_inner
@@ -134,7 +136,7 @@ def parse(page: str) -> tuple[bool, list[tuple[str, bool, list[int]]], list[int]
             node.parts.append(" ".join(value.split()))
         if depth_drop == 0:
             node.pieces.append(len(pieces))
-            pieces.append(("\n" + value if fresh else value, depth_main > 0, [], outer if depth_soft else 0, depth_inner > 0))
+            pieces.append(("\n" + value if fresh else value, depth_main > 0, [], outer if depth_soft else 0, depth_inner > 0, in_article and depth_soft > 1))
             fresh = fresh and depth_soft > 0
 
     at, n = 0, len(page)
@@ -178,7 +180,8 @@ def parse(page: str) -> tuple[bool, list[tuple[str, bool, list[int]]], list[int]
         soft = (soft or tag == "article" and any(e.tag == "article" for e in stack)) and tag not in ("body", "html", "main")
         main = tag in _MAIN and not drop and not soft and depth_drop == 0
         has_main |= main and not depth_soft
-        outer += soft and not depth_soft
+        if soft and not depth_soft:
+            outer, in_article = outer + 1, tag == "article"
         depth_soft += soft
         depth_inner += soft and depth_main > 0
         depth_drop += drop

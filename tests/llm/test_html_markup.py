@@ -36,3 +36,8 @@ def test_comment_articles_are_not_main():
     assert text(inside) == "Title " + " ".join(["word"] * 60)
     assert text("<article class='widget'><p>" + "word " * 9 + "</p></article><p>x</p>").startswith("word word")
     assert text("<main><article><p>one</p></article><article><p>two</p></article></main>") == "one two"
+
+
+def test_an_article_named_by_class_loses_what_is_named_so_within_it():
+    assert text("<article class='share'><p>the own text</p><div class='ad'>no</div></article>") == "the own text"
+    assert text("<article class='share'><div class='ad'>most of the page</div><p>x</p></article>") == "most of the page x"
