@@ -139,3 +139,27 @@ def test_a_right_side_that_would_repeat_is_refused(skewed):
     with pytest.raises(ValueError, match="asked for twice"):
         skew.split_join(*skewed, ["k"], "full")
     assert rows(skewed[0].limit(0)) == []
+
+
+def test_rounds_send_no_table_that_grows_to_the_driver(spark, monkeypatch):
+    """Joins are by shuffle, whatever the planner would broadcast, but for bounded tables: hot keys and light ones."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    cut = C.cut
+    monkeypatch.setattr(C, "cut", seen)
+    monkeypatch.setattr(C, "LIGHT_BYTES", -1)
+    monkeypatch.setattr(C, "split_join", lambda left, right, keys, how="inner": left.join(right, keys, how))
+    edges = [("r", f"n{i}", f"n{(i + 1) % 5}") for i in range(5)] + [("r", "hub", "n3"), ("r", "hub", "n1")]
+    assert C.cycle_nodes(spark.createDataFrame(edges, EDGE)).count() == 6
+    assert len(plans) > 20 and not any("Broadcast" in p for p in plans)
+
+
+def test_numbers_follow_the_order_of_names(spark):
+    df = spark.createDataFrame([("r", "b", "a"), ("r", "c", "b"), ("q", "z", "z"), (None, "x", "y"), ("r", None, "y")], EDGE)
+    names, links = C.numbered(df)
+    assert [(r["repo"], r["node"]) for r in names.orderBy("id").collect()] == [("q", "z"), ("r", "a"), ("r", "b"), ("r", "c")]
+    assert links.count() == 3 and names.select("label").distinct().count() == 4
