@@ -245,8 +245,8 @@ def told(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text", "asks").mapInPandas(go, "hub binary, salt int, size int, salts long, sid binary, n int, tokens binary")
 
 
-def _near_pairs(members: list[tuple[bytes, int, bool, np.ndarray, np.ndarray]], percent: int) -> list[tuple[bytes, bytes]]:
-    """``missing_pairs`` of one group's members ``(sid, n, linked, differences, head)``, and of these the pairs within reach."""
+def _near_pairs(members: list[tuple[bytes, int, bool, np.ndarray, np.ndarray, int, int]], percent: int) -> list[tuple[bytes, bytes]]:
+    """``missing_pairs`` of one group's members ``(sid, n, linked, differences, head, half, d)``, and of these the pairs within reach."""
     token = np.concatenate([m[4] for m in members])
     who = np.repeat(np.arange(len(members)), [len(m[4]) for m in members])
     order = np.argsort(token, kind="stable")
@@ -268,8 +268,9 @@ def _near_pairs(members: list[tuple[bytes, int, bool, np.ndarray, np.ndarray]],
 
 
 def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, whole: bool, rest: bool = True) -> DataFrame:
-    """``(a, b, n, linked, head)`` for ``pairs (a, b)``: b's size, whether they link and, of the differences between the sets, the
-    prefix that ``missing_pairs`` needs: what only b has first, then what only a has, each by hash.
+    """``(a, b, n, linked, head, half, d)`` for ``pairs (a, b)``: b's size, whether they link and, of the ``d`` differences between
+    the sets, the prefix that ``missing_pairs`` needs: what only b has first, then what only a has, each by hash. Its first ``half`` are
+    enough to meet what doesn't link with a either.
 
     Without ``whole`` the sets are of leading bytes and ``linked`` is false only if they can't link. A group that is not dealt out
     finds its missing pairs itself: further rows, and no prefixes. Without ``rest`` there are neither.
@@ -288,18 +289,16 @@ def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, p
             new, old = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
             d = len(new) + len(old)
             linked = (100 + percent) * d <= (100 - percent) * (nx + ny)
-            if linked:
-                least = max(1, ((100 + percent) * d + (100 - percent) * (nx - ny)) // (2 * (100 + percent)) + 1)
-            else:
-                least = max(1, d - ny * (100 - percent) // percent)
+            most = max(1, ((100 + percent) * d + (100 - percent) * (nx - ny)) // (2 * (100 + percent)) + 1)
+            least = most if linked else max(1, d - ny * (100 - percent) // percent)
             both = np.concatenate([new, old])
-            members.append((b, ny, linked, both, both[: max(d - least + 1, 0)]))
+            members.append((b, ny, linked, both, both[: max(d - least + 1, 0)], max(d - max(most, least) + 1, 0), d))
         here = alone and len(members) <= GROUP_MEMBERS
-        found = [(a, b, n, linked, None if here or not rest else head.view(np.int64)) for b, n, linked, _, head in members]
+        found = [(a, b, n, linked, None if here or not rest else head.view(np.int64), half, d) for b, n, linked, _, head, half, d in members]
         if rest and here and len(members) > 1 and not all(m[2] for m in members):
-            found += [(b, c, None, True, None) for b, c in _near_pairs(members, percent)]
-        out = pd.DataFrame(found, columns=["a", "b", "n", "linked", "head"])
-        return out.astype({"n": "Int32"})
+            found += [(b, c, None, True, None, None, None) for b, c in _near_pairs(members, percent)]
+        out = pd.DataFrame(found, columns=["a", "b", "n", "linked", "head", "half", "d"])
+        return out.astype({"n": "Int32", "half": "Int32", "d": "Int32"})
 
     sized = classes.select("sid", F.col("n").alias("size_of"))
     load = pairs.join(sized.withColumnRenamed("sid", "b"), "b").groupBy("a").agg(F.greatest(F.lit(1), F.ceil(F.sum("size_of") / GROUP_TOKENS)).alias("salts"))
@@ -313,7 +312,7 @@ def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, p
     here = docs.withColumn("m", _mark())
     few = here.join(broadcast_if_light(cut(wanted.select("m").distinct())), "m", "left_semi")  # only these texts may have to move
     texts = few.join(wanted.withColumnRenamed("m", "m2"), (F.col("m") == F.col("m2")) & F.col("doc_id").eqNullSafe(F.col("w")))
-    return told(texts, width).groupBy("hub", "salt").applyInPandas(go, "a binary, b binary, n int, linked boolean, head array<bigint>")
+    return told(texts, width).groupBy("hub", "salt").applyInPandas(go, "a binary, b binary, n int, linked boolean, head array<bigint>, half int, d int")
 
 
 def _run(at: np.ndarray, keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, bytes]]:
@@ -408,13 +407,19 @@ def missing_pairs(met: DataFrame, percent: int) -> DataFrame:
     Let dX be the differences of X from the hub H, X not linked with it, Y under the same one. ``|X ^ Y| <= q (|X| + |Y|)``
     needs more than ``(|dY| + q (|H| - |Y|)) / 2`` differences in common, and at least ``|dX| - (100 - percent) / percent · |X|``.
     So the first ``|d| - that + 1`` differences of both, in one order for all, must meet. Differences that the hub lacks come first in
-    the order: they are the rare ones. All this holds for sets of leading bytes too, if the sizes are those of the whole sets.
+    the order: they are the rare ones. Of two that both don't link with H only shorter prefixes meet, for which the first bound
+    holds on either side. Where two meet first, what follows in either must be enough for ``(|dX| + |dY| - q (|X| + |Y|)) / 2`` in
+    common. So what the hub has and many lack, which is last in the order, seldom makes a pair of them.
+    All this holds for sets of leading bytes too, if the sizes are those of the whole sets.
     """
     dealt = met.where("head IS NOT NULL")
     some = cut(dealt.where("NOT linked").select("a").distinct())
-    heads = cut(dealt.join(some, "a", "left_semi").select("a", "b", "n", "linked", F.explode("head").alias("token")))
-    x, y = heads.where("NOT linked").drop("linked"), heads.withColumnsRenamed({"b": "b2", "n": "n2", "linked": "linked2"})
-    pairs = x.join(y, ["a", "token"]).where((F.col("b") != F.col("b2")) & (F.col("linked2") | (F.col("b") < F.col("b2"))))
+    heads = dealt.join(some, "a", "left_semi").select("a", "b", "n", "linked", "half", "d", F.posexplode("head").alias("pos", "token"))
+    left = (F.col("d") - F.col("pos")).cast("bigint")
+    heads = cut(heads.select("a", "b", F.col("n").cast("bigint").alias("n"), "linked", "token", (F.col("pos") < F.col("half")).alias("half"), F.col("d").cast("bigint").alias("d"), left.alias("left")))
+    x, y = heads.where("NOT linked").drop("linked"), heads.where("half").drop("half").withColumnsRenamed({"b": "b2", "n": "n2", "linked": "linked2", "d": "d2", "left": "left2"})
+    pairs = x.join(y, ["a", "token"]).where(F.col("linked2") | (F.col("half") & (F.col("b") < F.col("b2"))))
+    pairs = pairs.where(2 * (100 + percent) * F.least("left", "left2") >= (100 + percent) * (F.col("d") + F.col("d2")) - (100 - percent) * (F.col("n") + F.col("n2")))
     pairs = pairs.where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
     return pairs.select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct()
 
