@@ -20,7 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -34,7 +34,8 @@ from .common import fresh_dir, pick, table, worker_cache
 MAGIC = b"GLBP0001"
 CHUNK_IDS = 1 << 16
 END_ID = 1
-MEMO_WORDS = 800_000
+#: Words that a worker remembers; a quarter of a gigabyte of memory goes with 800 000.
+MEMO_WORDS = 250_000
 _OWN_WORDS, _SPACE = re.compile(r"(?:\S|[\x1c-\x1f])+"), re.compile(r"[^\S\x1c-\x1f]")
 
 DOC_ROWS = "file string, position bigint, doc_id bigint, n_tokens bigint, before bigint, ids_crc32 bigint"
@@ -216,9 +217,10 @@ class WordMemo:
         if not self.by_words:
             lists = [e.ids + ([] if end_id is None else [end_id]) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
             return np.array([len(x) for x in lists], np.int64), np.array([i for x in lists for i in x], np.uint32)
-        if len(self.words) > self.limit:  # a bound of memory: what is dropped is learnt again
-            self.words.clear()
-            self.n = 0
+        if len(self.words) > self.limit:  # a bound of memory: what is dropped is learnt again; common words come first and stay
+            keep = self.limit // 2
+            self.n = int(self.starts[keep])
+            self.words = dict(islice(self.words.items(), keep))
         split = [self._split(t) for t in texts]
         flat = [w for ws in split for w in ws]
         at = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int64, len(flat))
@@ -280,7 +282,7 @@ def write_planes(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
             writer = PlaneWriter(sink, chunk_ids, bits)
             for b in batches:
                 texts, ids = b["text"].fillna("").tolist(), [None if pd.isna(d) else int(d) for d in b["doc_id"]]
-                for lo, hi in _spans(texts, 2_000_000):
+                for lo, hi in _spans(texts, 500_000):
                     writer.add(ids[lo:hi], *memo.encode(texts[lo:hi], end_id))
             writer.close()
         if not writer.doc_ids:
