@@ -192,6 +192,10 @@ class Scorer:
 
     def __init__(self, keys: np.ndarray, alpha: np.ndarray, gamma: np.ndarray, order: int):
         self.keys, self.alpha, self.gamma, self.order = keys, alpha, gamma, order
+        # hashes are spread evenly: the leading bits of one say where it stands, but for a few places
+        bits = max(1, min(24, len(keys).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift)
 
     @classmethod
     def of(cls, rows: pd.DataFrame, labels: list[str], order: int) -> Scorer:
@@ -205,8 +209,15 @@ class Scorer:
         return cls(keys, alpha, gamma, order)
 
     def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return at, self.keys[at] == h
+        last = len(self.keys) - 1
+        at = np.minimum(self.first[h >> self.shift], last)
+        here = self.keys[at]
+        late = np.flatnonzero((here < h) & (at < last))
+        while len(late):
+            at[late] += 1
+            here[late] = self.keys[at[late]]
+            late = late[(here[late] < h[late]) & (at[late] < last)]
+        return at, here == h
 
     def log2_sums(self, texts: Sequence[str]) -> np.ndarray:
         """Sum over each text's characters of -log2 p, per label; every distinct gram of a stretch is scored once."""

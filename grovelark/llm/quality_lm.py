@@ -97,10 +97,10 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, block_chars: in
             for _, _, places, whole in stretches(texts, order):
                 h = gram_hashes(codes_of(whole), order)
                 _, where = distinct(h[order], places)
-                found.append(np.unique(np.concatenate([h[k][where - d] for k in range(1, order + 1) for d in ((0, 1) if k < order else (0,))])))
-            if len(found) > 16:
-                found = [np.unique(np.concatenate(found))]
-        keys = np.unique(np.concatenate(found))
+                found += [pd.unique(h[k][where - d]) for k in range(1, order + 1) for d in ((0, 1) if k < order else (0,))]
+            if len(found) > 200:
+                found = [pd.unique(np.concatenate(found))]
+        keys = pd.unique(np.concatenate(found))
         return pd.DataFrame({"label": packets["label"].iloc[0], "block": packets["block"].iloc[0], "key": keys.view(np.int64)})
 
     def bits(packets: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
