@@ -139,17 +139,7 @@ def analyse_all(
     """
     stages = Stages(files.sparkSession, base)
     given = [content_digest(files), content_digest(log), content_digest(docs), repr(options), functions.version, str(seq), generator, str(rows_per_part)]
-    first: dict[str, DataFrame] = {}
-
-    def early(name: str) -> Callable[[], DataFrame]:
-        def make() -> DataFrame:
-            if not first:
-                first.update(flows.analyse(files, log, docs, generated_at, seq, options, functions.file, functions.dir))
-            return first[name]
-
-        return make
-
-    documents = stages.run("documents", given, early("documents"))
+    documents = stages.run("documents", given, lambda: flows.documents(files, log, docs, generated_at, options, functions.file, functions.dir))
     log_a = stages.run("log-nodes", [documents, *given], lambda: flows.run_log(documents.rows, log, seq)["log"])
     so_far = log.unionByName(log_a.rows)
     repos = documents.rows.select("repo").distinct()

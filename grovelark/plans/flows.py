@@ -90,6 +90,20 @@ def analyse(
     dir_fn: fold.DirFunction | None = None,
 ) -> dict[str, DataFrame]:
     """Documents for everything that has none yet, and the log rows of this run."""
+    results = documents(files, log, docs, generated_at, options, file_fn, dir_fn)
+    return {"documents": results, **run_log(results, log, seq), "levels": A.level_summary(results)}
+
+
+def documents(
+    files: DataFrame,
+    log: DataFrame,
+    docs: DataFrame,
+    generated_at: Column,
+    options: Options = Options(),
+    file_fn: fold.FileFunction = fold.standin_files,
+    dir_fn: fold.DirFunction | None = None,
+) -> DataFrame:
+    """The folded nodes of a run, with the documents they already have."""
     kept = B.keep_files(files, options.patterns, options.extensions, options.max_file_size)
     nodes = cut(H.build_nodes(kept).withColumn("doc_path", B.doc_path("relative_path", "node_type", options.docs_root)))
     newest = F.max_by("content", "seq") if "seq" in docs.columns else F.max("content")
@@ -97,11 +111,10 @@ def analyse(
     finished = Z.completed_nodes(nodes, log, present.select("repo", "doc_path"))
     existing = finished.join(present, ["repo", "doc_path"]).select("repo", "relative_path", "node_type", "content")
     more = {} if dir_fn is None else {"dir_fn": dir_fn}
-    results = fold.fold_levels(
+    return fold.fold_levels(
         nodes, kept.select("repo", "relative_path", "content"), generated_at, file_fn, docs_root=options.docs_root,
         existing=existing, **more,
     )
-    return {"documents": results, **run_log(results, log, seq), "levels": A.level_summary(results)}
 
 
 def run_log(results: DataFrame, log: DataFrame, seq: int) -> dict[str, DataFrame]:

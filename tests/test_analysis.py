@@ -139,3 +139,11 @@ def test_digests_and_stages(spark, tmp_path):
     assert one.made and rows(one.rows) == rows(a)
     assert not stages.run("s", [same, "v1"], make).made and stages.run("s", [same, "v2"], make).made and len(made) == 2
     assert stages.run("t", [one], make).digest != stages.run("t", [same], make).digest
+
+
+def test_a_whole_run_reads_the_endpoint_notes_once(spark, tmp_path, monkeypatch):
+    calls, real = [], flows.run_log
+    monkeypatch.setattr(flows, "run_log", lambda *given: calls.append(1) or real(*given))
+    files = corpus(spark, [("r", "a.py", API)])
+    out = analysis.analyse_all(files, spark.createDataFrame([], LOG), spark.createDataFrame([], DOCS), now(), 1, str(tmp_path / "run"), functions=analysis.Functions(file=echo))
+    assert len(calls) == 1 and out["documents"].count() == 2
