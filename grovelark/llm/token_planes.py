@@ -34,8 +34,8 @@ from .common import fresh_dir, pick, table, worker_cache
 MAGIC = b"GLBP0001"
 CHUNK_IDS = 1 << 16
 END_ID = 1
-#: Words that a worker remembers; a quarter of a gigabyte of memory goes with 800 000.
-MEMO_WORDS = 250_000
+#: Words that a worker remembers; more take memory, fewer are learnt again more often.
+MEMO_WORDS = 500_000
 _OWN_WORDS, _SPACE = re.compile(r"(?:\S|[\x1c-\x1f])+"), re.compile(r"[^\S\x1c-\x1f]")
 
 DOC_ROWS = "file string, position bigint, doc_id bigint, n_tokens bigint, before bigint, ids_crc32 bigint"
