@@ -20,8 +20,11 @@ they differ in at most ``q · (|A| + |B|)`` shingles with ``q = (100 - percent)
    their differences from the hub must overlap in a known number of shingles: a prefix join on these, those that the hub lacks
    first, finds all such pairs, and those are compared too. Two classes that both link with the hub are in one component anyway and
    are not compared: the links span the components, but are not all links, and nothing here counts links per document.
-6. **Twice.** Steps 4 and 5 run first on sets of the shingles' leading bytes, as many as keep chance rare. Such sets differ in no
-   more places than the whole ones, so pairs they rule out are no links. What they leave runs again on the whole sets.
+6. **Twice.** Steps 4 and 5 run first on less than the sets, which rules out pairs that are no links; what is left runs again
+   on the whole sets. Every row of the index has a *sketch*, which says of each of some 3 places per shingle whether an odd number of
+   shingles falls on it. Sketches differ in no more places than their sets, so classes under a hub whose group fits one task meet by
+   sketch, each two of them that step 5 could miss, and no text moves. Larger groups are dealt out as in step 5, with sets of
+   the shingles' leading bytes, as many as keep chance rare; these too differ in no more places than the whole sets.
 7. **Components** of the links by alternating stars.
 
 Results for odd input: texts that are null or have no word have no set, link with nothing and are their own component; fewer
@@ -37,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +58,10 @@ RUN_KEYS, RANGE_KEYS = 1_000_000, 2_000_000
 #: A band's largest size is its smallest by ``(100 / percent) ** BAND_STEPS``.
 BAND_STEPS = 2
 CHARS_PER_WORD, CHANCE = 6.0, 0.2
+#: Places of a sketch per shingle, at least; the next power of two is taken.
+PLACES = 2
+#: Texts, and characters of them, that a task has in hand at once; a longer text is alone.
+SPAN_ROWS, SPAN_CHARS = 500, 1_000_000
 WHOLE = 8
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _MASK = (1 << 64) - 1
@@ -184,8 +192,47 @@ def _set_id(tokens: np.ndarray) -> bytes | None:
     return hashlib.md5(tokens.tobytes()).digest() if len(tokens) else None
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """A bit per place: whether an odd number of tokens falls on it."""
+    places = 1 << max(6, (PLACES * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Rows of sketches as if they had been made with ``size`` bytes, a power of two."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, size), axis=1)
+
+
+def near_members(n: np.ndarray, sketches: list[bytes], hub: int, percent: int) -> list[tuple[int, int]]:
+    """Pairs of places in ``n`` (sizes) and ``sketches`` within reach: those with ``hub`` as ``(hub, i)``, and those not both within reach of it."""
+    sizes = np.array([len(s) for s in sketches])
+    rows = {size: np.flatnonzero(sizes == size) for size in np.unique(sizes)}
+    bits = {(size, size): np.frombuffer(b"".join(sketches[i] for i in at), np.uint8).reshape(len(at), size) for size, at in rows.items()}
+
+    def reach(i: int) -> np.ndarray:
+        out = np.zeros(len(n), bool)
+        own = np.frombuffer(sketches[i], np.uint8)[None, :]
+        for size, at in rows.items():
+            fit = 100 * np.minimum(n[at], n[i]) >= percent * np.maximum(n[at], n[i])
+            if fit.any():
+                least = min(size, sizes[i])
+                if (size, least) not in bits:
+                    bits[size, least] = folded(bits[size, size], least)
+                d = np.bitwise_count(bits[size, least][fit] ^ folded(own, least)).sum(axis=1, dtype=np.int64)
+                out[at[fit]] = (100 + percent) * d <= (100 - percent) * (n[at[fit]] + n[i])
+        return out
+
+    linked = reach(hub)
+    out = [(hub, int(i)) for i in np.flatnonzero(linked) if i != hub]
+    for i in np.flatnonzero(~linked):
+        out += [(int(i), int(j)) for j in np.flatnonzero(reach(i)) if linked[j] and j != hub or not linked[j] and j > i]
+    return out
+
+
 def indexed(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``(doc_id, mark, sid, n, keys)`` per row of ``docs (doc_id, text)``: a hash of its text, the id and size of its set, and its index keys."""
+    """``(doc_id, mark, sid, n, keys, sketch)`` per row of ``docs (doc_id, text)``: a hash of its text, the id and size of its set, its
+    index keys and, if it has any, its sketch."""
     lows = Bands(percent, {}).lows
     guess = F.greatest(F.lit(1), (F.length("text") / CHARS_PER_WORD).cast("int"))
     step = BAND_STEPS * math.log(100 / percent)
@@ -196,14 +243,22 @@ def indexed(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
         counts[b] = counts.get(b, 0) + r["n"]
     bands = Bands(percent, counts)
 
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = b["text"].tolist()
-            for lo, hi in spans(texts):
-                sets = shingle_sets(texts[lo:hi], width)
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].to_numpy(), "mark": b["mark"].iloc[lo:hi].to_numpy(), "sid": [_set_id(s) for s in sets], "n": [len(s) for s in sets], "keys": [bands.keys(s) for s in sets]})
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SPAN_ROWS):  # a batch's texts are many megabytes: only some are Python's at a time
+                b = whole.slice(at, SPAN_ROWS)
+                texts = b.column("text").to_pylist()
+                for lo, hi in spans(texts, SPAN_CHARS):
+                    sets = shingle_sets(texts[lo:hi], width)
+                    keys = [bands.keys(s) for s in sets]
+                    ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+                    sketches = [sketch(s) if len(k) else None for s, k in zip(sets, keys, strict=True)]
+                    own = b.slice(lo, hi - lo)
+                    columns = [own.column("doc_id"), own.column("mark"), pa.array([_set_id(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
+                    columns += [pa.ListArray.from_arrays(ends, np.concatenate(keys)), pa.array(sketches, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "sid", "n", "keys", "sketch"])
 
-    return docs.select("doc_id", _mark().alias("mark"), "text").mapInPandas(go, "doc_id bigint, mark bigint, sid binary, n int, keys array<bigint>")
+    return docs.select("doc_id", _mark().alias("mark"), "text").mapInArrow(go, "doc_id bigint, mark bigint, sid binary, n int, keys array<bigint>, sketch binary")
 
 
 def _mark() -> Column:
@@ -227,22 +282,24 @@ def told(docs: DataFrame, width: int) -> DataFrame:
     """``(hub, salt, size, salts, sid, n, tokens)``: the set of every row of ``docs (text, asks)``, sorted, as tokens of ``size``
     bytes, for each group that asks for it; ``n`` is the size of the whole set. A task tells a set once, however many rows have it."""
 
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said: set[bytes] = set()
-        for b in batches:
-            texts, asks = b["text"].tolist(), b["asks"].tolist()
-            for lo, hi in spans(texts, 1_000_000):
-                rows = []
-                for tokens, ask in zip(shingle_sets(texts[lo:hi], width), asks[lo:hi], strict=True):
-                    sid = _set_id(tokens)
-                    if sid not in said:
-                        said.add(sid)
-                        raw = {size: narrowed(tokens, size) for size in {a["size"] for a in ask}}
-                        rows += [(a["hub"], a["salt"], a["size"], a["salts"], sid, len(tokens), raw[a["size"]]) for a in ask]
-                for i in range(0, len(rows), 500):
-                    yield pd.DataFrame(rows[i : i + 500], columns=["hub", "salt", "size", "salts", "sid", "n", "tokens"])
-
-    return docs.select("text", "asks").mapInPandas(go, "hub binary, salt int, size int, salts long, sid binary, n int, tokens binary")
+        for batch in batches:
+            for at in range(0, batch.num_rows, SPAN_ROWS):
+                texts, asks = (batch.column(c).slice(at, SPAN_ROWS).to_pylist() for c in ("text", "asks"))
+                for lo, hi in spans(texts, SPAN_CHARS):
+                    rows = []
+                    for tokens, ask in zip(shingle_sets(texts[lo:hi], width), asks[lo:hi], strict=True):
+                        sid = _set_id(tokens)
+                        if sid not in said:
+                            said.add(sid)
+                            raw = {size: narrowed(tokens, size) for size in {a["size"] for a in ask}}
+                            rows += [a | {"sid": sid, "n": len(tokens), "tokens": raw[a["size"]]} for a in ask]
+                    for i in range(0, len(rows), 500):
+                        yield pa.RecordBatch.from_pylist(rows[i : i + 500], schema)
+
+    schema = pa.schema([("hub", pa.binary()), ("salt", pa.int32()), ("size", pa.int32()), ("salts", pa.int64()), ("sid", pa.binary()), ("n", pa.int32()), ("tokens", pa.binary())])
+    return docs.select("text", "asks").mapInArrow(go, "hub binary, salt int, size int, salts long, sid binary, n int, tokens binary")
 
 
 def _near_pairs(members: list[tuple[bytes, int, bool, np.ndarray, np.ndarray, int, int]], percent: int) -> list[tuple[bytes, bytes]]:
@@ -383,7 +440,7 @@ def shared_keys(index: DataFrame, bits: int) -> DataFrame:
 
 
 def stars(index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(hub, sid)`` pairs to compare, and the classes ``(sid, doc_id, mark, n)`` with one document each.
+    """``(hub, sid)`` pairs to compare, and the classes ``(sid, doc_id, mark, at, n)`` with one document each.
 
     ``index`` is written and has a number ``at`` for each row.
     """
@@ -398,7 +455,7 @@ def stars(index: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = cut(shared.join(hubs, "key").where("at <> hub").select("hub", "at").distinct())
     names = classes.select("at", "sid")
     named = pairs.join(names, "at").select("hub", "sid").join(names.select(F.col("at").alias("hub"), F.col("sid").alias("h")), "hub")
-    return cut(named.select(F.col("h").alias("hub"), "sid")), classes.drop("at")
+    return cut(named.select(F.col("h").alias("hub"), "sid")), classes
 
 
 def missing_pairs(met: DataFrame, percent: int) -> DataFrame:
@@ -424,11 +481,53 @@ def missing_pairs(met: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct()
 
 
-def linked_pairs(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
-    """``(a, b)`` of ``pairs (a, b)`` that link, and of those that are missing under their ``a``."""
+def _sketches(sids: DataFrame, index: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(sid, n, sketch)`` of the classes in ``sids (sid)``."""
+    wanted = cut(sids.distinct().join(classes.select("sid", "at"), "sid"))
+    rows = index.select("at", "n", "sketch").join(broadcast_if_light(cut(wanted.select("at"))), "at", "left_semi")  # only these sketches move
+    return rows.join(wanted, "at").select("sid", "n", "sketch")
+
+
+def within_reach(pairs: DataFrame, index: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs (a, b)`` whose sketches are within reach."""
+    sketches = cut(_sketches(pairs.select(F.explode(F.array("a", "b")).alias("sid")), index, classes))
+    both = pairs.join(sketches.withColumnsRenamed({"sid": "a"}), "a").join(sketches.withColumnsRenamed({"sid": "b", "n": "n2", "sketch": "sketch2"}), "b")
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("sketch").to_pylist(), batch.column("sketch2").to_pylist()
+            n = np.stack([batch.column("n").to_numpy(), batch.column("n2").to_numpy()], axis=1).astype(np.int64)
+            found = [bool(near_members(n[i], [x[i], y[i]], 0, percent)) for i in range(len(n))]
+            yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
+
+    return both.select("a", "b", "n", "n2", "sketch", "sketch2").mapInArrow(go, "a binary, b binary")
+
+
+def near_pairs(pairs: DataFrame, index: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)`` of ``pairs (a, b)`` whose sketches are within reach, with those that are missing under their ``a``; and the
+    pairs of the groups that are too large for one task, as they are."""
+    sized = classes.select(F.col("sid").alias("b"), F.col("n").alias("size_of"))
+    few = (F.sum("size_of") <= GROUP_TOKENS) & (F.count(F.lit(1)) < GROUP_MEMBERS)
+    load = cut(pairs.join(sized, "b").groupBy("a").agg(few.alias("few")))
+    here = pairs.join(load.where("few"), "a", "left_semi")
+    member = cut(here.select(F.col("a").alias("hub"), F.col("b").alias("sid")).unionByName(load.where("few").select(F.col("a").alias("hub"), F.col("a").alias("sid"))))
+
+    def go(key: tuple, group: pa.Table) -> pa.Table:
+        sids, hub = group.column("sid").to_pylist(), key[0].as_py()
+        found = near_members(group.column("n").to_numpy().astype(np.int64), group.column("sketch").to_pylist(), sids.index(hub), percent)
+        return pa.table({"a": pa.array([sids[i] for i, _ in found], pa.binary()), "b": pa.array([sids[j] for _, j in found], pa.binary())})
+
+    near = cut(member.join(_sketches(member.select("sid"), index, classes), "sid").groupBy("hub").applyInArrow(go, "a binary, b binary"))
+    return near, pairs.join(load.where("NOT few"), "a", "left_semi")
+
+
+def linked_pairs(pairs: DataFrame, index: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
+    """``(a, b)`` of ``pairs (a, b)`` that link, and of those that are missing under their ``a``; without ``whole`` those that may."""
     met = cut(compare(pairs, docs, classes, width, percent, whole))
-    more = compare(cut(missing_pairs(met, percent)), docs, classes, width, percent, whole, rest=False)
-    return cut(met.where("linked").select("a", "b").unionByName(more.where("linked").select("a", "b")).distinct())
+    more = within_reach(cut(missing_pairs(met, percent)), index, classes, percent)
+    if whole:
+        more = compare(cut(more), docs, classes, width, percent, whole, rest=False).where("linked").select("a", "b")
+    return cut(met.where("linked").select("a", "b").unionByName(more).distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -456,7 +555,9 @@ def similarity_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     index = cut(indexed(docs, width, percent).withColumn("at", F.monotonically_increasing_id()))  # a written number
     pairs, classes = stars(index)
     pairs = pairs.select(F.col("hub").alias("a"), F.col("sid").alias("b"))
-    links = linked_pairs(linked_pairs(pairs, docs, classes, width, percent, whole=False), docs, classes, width, percent, whole=True)
+    near, large = near_pairs(pairs, index, classes, percent)
+    near = near.unionByName(linked_pairs(cut(large), index, docs, classes, width, percent, whole=False))
+    links = linked_pairs(cut(near.distinct()), index, docs, classes, width, percent, whole=True)
     roots = components(links)
     member = index.select("doc_id", "sid", "n").join(roots, index["sid"] == roots["node"], "left")
     return member.select("doc_id", "sid", "n", F.coalesce("root", "sid").alias("component")), links

@@ -71,3 +71,41 @@ def test_grams_are_found_at_any_number_of_keys():
         asked = np.concatenate([keys, keys + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
         at, ok = s._find(asked)
         assert (ok == np.isin(asked, keys)).all() and (keys[at[ok]] == asked[ok]).all()
+
+
+def test_sketches_rule_out_no_link_and_most_others():
+    luck = np.random.default_rng(8)
+    sets = [np.unique(luck.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (1, 30, 300, 2000)]
+    for base in list(sets):
+        for share in (0.02, 0.05, 0.2, 0.3, 0.5):
+            kept = base[luck.random(len(base)) > share]
+            sets.append(np.unique(np.concatenate([kept, luck.integers(0, 1 << 64, len(base) - len(kept), dtype=np.uint64)])))
+    n = np.array([len(s) for s in sets], np.int64)
+    sketches = [J.sketch(s) for s in sets]
+    for percent in (90, 80, 30):
+        d = np.array([[len(np.setxor1d(x, y)) for y in sets] for x in sets])
+        linked = (100 + percent) * d <= (100 - percent) * (n[:, None] + n[None, :])
+        for hub in range(len(sets)):
+            found = {frozenset(p) for p in J.near_members(n, sketches, hub, percent)}
+            assert all(frozenset((hub, i)) in found for i in np.flatnonzero(linked[hub]) if i != hub)
+            met = {i for p in found if hub in p for i in p}
+            assert all(frozenset((i, j)) in found for i, j in np.argwhere(np.triu(linked, 1)) if not {i, j} <= met | {hub})
+            if percent == 90:
+                assert sum(d[i, j] > 0.4 * (n[i] + n[j]) / 2 for i, j in map(tuple, found) if min(n[i], n[j]) > 20) == 0
+
+
+def test_small_groups_move_no_text(spark, monkeypatch):
+    """Groups that fit one task meet by sketch; only texts within reach by sketch are read again."""
+    texts = near_copies()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    asked, plain = [], J.compare
+
+    def counted(pairs, *rest, **named):
+        asked.append(pairs.count())
+        return plain(pairs, *rest, **named)
+
+    monkeypatch.setattr(J, "compare", counted)
+    J.similarity_join(docs, 3, 90)
+    sets = J.shingle_sets(texts, 3)
+    d = [(len(np.setxor1d(x, y)), len(x) + len(y)) for i, x in enumerate(sets) for y in sets[:i]]
+    assert sum(asked) <= sum(190 * k <= 12 * n for k, n in d), asked
