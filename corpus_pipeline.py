@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovelark.llm.common import cut, pick, table, text_or_empty
+from grovelark.llm.common import broadcast_if_light, cut, pick, table, text_or_empty
 from grovelark.llm.decontaminate import contaminated, contamination
 from grovelark.llm.jaccard_join import similarity_join, with_smallest
 from grovelark.llm.mixing import mix, mixable
@@ -41,10 +41,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without a word are like nothing and stay.
     """
     member, _ = similarity_join(pick(docs, "doc_id", "text"), WIDTH, PERCENT)
-    first = with_smallest(member).where(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    stay = cut(first.select(F.col("doc_id").alias("_stay")).distinct())
-    kept = docs.join(stay, docs["doc_id"].cast("bigint").eqNullSafe(stay["_stay"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    first = F.col("component_id").eqNullSafe(F.col("doc_id"))
+    ids = cut(with_smallest(member).groupBy(F.col("doc_id").alias("_id")).agg(F.max(first).alias("stays"), F.count(F.lit(1)).alias("n")))
+    gone, twice = (broadcast_if_light(cut(ids.where(c).select("_id"))) for c in ("NOT stays", "stays AND n > 1"))  # fewer than stay: texts seldom have to move
+    same_id = lambda ids: docs["doc_id"].cast("bigint").eqNullSafe(ids["_id"])
+    once = docs.join(gone, same_id(gone), "left_anti").join(twice, same_id(twice), "left_anti")
+    return once.unionByName(docs.join(twice, same_id(twice), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

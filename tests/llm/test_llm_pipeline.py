@@ -84,3 +84,16 @@ def test_stages_on_odd_and_empty_tables(spark, small):
         assert stage(spark, odd.limit(0), small).count() == 0
     near = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, odd, small)
     assert sorted(str(r["doc_id"]) for r in near.collect()) == ["1", "2", "3", "5", "None"]
+
+
+def test_rows_that_stay_are_not_shuffled(spark, small):
+    """Only rows that share a doc_id are dealt out again after the join; the others keep their place."""
+    rows = [(i, f"text number {i} of its own kind {i * i}") for i in range(30)] + [(3, "text number 3 of its own kind 9"), (4, "another text with that id"), (30, "text number 5 of its own kind 25")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, small)
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted([*range(30), 4])
+    lines = out._jdf.queryExecution().sparkPlan().toString().splitlines()
+    top = next(i for i, line in enumerate(lines) if "Union" in line)
+    depth = lines[top + 1].index(":-")
+    end = next(i for i in range(top + 1, len(lines)) if lines[i][depth:].startswith("+-"))
+    assert any("LeftAnti" in line for line in lines[top:end]) and not any("Aggregate" in line for line in lines[top:end])
