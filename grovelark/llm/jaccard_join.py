@@ -16,15 +16,16 @@ they differ in at most ``q · (|A| + |B|)`` shingles with ``q = (100 - percent)
    has twice go straight on and count once in it, so a hot key is as many entries as there are runs.
 4. **Stars.** All pairs of a key's classes would be quadratic in a group of near copies. Instead each key names a hub, the class
    that shares the most keys (the text that the others were copied from), and every class meets its hubs only.
-5. **The rest, exactly.** Two classes under one hub can only be missing a link if one of them doesn't link with the hub. Then
-   their differences from the hub must overlap in a known number of shingles: a prefix join on these, those that the hub lacks
-   first, finds all such pairs, and those are compared too. Two classes that both link with the hub are in one component anyway and
-   are not compared: the links span the components, but are not all links, and nothing here counts links per document.
-6. **Twice.** Steps 4 and 5 run first on less than the sets, which rules out pairs that are no links; what is left runs again
-   on the whole sets. Every row of the index has a *sketch*, which says of each of some 3 places per shingle whether an odd number of
-   shingles falls on it. Sketches differ in no more places than their sets, so classes under a hub whose group fits one task meet by
-   sketch, each two of them that step 5 could miss, and no text moves. Larger groups are dealt out as in step 5, with sets of
-   the shingles' leading bytes, as many as keep chance rare; these too differ in no more places than the whole sets.
+5. **Parts.** A hub's group is dealt out over parts that fit a task, each with the hub. Every row of the index has a *sketch*, which says
+   of each of some 3 places per shingle whether an odd number of shingles falls on it. Sketches differ in no more places than
+   their sets, so only members that have another one within reach by sketch fetch their whole sets. A part returns links that join
+   what its links join, fewer than it has members; so the links span the components, but are not all links, and nothing
+   here counts links per document.
+6. **Across parts, exactly.** Of two members of a group that parts have not joined yet, one at least is outside the group's commonest
+   component. Up to some thousands of these meet all others, part by part, as in step 5. Where they are more, a link between two
+   under one hub can be missing only if one of them doesn't link with the hub: then their differences from the hub must overlap in a known
+   number of shingles, and a prefix join on these, those that the hub lacks first, finds all such pairs; first on sets of the shingles'
+   leading bytes, as many as keep chance rare (these too differ in no more places than the whole sets), then on whole ones.
 7. **Components** of the links by alternating stars.
 
 Results for odd input: texts that are null or have no word have no set, link with nothing and are their own component; fewer
@@ -36,7 +37,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,10 +50,10 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_light, cut, pick, table
 
 WIDTH, PERCENT = 3, 90
-#: Tokens that one group of comparisons holds, about; a longer set is one of its own.
-GROUP_TOKENS = 250_000
-#: Members of a group whose pairs are looked for in the group itself.
-GROUP_MEMBERS = 1_000
+#: Tokens and members of a group, or of a part of one, that a task compares, about; a longer set is one of its own.
+GROUP_TOKENS, GROUP_MEMBERS = 250_000, 1_000
+#: Blocks as large that may meet all parts of a group.
+MOST_BLOCKS = 8
 #: Keys of a run, and of a range of keys, about.
 RUN_KEYS, RANGE_KEYS = 1_000_000, 2_000_000
 #: A band's largest size is its smallest by ``(100 / percent) ** BAND_STEPS``.
@@ -204,8 +205,8 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, size), axis=1)
 
 
-def near_members(n: np.ndarray, sketches: list[bytes], hub: int, percent: int) -> list[tuple[int, int]]:
-    """Pairs of places in ``n`` (sizes) and ``sketches`` within reach: those with ``hub`` as ``(hub, i)``, and those not both within reach of it."""
+def _reach(n: np.ndarray, sketches: list[bytes], percent: int) -> Callable[[int], np.ndarray]:
+    """Whether each of the sets with sizes ``n`` and ``sketches`` is within reach of one of them."""
     sizes = np.array([len(s) for s in sketches])
     rows = {size: np.flatnonzero(sizes == size) for size in np.unique(sizes)}
     bits = {(size, size): np.frombuffer(b"".join(sketches[i] for i in at), np.uint8).reshape(len(at), size) for size, at in rows.items()}
@@ -223,6 +224,12 @@ def near_members(n: np.ndarray, sketches: list[bytes], hub: int, percent: int) -
                 out[at[fit]] = (100 + percent) * d <= (100 - percent) * (n[at[fit]] + n[i])
         return out
 
+    return reach
+
+
+def near_members(n: np.ndarray, sketches: list[bytes], hub: int, percent: int) -> list[tuple[int, int]]:
+    """Pairs of places in ``n`` (sizes) and ``sketches`` within reach: those with ``hub`` as ``(hub, i)``, and those not both within reach of it."""
+    reach = _reach(n, sketches, percent)
     linked = reach(hub)
     out = [(hub, int(i)) for i in np.flatnonzero(linked) if i != hub]
     for i in np.flatnonzero(~linked):
@@ -230,6 +237,51 @@ def near_members(n: np.ndarray, sketches: list[bytes], hub: int, percent: int) -
     return out
 
 
+def in_company(n: np.ndarray, sketches: list[bytes], label: np.ndarray, hub: int, percent: int) -> np.ndarray:
+    """Whether each member of a group has another one of a different ``label`` within reach."""
+    reach = _reach(n, sketches, percent)
+    names, number, count = np.unique(label, return_inverse=True, return_counts=True)
+    near = np.zeros(len(n), bool)
+    if len(names) == len(n):  # those within reach of the hub need no look at each other: they are in company
+        near = reach(hub)
+        near[hub] = near.sum() > 1
+        others = np.flatnonzero(~near)
+    else:
+        others = np.flatnonzero(number != count.argmax())
+    for i in others:
+        met = reach(i) & (label != label[i])
+        if met.any():
+            near |= met
+            near[i] = True
+    return near
+
+
+def spanning(sets: list[np.ndarray], label: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between ``sets`` that join all that links join, where sets of one ``label`` are joined already: fewer than there are sets.
+
+    The first set is held against all. From then on a set of the most common label needs no look: whoever has another one takes it.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    starts = np.cumsum(n) - n
+    if len(sets) < 2:
+        return []
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    label, out, mark = np.unique(label, return_inverse=True)[1], [], np.zeros(len(token), bool)
+    main = int(np.flatnonzero(label == np.bincount(label).argmax())[0]) if len(np.unique(label)) < len(sets) else 0
+    for i in range(len(sets)):
+        if i and label[i] == label[main]:
+            continue
+        own = token[starts[i] : starts[i] + n[i]]
+        mark[own] = True
+        common = np.add.reduceat(mark[token], starts, dtype=np.int64)
+        mark[own] = False
+        met = np.flatnonzero((100 * common >= percent * (n + n[i] - common)) & (label != label[i]))
+        names, first = np.unique(label[met], return_index=True)
+        out += [(i, int(j)) for j in met[first]]
+        label[np.isin(label, names)] = label[i]
+    return out
+
+
 def indexed(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, mark, sid, n, keys, sketch)`` per row of ``docs (doc_id, text)``: a hash of its text, the id and size of its set, its
     index keys and, if it has any, its sketch."""
@@ -302,42 +354,20 @@ def told(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text", "asks").mapInArrow(go, "hub binary, salt int, size int, salts long, sid binary, n int, tokens binary")
 
 
-def _near_pairs(members: list[tuple[bytes, int, bool, np.ndarray, np.ndarray, int, int]], percent: int) -> list[tuple[bytes, bytes]]:
-    """``missing_pairs`` of one group's members ``(sid, n, linked, differences, head, half, d)``, and of these the pairs within reach."""
-    token = np.concatenate([m[4] for m in members])
-    who = np.repeat(np.arange(len(members)), [len(m[4]) for m in members])
-    order = np.argsort(token, kind="stable")
-    token, who = token[order], who[order]
-    met = np.zeros((len(members), len(members)), bool)
-    edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        if hi - lo > 1:
-            met[np.ix_(who[lo:hi], who[lo:hi])] = True
-    n, linked = np.array([m[1] for m in members], np.int64), np.array([m[2] for m in members])
-    met &= ~(linked[:, None] & linked[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
-    out = []
-    for i, j in np.argwhere(np.triu(met, 1)):
-        x, y = members[i], members[j]
-        d = len(x[3]) + len(y[3]) - 2 * len(np.intersect1d(x[3], y[3], assume_unique=True))
-        if (100 + percent) * d <= (100 - percent) * (x[1] + y[1]):
-            out.append((min(x[0], y[0]), max(x[0], y[0])))
-    return out
-
-
 def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, whole: bool, rest: bool = True) -> DataFrame:
     """``(a, b, n, linked, head, half, d)`` for ``pairs (a, b)``: b's size, whether they link and, of the ``d`` differences between
     the sets, the prefix that ``missing_pairs`` needs: what only b has first, then what only a has, each by hash. Its first ``half`` are
     enough to meet what doesn't link with a either.
 
-    Without ``whole`` the sets are of leading bytes and ``linked`` is false only if they can't link. A group that is not dealt out
-    finds its missing pairs itself: further rows, and no prefixes. Without ``rest`` there are neither.
+    Without ``whole`` the sets are of leading bytes and ``linked`` is false only if they can't link. Without ``rest`` there are no
+    prefixes.
 
     ``classes (sid, doc_id, mark, n)`` names a text of each set. Sets move once per pair, to the group of their ``a``; groups
     of more than ``GROUP_TOKENS`` are dealt out over several, to each of which a's set goes.
     """
 
     def go(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        a, size, alone = key[0], int(group["size"].iloc[0]), group["salts"].iloc[0] == 1
+        a, size = key[0], int(group["size"].iloc[0])
         sets = {sid: (int(n), raw) for sid, n, raw in zip(group["sid"], group["n"], group["tokens"], strict=True)}
         nx, raw = sets.pop(a)
         x, members = widened(raw, size), []
@@ -349,12 +379,9 @@ def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, p
             most = max(1, ((100 + percent) * d + (100 - percent) * (nx - ny)) // (2 * (100 + percent)) + 1)
             least = most if linked else max(1, d - ny * (100 - percent) // percent)
             both = np.concatenate([new, old])
-            members.append((b, ny, linked, both, both[: max(d - least + 1, 0)], max(d - max(most, least) + 1, 0), d))
-        here = alone and len(members) <= GROUP_MEMBERS
-        found = [(a, b, n, linked, None if here or not rest else head.view(np.int64), half, d) for b, n, linked, _, head, half, d in members]
-        if rest and here and len(members) > 1 and not all(m[2] for m in members):
-            found += [(b, c, None, True, None, None, None) for b, c in _near_pairs(members, percent)]
-        out = pd.DataFrame(found, columns=["a", "b", "n", "linked", "head", "half", "d"])
+            head = both[: max(d - least + 1, 0)].view(np.int64) if rest else None
+            members.append((a, b, ny, linked, head, max(d - max(most, least) + 1, 0), d))
+        out = pd.DataFrame(members, columns=["a", "b", "n", "linked", "head", "half", "d"])
         return out.astype({"n": "Int32", "half": "Int32", "d": "Int32"})
 
     sized = classes.select("sid", F.col("n").alias("size_of"))
@@ -364,12 +391,17 @@ def compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, p
     load = cut(load.join(sized.withColumnRenamed("sid", "a"), "a").select("a", "salts", size.alias("size")))
     member = pairs.join(load, "a").select(F.col("b").alias("sid"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "size", "salts")
     hub = load.select(F.col("a").alias("sid"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt"), "size", "salts")
-    asks = member.unionByName(hub).groupBy("sid").agg(F.collect_list(F.struct("hub", "salt", "size", "salts")).alias("asks"))  # a set's keys and salts at most
+    return _sets(member.unionByName(hub), docs, classes, width).groupBy("hub", "salt").applyInPandas(go, "a binary, b binary, n int, linked boolean, head array<bigint>, half int, d int")
+
+
+def _sets(asked: DataFrame, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """``told`` for ``asked (sid, hub, salt, size, salts)``."""
+    asks = asked.groupBy("sid").agg(F.collect_list(F.struct("hub", "salt", "size", "salts")).alias("asks"))  # a set's keys and salts at most
     wanted = cut(asks.join(classes, "sid").select(F.col("doc_id").alias("w"), F.col("mark").alias("m"), "asks"))
     here = docs.withColumn("m", _mark())
     few = here.join(broadcast_if_light(cut(wanted.select("m").distinct())), "m", "left_semi")  # only these texts may have to move
     texts = few.join(wanted.withColumnRenamed("m", "m2"), (F.col("m") == F.col("m2")) & F.col("doc_id").eqNullSafe(F.col("w")))
-    return told(texts, width).groupBy("hub", "salt").applyInPandas(go, "a binary, b binary, n int, linked boolean, head array<bigint>, half int, d int")
+    return told(texts, width)
 
 
 def _run(at: np.ndarray, keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, bytes]]:
@@ -458,8 +490,9 @@ def stars(index: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(named.select(F.col("h").alias("hub"), "sid")), classes
 
 
-def missing_pairs(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` of classes under one hub, not both linked with it, whose differences from the hub can overlap enough.
+def missing_pairs(met: DataFrame, percent: int, labels: DataFrame | None = None) -> DataFrame:
+    """Pairs ``(a, b)`` of classes under one hub, not both linked with it, whose differences from the hub can overlap enough; with
+    ``labels (sid, label)`` of all of them, those of different labels.
 
     Let dX be the differences of X from the hub H, X not linked with it, Y under the same one. ``|X ^ Y| <= q (|X| + |Y|)``
     needs more than ``(|dY| + q (|H| - |Y|)) / 2`` differences in common, and at least ``|dX| - (100 - percent) / percent · |X|``.
@@ -473,9 +506,10 @@ def missing_pairs(met: DataFrame, percent: int) -> DataFrame:
     some = cut(dealt.where("NOT linked").select("a").distinct())
     heads = dealt.join(some, "a", "left_semi").select("a", "b", "n", "linked", "half", "d", F.posexplode("head").alias("pos", "token"))
     left = (F.col("d") - F.col("pos")).cast("bigint")
-    heads = cut(heads.select("a", "b", F.col("n").cast("bigint").alias("n"), "linked", "token", (F.col("pos") < F.col("half")).alias("half"), F.col("d").cast("bigint").alias("d"), left.alias("left")))
-    x, y = heads.where("NOT linked").drop("linked"), heads.where("half").drop("half").withColumnsRenamed({"b": "b2", "n": "n2", "linked": "linked2", "d": "d2", "left": "left2"})
-    pairs = x.join(y, ["a", "token"]).where(F.col("linked2") | (F.col("half") & (F.col("b") < F.col("b2"))))
+    heads = heads.select("a", "b", F.col("n").cast("bigint").alias("n"), "linked", "token", (F.col("pos") < F.col("half")).alias("half"), F.col("d").cast("bigint").alias("d"), left.alias("left"))
+    heads = cut(heads.withColumn("label", F.col("b")) if labels is None else heads.join(labels.withColumnRenamed("sid", "b"), "b"))
+    x, y = heads.where("NOT linked").drop("linked"), heads.where("half").drop("half").withColumnsRenamed({"b": "b2", "n": "n2", "linked": "linked2", "d": "d2", "left": "left2", "label": "label2"})
+    pairs = x.join(y, ["a", "token"]).where("label <> label2").where(F.col("linked2") | (F.col("half") & (F.col("b") < F.col("b2"))))
     pairs = pairs.where(2 * (100 + percent) * F.least("left", "left2") >= (100 + percent) * (F.col("d") + F.col("d2")) - (100 - percent) * (F.col("n") + F.col("n2")))
     pairs = pairs.where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
     return pairs.select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct()
@@ -503,31 +537,74 @@ def within_reach(pairs: DataFrame, index: DataFrame, classes: DataFrame, percent
     return both.select("a", "b", "n", "n2", "sketch", "sketch2").mapInArrow(go, "a binary, b binary")
 
 
-def near_pairs(pairs: DataFrame, index: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``(a, b)`` of ``pairs (a, b)`` whose sketches are within reach, with those that are missing under their ``a``; and the
-    pairs of the groups that are too large for one task, as they are."""
+def dealt(pairs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(hub, salt, sid)`` of the groups of ``pairs (a, b)``, each dealt out over as many parts as fit a task, with its hub in every
+    one; and ``(hub, salts)``, the number of parts."""
     sized = classes.select(F.col("sid").alias("b"), F.col("n").alias("size_of"))
-    few = (F.sum("size_of") <= GROUP_TOKENS) & (F.count(F.lit(1)) < GROUP_MEMBERS)
-    load = cut(pairs.join(sized, "b").groupBy("a").agg(few.alias("few")))
-    here = pairs.join(load.where("few"), "a", "left_semi")
-    member = cut(here.select(F.col("a").alias("hub"), F.col("b").alias("sid")).unionByName(load.where("few").select(F.col("a").alias("hub"), F.col("a").alias("sid"))))
+    parts = F.greatest(F.lit(1), F.ceil(F.sum("size_of") / GROUP_TOKENS), F.ceil(F.count(F.lit(1)) / GROUP_MEMBERS))
+    load = cut(pairs.join(sized, "b").groupBy(F.col("a").alias("hub")).agg(parts.alias("salts")))
+    salt = F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")
+    hubs = load.select("hub", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt"), F.col("hub").alias("sid"))
+    return cut(pairs.withColumnRenamed("a", "hub").join(load, "hub").select("hub", salt, F.col("b").alias("sid")).unionByName(hubs)), load
+
+
+def group_links(member: DataFrame, index: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` that join whatever links join within each ``(hub, salt)`` of ``member (hub, salt, sid, label)``, where members
+    of one label are joined already. Only texts move that have another one of a different label within reach by sketch."""
 
-    def go(key: tuple, group: pa.Table) -> pa.Table:
+    def near(key: tuple, group: pa.Table) -> pa.Table:
         sids, hub = group.column("sid").to_pylist(), key[0].as_py()
-        found = near_members(group.column("n").to_numpy().astype(np.int64), group.column("sketch").to_pylist(), sids.index(hub), percent)
+        label = np.unique(np.array(group.column("label").to_pylist(), object), return_inverse=True)[1]
+        found = in_company(group.column("n").to_numpy().astype(np.int64), group.column("sketch").to_pylist(), label, sids.index(hub) if hub in sids else 0, percent)
+        return group.select(["hub", "salt", "sid", "label"]).filter(pa.array(found, pa.bool_()))
+
+    def go(key: tuple, group: pa.Table, named: pa.Table) -> pa.Table:
+        held = dict(zip(*(group.column(c).to_pylist() for c in ("sid", "tokens")), strict=True))
+        names = dict(zip(*(named.column(c).to_pylist() for c in ("sid", "label")), strict=True))
+        sids = sorted(held, key=lambda sid: (sid != key[0].as_py(), sid))
+        label = np.unique(np.array([names[s] for s in sids], object), return_inverse=True)[1]
+        found = spanning([np.frombuffer(held[s], "<u8") for s in sids], label, percent)
         return pa.table({"a": pa.array([sids[i] for i, _ in found], pa.binary()), "b": pa.array([sids[j] for _, j in found], pa.binary())})
 
-    near = cut(member.join(_sketches(member.select("sid"), index, classes), "sid").groupBy("hub").applyInArrow(go, "a binary, b binary"))
-    return near, pairs.join(load.where("NOT few"), "a", "left_semi")
+    close = member.join(_sketches(member.select("sid"), index, classes), "sid").select("hub", "salt", "sid", "label", "n", "sketch")
+    close = cut(close.groupBy("hub", "salt").applyInArrow(near, "hub binary, salt int, sid binary, label binary"))
+    sets = _sets(close.select("sid", "hub", "salt", F.lit(WHOLE).alias("size"), F.lit(1).cast("bigint").alias("salts")), docs, classes, width).select("hub", "salt", "sid", "tokens")
+    return cut(sets.groupBy("hub", "salt").cogroup(close.groupBy("hub", "salt")).applyInArrow(go, "a binary, b binary").distinct())
 
 
-def linked_pairs(pairs: DataFrame, index: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, whole: bool) -> DataFrame:
-    """``(a, b)`` of ``pairs (a, b)`` that link, and of those that are missing under their ``a``; without ``whole`` those that may."""
-    met = cut(compare(pairs, docs, classes, width, percent, whole))
-    more = within_reach(cut(missing_pairs(met, percent)), index, classes, percent)
-    if whole:
-        more = compare(cut(more), docs, classes, width, percent, whole, rest=False).where("linked").select("a", "b")
-    return cut(met.where("linked").select("a", "b").unionByName(more).distinct())
+def links_across(member: DataFrame, load: DataFrame, roots: DataFrame, index: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between classes of different components ``roots (node, root)`` that are in one group, but may be in different parts.
+
+    Either of such two is not of its group's commonest component. Up to ``MOST_BLOCKS`` blocks of those that are not meet all others part
+    by part; more of them by prefixes of their differences from the hub. Links with the hub are in ``roots`` already.
+    """
+    labels = classes.select("sid", "n").join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", F.coalesce("root", "sid").alias("label"))
+    is_hub = F.col("hub") == F.col("sid")
+    held = member.where(~is_hub | (F.col("salt") == 0)).join(load.where("salts > 1"), "hub").join(labels, "sid")
+    held = cut(held.select("hub", "salts", "salt", "sid", "label", "n"))
+    tops = held.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("hub").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
+    held = cut(held.join(tops, "hub").withColumn("other", F.col("label") != F.col("main")).drop("main"))
+    blocks = F.greatest(F.ceil(F.sum("n") / GROUP_TOKENS), F.ceil(F.count(F.lit(1)) / GROUP_MEMBERS))
+    left = cut(held.where("other").groupBy("hub").agg(blocks.alias("blocks")))
+    here = held.join(left.where(F.col("blocks") <= MOST_BLOCKS), "hub")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    parts = here.withColumn("block", every("blocks"))
+    others = here.where("other").withColumn("block", F.pmod(F.xxhash64("sid", F.lit(1)), "blocks").cast("int")).withColumn("salt", every("salts"))
+    place = (F.col("block") * F.col("salts") + F.col("salt")).cast("int").alias("salt")
+    both = parts.select("hub", place, "sid", "label").unionByName(others.select("hub", place, "sid", "label")).distinct()
+    links = group_links(cut(both), index, docs, classes, width, percent)
+    pairs = held.where(~is_hub).join(left.where(F.col("blocks") > MOST_BLOCKS), "hub", "left_semi").select(F.col("hub").alias("a"), F.col("sid").alias("b"))
+    pairs, labels, asked = cut(pairs), labels.select("sid", "label"), []
+    for whole in (False, True):  # leading bytes first; whole sets under hubs with some that only seem to link with them
+        if pairs.isEmpty():
+            break
+        met = cut(compare(pairs, docs, classes, width, percent, whole))
+        asked.append(cut(within_reach(cut(missing_pairs(met, percent, labels)), index, classes, percent)))
+        named = met.where("linked").select("a", "b").join(labels.withColumnsRenamed({"sid": "a", "label": "of"}), "a").join(labels.withColumnRenamed("sid", "b"), "b")
+        pairs = cut(named.select("a", "b").join(named.where("of <> label").select("a").distinct(), "a", "left_semi"))
+    for more in asked:
+        links = links.unionByName(compare(more, docs, classes, width, percent, whole=True, rest=False).where("linked").select("a", "b"))
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -555,10 +632,14 @@ def similarity_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     index = cut(indexed(docs, width, percent).withColumn("at", F.monotonically_increasing_id()))  # a written number
     pairs, classes = stars(index)
     pairs = pairs.select(F.col("hub").alias("a"), F.col("sid").alias("b"))
-    near, large = near_pairs(pairs, index, classes, percent)
-    near = near.unionByName(linked_pairs(cut(large), index, docs, classes, width, percent, whole=False))
-    links = linked_pairs(cut(near.distinct()), index, docs, classes, width, percent, whole=True)
+    member, load = dealt(pairs, classes)
+    links = group_links(member.withColumn("label", F.col("sid")), index, docs, classes, width, percent)
     roots = components(links)
+    if not load.where("salts > 1").isEmpty():
+        more = cut(links_across(member, load, roots, index, docs, classes, width, percent))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     member = index.select("doc_id", "sid", "n").join(roots, index["sid"] == roots["node"], "left")
     return member.select("doc_id", "sid", "n", F.coalesce("root", "sid").alias("component")), links
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from grovelark.llm import jaccard_join as J
@@ -51,6 +52,56 @@ def test_groups_that_are_dealt_out_lose_no_link_and_meet_in_few_pairs(spark, mon
     assert 0 < n < met_before / 10, (n, met_before)
 
 
+def by_brute_force(texts, width, percent):
+    sets, root = J.shingle_sets(texts, width), list(range(len(texts)))
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * (c := len(np.intersect1d(a, b))) >= percent * (len(a) + len(b) - c)]
+    for _ in texts:
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
+    return root, len(links)
+
+
+@pytest.mark.parametrize(("members", "blocks"), [(1000, 8), (12, 8), (12, 0)])
+def test_a_group_returns_fewer_links_than_members(spark, monkeypatch, members, blocks):
+    """In one part, in parts whose rest meets by blocks, and by prefixes: components are exact, rows no more than a few per member."""
+    monkeypatch.setattr(J, "GROUP_MEMBERS", members)
+    monkeypatch.setattr(J, "MOST_BLOCKS", blocks)
+    luck, base, texts = random.Random(4), [f"w{i}" for i in range(100)], []
+    for k in range(90):  # one to three words differ; the text they were copied from is not there
+        t = list(base)
+        for p in luck.sample(range(100), luck.randint(1, 3)):
+            t[p] = f"x{luck.random()}"
+        texts.append(" ".join(t + [f"y{k // 45}_{i}" for i in range(12)]))
+    root, n_links = by_brute_force(texts, 5, 80)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    member, links = J.similarity_join(docs, 5, 80)
+    assert {r["doc_id"]: r["component_id"] for r in J.with_smallest(member).collect()} == dict(enumerate(root))
+    index = J.cut(J.indexed(docs, 5, 80).withColumn("at", F.monotonically_increasing_id()))
+    pairs, classes = J.stars(index)
+    groups, _ = J.dealt(pairs.select(F.col("hub").alias("a"), F.col("sid").alias("b")), classes)
+    n = J.group_links(groups.withColumn("label", F.col("sid")), index, docs, classes, 5, 80).count()
+    assert 1 < len(set(root)) < 60 and n_links > 300
+    assert n <= groups.count() and (members < 1000 or links.count() < n_links)
+
+
+def test_spanning_links_join_what_links_join():
+    luck = np.random.default_rng(6)
+    for n in (2, 5, 40):
+        base = np.unique(luck.integers(0, 1 << 64, 60, dtype=np.uint64))
+        sets = [np.unique(np.concatenate([base[luck.random(len(base)) > 0.06], luck.integers(0, 1 << 64, 2, dtype=np.uint64)])) for _ in range(n)]
+        linked = np.array([[100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)) for b in sets] for a in sets])
+        for label in (np.arange(n), np.arange(n) // 3, np.arange(n) % 2):
+            found = J.spanning(sets, label.copy(), 85)
+            assert all(linked[i, j] and label[i] != label[j] for i, j in found) and len(found) < n
+            joined = []
+            for pairs in (found, np.argwhere(linked)):
+                own = label.copy()
+                for i, j in list(pairs):
+                    own[own == own[j]] = own[i]
+                joined.append([{int(j) for j in np.flatnonzero(own == x)} for x in own])
+            assert joined[0] == joined[1]
+
+
 def test_words_learnt_first_are_remembered():
     memo = token_planes.WordMemo(token_planes.default_tokenizer(), words=40)
     first, _ = [" ".join(f"c{i}" for i in range(10))], memo.encode([" ".join(f"c{i}" for i in range(10))], 1)
