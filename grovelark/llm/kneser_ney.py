@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh_dir
 
 PAD = "\x02"
 FLOOR = 2.0**-16
@@ -148,32 +148,39 @@ def count_grams(texts: DataFrame, order: int, most: int = 1_500_000) -> DataFram
     return texts.select("label", "text").mapInPandas(count, "label string, gram string, c bigint").groupBy("label", "gram").agg(F.sum("c").alias("c"))
 
 
-def smooth(counts: DataFrame, order: int, modified: bool = True) -> DataFrame:
-    """The model table of ``count_grams``: ``(label, gram, alpha, gamma)``; every level is written once and read several times."""
-    level, parts = cut(counts), []
+def _levels(counts: DataFrame, order: int) -> DataFrame:
+    """``(label, gram, c, k)``: the grams of every length ``k`` in one written table, a folder per length, each made from the one before."""
+    spark, schema = counts.sparkSession, "label string, gram string, c bigint"
+    folder = fresh_dir(spark, "levels")
+    level = counts.select("label", "gram", "c")
     for k in range(order, 0, -1):
-        per = [F.sum((F.col("c") == i).cast("double")).alias(f"t{i}") for i in (1, 2, 3, 4)]
-        t = [F.col(f"t{i}") for i in (1, 2, 3, 4)]
-        y = F.try_divide(t[0], t[0] + 2 * t[1])
-        if modified:
-            ds = [F.coalesce(F.try_divide(F.lit(float(i)) * t[i - 1] - (i + 1) * y * t[i], t[i - 1]), F.lit(0.5 * i)) for i in (1, 2, 3)]
-            ds = [F.greatest(F.lit(0.05), F.least(F.lit(0.95 * i), d)) for i, d in zip((1, 2, 3), ds, strict=True)]
-        else:
-            ds = [F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.coalesce(y, F.lit(0.5))))] * 3
-        discounts = level.groupBy("label").agg(*per).select("label", *[d.alias(f"d{i}") for i, d in enumerate(ds, 1)])
-        context = F.substring("gram", 1, k - 1)
-        own = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        seen = level.join(F.broadcast(discounts), "label").withColumn("context", context).withColumn("off", own)  # a row per label
-        totals = seen.groupBy("label", "context").agg(F.sum("c").cast("double").alias("total"), F.sum("off").alias("mass"))
-        parts.append(
-            seen.join(totals, ["label", "context"]).select("label", "gram", ((F.col("c") - F.col("off")) / F.col("total")).alias("alpha"), F.lit(None).cast("double").alias("gamma"))
-        )
-        parts.append(totals.select("label", F.col("context").alias("gram"), F.lit(None).cast("double").alias("alpha"), (F.col("mass") / F.col("total")).alias("gamma")))
-        if k > 1:
-            level = cut(level.groupBy("label", F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("c")))
-    table = parts[0]
-    for p in parts[1:]:
-        table = table.unionByName(p)
+        level.write.parquet(f"{folder}/k={k}")
+        level = spark.read.schema(schema).parquet(f"{folder}/k={k}")
+        level = level.groupBy("label", F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
+    return spark.read.schema(f"{schema}, k int").parquet(folder)
+
+
+def smooth(counts: DataFrame, order: int, modified: bool = True) -> DataFrame:
+    """The model table of ``count_grams``: ``(label, gram, alpha, gamma)``.
+
+    All lengths go through one plan: with a branch for each, the driver's memory was that of planning them again and again.
+    """
+    levels = _levels(counts, order)
+    per = [F.sum((F.col("c") == i).cast("double")).alias(f"t{i}") for i in (1, 2, 3, 4)]
+    t = [F.col(f"t{i}") for i in (1, 2, 3, 4)]
+    y = F.try_divide(t[0], t[0] + 2 * t[1])
+    if modified:
+        ds = [F.coalesce(F.try_divide(F.lit(float(i)) * t[i - 1] - (i + 1) * y * t[i], t[i - 1]), F.lit(0.5 * i)) for i in (1, 2, 3)]
+        ds = [F.greatest(F.lit(0.05), F.least(F.lit(0.95 * i), d)) for i, d in zip((1, 2, 3), ds, strict=True)]
+    else:
+        ds = [F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.coalesce(y, F.lit(0.5))))] * 3
+    discounts = cut(levels.groupBy("label", "k").agg(*per).select("label", "k", *[d.alias(f"d{i}") for i, d in enumerate(ds, 1)]))
+    context = F.expr("substring(gram, 1, k - 1)")
+    own = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    seen = levels.join(F.broadcast(discounts), ["label", "k"]).withColumn("context", context).withColumn("off", own)  # a row per label and length
+    totals = seen.groupBy("label", "context").agg(F.sum("c").cast("double").alias("total"), F.sum("off").alias("mass"))  # contexts of other lengths are other contexts
+    ends = seen.join(totals, ["label", "context"]).select("label", "gram", ((F.col("c") - F.col("off")) / F.col("total")).alias("alpha"), F.lit(None).cast("double").alias("gamma"))
+    table = ends.unionByName(totals.select("label", F.col("context").alias("gram"), F.lit(None).cast("double").alias("alpha"), (F.col("mass") / F.col("total")).alias("gamma")))
     return table.groupBy("label", "gram").agg(F.max("alpha").alias("alpha"), F.max("gamma").alias("gamma"))
 
 
